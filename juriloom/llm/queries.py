@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from .bpe_codec import encoding_digest
+from .packing import pack
 from .runtime import read
 from .token_counts import token_counts
 
@@ -15,6 +16,10 @@ BYTE_BPE = "byte_bpe_50k.json"
 WORD_BPE = "word_bpe_49k.json"
 
 
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(read(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE))
+
+
 def op6_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoding_digest(read(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE))
 
@@ -24,6 +29,7 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_packing": op3_packing,
     "op6_bpe_codec": op6_bpe_codec,
     "op9_token_counts": op9_token_counts,
 }
