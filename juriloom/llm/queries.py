@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from . import license_scan as licenses
+from . import quality_rules as quality
 from .bpe_codec import encoding_digest
 from .packing import pack
 from .runtime import read
@@ -17,6 +18,10 @@ BYTE_BPE = "byte_bpe_50k.json"
 WORD_BPE = "word_bpe_49k.json"
 
 
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality_rules(read(spark, sf_dir, "documents"))
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(read(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE))
 
@@ -34,6 +39,7 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_quality_rules": op2_quality_rules,
     "op3_packing": op3_packing,
     "op6_bpe_codec": op6_bpe_codec,
     "op9_token_counts": op9_token_counts,
@@ -41,5 +47,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op2_quality_rules": quality.oracle_sql(),
     "op10_license_scan": licenses.oracle_sql(),
 }
