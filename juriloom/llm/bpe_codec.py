@@ -224,10 +224,9 @@ class Codec:
         """The ids of each text; words met before are not merged again."""
         plain = [not (self.special and "<|" in t and self.special.search(t)) for t in texts]
         split = [self.words(t) if p else None for t, p in zip(texts, plain, strict=True)]
-        held = self.word_ids
-        held.fill([words for words in split if words])
+        ids = iter(self.word_ids.look([words for words in split if words is not None]))
         return [
-            self._with_specials(text) if words is None else held[words[0]] if len(words) == 1 else list(chain.from_iterable(map(held.__getitem__, words)))
+            self._with_specials(text) if words is None else got[0] if len(got := next(ids)) == 1 else list(chain.from_iterable(got))
             for text, words in zip(texts, split, strict=True)
         ]
 
@@ -260,13 +259,10 @@ class _Digest:
 
     def __call__(self, texts: list[str]) -> tuple[list[int], list[str], list[str]]:
         cut = [cut_strict(t) for t in texts]
-        self.first.fill([p[:1] for p in cut])
-        self.rest.fill([p[1:] for p in cut])
+        heads, tails = self.first.look([p[:1] for p in cut]), self.rest.look([p[1:] for p in cut])
         counts, ids_sha, text_sha = [], [], []
-        for p in cut:
-            rest = self.rest
-            got = [self.first[p[0]]]
-            got += [rest[x] for x in p[1:]]
+        for head, tail in zip(heads, tails, strict=True):
+            got = head + tail
             counts.append(sum([x[0] for x in got]))
             ids_sha.append(hashlib.sha256(",".join([x[1] for x in got if x[0]]).encode()).hexdigest())
             text = b"".join([x[2] for x in got])

@@ -24,41 +24,67 @@ from .cutting_stock import whole_patterns
 from .pieces import PieceCache, cut_strict
 from .runtime import bound_batches, one_thread, rare_gc, same_dtype, slices, text_rows, written
 
-CACHE_ENTRIES = 300_000
-BATCH_BYTES = 2 << 20
+CACHE_ENTRIES = 800_000
+BATCH_BYTES = 4 << 20
 GRID = 8  # tokens by which remainders are classed in the program; at most GRID - 1 tokens of padding a document
 
 
+JOINED = 256  # pieces that are encoded as one text
+
+
 def _encoder(path: str):
+    """Encodes the pieces that follow a space, many as one text: no token crosses a safe boundary, and the bytes that each
+    token stands for tell which ids are whose. Returns that, the same for single texts, and whether pieces are safe."""
     one_thread()
     rare_gc()
     from tokenizers import Tokenizer
 
+    from .bpe_codec import vocabulary
+
     tokenizer = Tokenizer.from_file(path)
     tokenizer.no_truncation()
     tokenizer.no_padding()
-    strict = str(tokenizer.pre_tokenizer).startswith("ByteLevel")
-
-    def encode(pieces: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
-
-    return encode, strict
+    strict = str(tokenizer.pre_tokenizer).startswith("ByteLevel") and tokenizer.normalizer is None
+
+    def single(texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    if not strict:
+        return single, single, False
+    held = vocabulary(path).bytes_of
+    size_of = np.zeros(max(held) + 1, np.int64)
+    size_of[list(held)] = [len(x) for x in held.values()]
+
+    def joined(pieces: list[str]) -> list[bytes]:
+        groups = [pieces[i : i + JOINED] for i in range(0, len(pieces), JOINED)]
+        out = []
+        for group, e in zip(groups, tokenizer.encode_batch_fast([" " + " ".join(g) for g in groups], add_special_tokens=False), strict=True):
+            ids = np.array(e.ids, "<u4")
+            sizes = np.array([len(p) if p.isascii() else len(p.encode("utf-8", "replace")) for p in group]) + 1
+            ends = np.cumsum(sizes)
+            cuts = np.searchsorted(np.cumsum(size_of[ids]), ends, side="left") + 1
+            data, begin = ids.tobytes(), 0
+            for end in (4 * cuts).tolist():
+                out.append(data[begin:end])
+                begin = end
+        return out
+
+    return single, joined, True
 
 
 def _pieces(batches: Iterator[pa.RecordBatch], path: str, capacity: int, grid: int, keep_ids: bool) -> Iterator[pa.RecordBatch]:
-    encode, strict = _encoder(path)
-    first = PieceCache(encode, CACHE_ENTRIES // 8, True)
-    rest = PieceCache(lambda pieces: encode([" " + p for p in pieces]), CACHE_ENTRIES, True)
+    single, joined, strict = _encoder(path)
+    first = PieceCache(single, CACHE_ENTRIES // 8, True)
+    rest = PieceCache(joined, CACHE_ENTRIES, True)
     pid, seen = TaskContext.get().partitionId(), {}
     for batch in slices(batches, BATCH_BYTES):
         texts = batch.column(1).to_pylist()
         cut = [cut_strict(t) if strict else [t] for t in texts]
-        first.fill([p[:1] for p in cut])
-        rest.fill([p[1:] for p in cut])
+        heads, tails = first.look([p[:1] for p in cut]), rest.look([p[1:] for p in cut])
         rows: list[tuple] = []
         source: list[int] = []
-        for at, p in enumerate(cut):
-            data = first[p[0]] + b"".join(map(rest.__getitem__, p[1:])) + b"\0\0\0\0"
+        for at, (head, tail) in enumerate(zip(heads, tails, strict=True)):
+            data = head[0] + b"".join(tail) + b"\0\0\0\0"
             total = len(data) // 4
             for start in range(0, total, capacity):
                 part = data[4 * start : 4 * (start + capacity)]

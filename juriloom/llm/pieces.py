@@ -24,21 +24,28 @@ class PieceCache(dict):
         self.encode, self.entries, self.strict = encode, entries, strict
         self.old: dict = {}
 
-    def fill(self, texts: list[list[str]]) -> None:
-        """Make sure that each piece is there; what is new is encoded in one batch."""
+    def look(self, texts: list[list[str]]) -> list[list[Any]]:
+        """The values of the pieces of each text; what is new is encoded in one batch."""
         if len(self) >= self.entries:
             self.old = dict(self)
             self.clear()
-        wanted = set().union(*texts).difference(self.keys())
+        get = self.get
+        found = [list(map(get, pieces)) for pieces in texts]
+        gaps = [(pieces, values, [i for i, v in enumerate(values) if v is None]) for pieces, values in zip(texts, found, strict=True) if None in values]
         fresh = []
-        for piece in wanted:
-            value = self.old.get(piece)
+        old = self.old
+        for piece in {pieces[i] for pieces, _, at in gaps for i in at}:
+            value = old.get(piece)
             if value is None:
                 fresh.append(piece)
             else:
                 self[piece] = value
         if fresh:
             self.update(zip(fresh, self.encode(fresh), strict=True))
+        for pieces, values, at in gaps:
+            for i in at:
+                values[i] = self[pieces[i]]
+        return found
 
 
 def cut_loose(text: str) -> list[str]:

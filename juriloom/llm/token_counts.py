@@ -55,13 +55,9 @@ def _count(batches: Iterator[pa.RecordBatch], path: str, batch_bytes: int, entri
             counts = encode(texts)
         elif strict:
             parts = [cut_strict(t) for t in texts]
-            first.fill([p[:1] for p in parts])
-            rest.fill([p[1:] for p in parts])
-            counts = [first[p[0]] + sum(map(rest.__getitem__, p[1:])) for p in parts]
+            counts = [a[0] + sum(b) for a, b in zip(first.look([p[:1] for p in parts]), rest.look([p[1:] for p in parts]), strict=True)]
         else:
-            parts = [cut_loose(t) for t in texts]
-            rest.fill(parts)
-            counts = [sum(map(rest.__getitem__, p)) for p in parts]
+            counts = list(map(sum, rest.look([cut_loose(t) for t in texts])))
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(counts, pa.int64())], ["__id", "n_bytes", "n_tokens"])
 
 
