@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from . import license_scan as licenses
 from . import quality_rules as quality
 from .bpe_codec import encoding_digest
+from .hyperminhash import near_duplicates
 from .packing import pack
 from .runtime import read
 from .token_counts import token_counts
@@ -26,6 +27,10 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(read(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE))
 
 
+def op5_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(read(spark, sf_dir, "documents"))
+
+
 def op6_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoding_digest(read(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE))
 
@@ -41,6 +46,7 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_quality_rules": op2_quality_rules,
     "op3_packing": op3_packing,
+    "op5_minhash_dedup": op5_minhash_dedup,
     "op6_bpe_codec": op6_bpe_codec,
     "op9_token_counts": op9_token_counts,
     "op10_license_scan": op10_license_scan,

@@ -6,7 +6,9 @@ import gc
 import os
 import tempfile
 import uuid
+import zipfile
 from collections.abc import Iterator
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -22,8 +24,23 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors, once per application, so that their Python workers can import it."""
+    context = spark.sparkContext
+    if getattr(context, "_juriloom_shipped", False):
+        return
+    package = Path(__file__).resolve().parents[1]
+    target = Path(tempfile.mkdtemp(prefix="juriloom-code-")) / "juriloom-code.zip"
+    with zipfile.ZipFile(target, "w") as archive:
+        for path in sorted(package.rglob("*.py")):
+            archive.write(path, path.relative_to(package.parent))
+    context.addPyFile(str(target))
+    context._juriloom_shipped = True
+
+
 def bound_batches(spark: SparkSession, rows: int = ARROW_ROWS) -> None:
-    """Keep the Arrow batches handed to Python small, as their rows are whole texts."""
+    """Keep the Arrow batches handed to Python small, as their rows are whole texts; and see to it that workers have the code."""
+    ship(spark)
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if int(spark.conf.get(key, "10000")) > rows:
         spark.conf.set(key, str(rows))
