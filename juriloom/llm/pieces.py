@@ -13,7 +13,7 @@ from typing import Any
 
 _SAFE = re.compile(r"(?<=\S) (?=\S)")
 _LOOSE = re.compile(r" \s|\s ")
-_PAIRS = ["  ", *(p for c in "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f" for p in (c + " ", " " + c))]
+_RARE = [c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n"]
 
 
 class PieceCache(dict):
@@ -61,8 +61,6 @@ def cut_strict(text: str) -> list[str]:
 
 def _has_loose_space(text: str) -> bool:
     """Is there a space at an end or beside white space?"""
-    if not text or text[0] == " " or text[-1] == " ":
+    if not text or text[0] == " " or text[-1] == " " or "  " in text or "\n " in text or " \n" in text:
         return True
-    if text.isascii():
-        return any(pair in text for pair in _PAIRS)
-    return _LOOSE.search(text) is not None
+    return any(c in text for c in _RARE) and _LOOSE.search(text) is not None
