@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from . import license_scan as licenses
 from . import quality_rules as quality
 from .bpe_codec import encoding_digest
+from .ego_join import near_vectors
 from .hyperminhash import near_duplicates
 from .packing import pack
 from .runtime import read
@@ -35,6 +36,10 @@ def op6_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoding_digest(read(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE))
 
 
+def op7_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(read(spark, sf_dir, "embeddings"))
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(read(spark, sf_dir, "documents"), public_tokenizers.path(WORD_BPE))
 
@@ -48,6 +53,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_packing": op3_packing,
     "op5_minhash_dedup": op5_minhash_dedup,
     "op6_bpe_codec": op6_bpe_codec,
+    "op7_embedding_dedup": op7_embedding_dedup,
     "op9_token_counts": op9_token_counts,
     "op10_license_scan": op10_license_scan,
 }

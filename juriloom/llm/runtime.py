@@ -7,9 +7,10 @@ import os
 import tempfile
 import uuid
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -110,3 +111,28 @@ def rare_gc() -> None:
 def one_thread() -> None:
     """Tokenizer libraries otherwise start as many threads as the machine has CPUs in every Python worker."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
+
+
+def tree_sum(df: DataFrame, partial: Callable[[Iterator[pa.RecordBatch]], Iterator[np.ndarray]]) -> np.ndarray:
+    """The sum of the float64 vectors that partial() makes of each partition. Vectors are added in rounds on the executors
+    until a few are left, so that the driver receives a bounded number of them however many partitions there are."""
+
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for v in partial(batches):
+            yield pa.RecordBatch.from_arrays([pa.array([np.ascontiguousarray(v, np.float64).tobytes()], pa.binary())], ["v"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = None
+        for b in batches:
+            for x in b.column(0).to_pylist():
+                v = np.frombuffer(x)
+                total = v.copy() if total is None else total + v
+        if total is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["v"])
+
+    sums = df.mapInArrow(first, "v binary")
+    parts = max(1, df.rdd.getNumPartitions())
+    while parts > 16:
+        parts = -(-parts // 16)
+        sums = sums.repartition(parts).mapInArrow(add, "v binary")
+    return np.sum([np.frombuffer(r["v"]) for r in sums.collect()], axis=0)
