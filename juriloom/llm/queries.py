@@ -11,6 +11,7 @@ from . import license_scan as licenses
 from . import quality_rules as quality
 from .bpe_codec import encoding_digest
 from .ego_join import near_vectors
+from .html_mincut import extract_text
 from .hyperminhash import near_duplicates
 from .packing import pack
 from .runtime import read
@@ -40,6 +41,10 @@ def op7_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(read(spark, sf_dir, "embeddings"))
 
 
+def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_text(read(spark, sf_dir, "pages"))
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(read(spark, sf_dir, "documents"), public_tokenizers.path(WORD_BPE))
 
@@ -54,6 +59,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_minhash_dedup": op5_minhash_dedup,
     "op6_bpe_codec": op6_bpe_codec,
     "op7_embedding_dedup": op7_embedding_dedup,
+    "op8_html_extraction": op8_html_extraction,
     "op9_token_counts": op9_token_counts,
     "op10_license_scan": op10_license_scan,
 }
