@@ -37,15 +37,16 @@ def _repeat_words() -> Column:
     return places, packed, candidates, window
 
 
-def measured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = False) -> DataFrame:
-    """The id and the five base counts of each row, computed inside the row: no shuffle, no Python.
+def measured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_row: bool = False) -> DataFrame:
+    """The id (or the whole row as struct __row) and the base counts of each row, computed inside the row: no shuffle, no Python.
 
     A null text has no words and counts 0 throughout.
     """
     space = "[\\x20\\x09-\\x0D]+"
     n = F.size("__words")
     places, packed, candidates, window = _repeat_words()
-    rows = docs.select(F.col(id_col).alias("__id"), F.coalesce(F.col(text_col), F.lit("")).alias("__text"))
+    first = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row") if keep_row else F.col(id_col).alias("__id")
+    rows = docs.select(first, F.coalesce(F.col(text_col), F.lit("")).alias("__text"))
     rows = rows.withColumn("__words", F.array_remove(F.split("__text", space), "")).withColumn("__lines", F.filter(F.split("__text", "\n"), lambda x: F.length(F.translate(x, " \t\x0b\f\r", "")) > 0))
     rows = rows.withColumn("__hashes", F.transform("__words", lambda w: F.xxhash64(w)))
     rows = rows.withColumn("__packed", F.when(n >= 3, packed).otherwise(F.array().cast("array<bigint>")))
@@ -56,8 +57,7 @@ def measured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ke
     zero = F.lit(0).cast("bigint")
     covered = F.aggregate("__twice", F.struct(F.lit(-9).alias("last"), zero.alias("n")), lambda a, i: F.struct(i.alias("last"), (a["n"] + F.least(F.lit(3), i - a["last"])).alias("n")), lambda a: a["n"])
     return rows.select(
-        "__id",
-        *["__text"] * keep_text,
+        "__row" if keep_row else "__id",
         n.cast("bigint").alias("n_words"),
         F.length(F.array_join("__words", "")).cast("bigint").alias("word_chars"),
         F.regexp_count("__text", F.lit("[#*$%&|<>]")).cast("bigint").alias("n_symbols"),
@@ -141,6 +141,15 @@ def quality_rules(docs: DataFrame, rules: list[Rule] | None = None, sample_rows:
     return out.withColumn("kept", kept).select(F.col("__id").alias(id_col), *_MEASURES, "base_failed", "kept")
 
 
+def drop_rejected(docs: DataFrame, rules: list[Rule] | None = None, sample_rows: int = SAMPLE_ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs that quality_rules() keeps, with all their columns."""
+    rules = RULES if rules is None else rules
+    order = order_rules(measured(docs.limit(sample_rows), id_col, text_col), rules, sample_rows, [*_MEASURES, "n_lines"])
+    kept = F.when(~base_failed() & verdict(order).isNull(), F.array("__row"))
+    # Not filter(): the optimizer would write all counts out in the predicate, once for each use of each of them.
+    return measured(docs, id_col, text_col, keep_row=True).select(F.explode(kept).alias("__row")).select("__row.*")
+
+
 def oracle_sql(columns: str = "doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept", table: str = "documents") -> str:
     """DuckDB SQL for quality_rules()."""
     reject = " OR ".join(f"coalesce({r.rejects}, false)" for r in RULES)

@@ -14,13 +14,19 @@ from .ego_join import near_vectors
 from .html_mincut import extract_text
 from .hyperminhash import near_duplicates
 from .packing import pack
+from .pseudo_likelihood import pseudo_likelihood
 from .runtime import read
 from .token_counts import token_counts
+from .toxicity import toxicity, train
 
 BYTE_BPE = "byte_bpe_50k.json"
 WORD_BPE = "word_bpe_49k.json"
 
 
+def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pseudo_likelihood(read(spark, sf_dir, "documents"))
+
+
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_rules(read(spark, sf_dir, "documents"))
 
@@ -29,6 +35,11 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(read(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE))
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    return toxicity(docs, train(docs, read(spark, sf_dir, "labels")))
+
+
 def op5_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read(spark, sf_dir, "documents"))
 
@@ -54,8 +65,10 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_lm_scoring": op1_lm_scoring,
     "op2_quality_rules": op2_quality_rules,
     "op3_packing": op3_packing,
+    "op4_toxicity": op4_toxicity,
     "op5_minhash_dedup": op5_minhash_dedup,
     "op6_bpe_codec": op6_bpe_codec,
     "op7_embedding_dedup": op7_embedding_dedup,
