@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from .runtime import bound_batches
 
-TRAIN_ROWS = 4000  # labelled rows of each class at most that the fit reads: the bound of the sample
+TRAIN_ROWS = 3000  # labelled rows of each class at most that the fit reads: the bound of the sample
 GRADES = 4
 FEATURES = 4000
 EVIDENCE = 18.0  # least log-likelihood ratio of a feature that the regression sees
@@ -26,14 +26,9 @@ PREFIXES = (3, 4, 5, 6, 7, 8)
 _TRIM = ".,;:!?\"'()[]{}«»…"
 
 
-def words_of(text: str) -> dict[str, int]:
-    """The words of a text, and how often each counts: once, however often it stands there."""
-    out: dict[str, int] = {}
-    for w in set(text.lower().split()):
-        w = w.strip(_TRIM)
-        if w:
-            out[w] = 1
-    return out
+def words_of(text: str) -> set[str]:
+    """The distinct words of a text in lower case, without the punctuation around them."""
+    return {w for w in (x.strip(_TRIM) for x in set(text.lower().split())) if w}
 
 
 def features(word: str) -> list[str]:
@@ -53,14 +48,14 @@ class Model:
         if cache is None:
             cache = {}
         total = 0.0
-        for w, n in words_of(text).items():
+        for w in words_of(text):
             s = cache.get(w)
             if s is None:
                 if len(cache) > 400_000:
                     cache.clear()
                 s = cache[w] = self.word(w)
             if s:
-                total += n * s
+                total += s
         return total
 
 
@@ -69,13 +64,12 @@ def _probabilities(score: np.ndarray, thresholds: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(np.clip(score[:, None] - thresholds[None], -40, 40)))
 
 
-def grade_texts(texts: list[dict[str, int]], toxic: np.ndarray, marks: set[str]) -> np.ndarray:
+def grade_texts(marked: np.ndarray, toxic: np.ndarray) -> np.ndarray:
     """0 for other texts; toxic ones 1 to GRADES - 1 by thirds of their number of marked words."""
-    share = np.array([float(sum(n for w, n in t.items() if any(f in marks for f in features(w)))) for t in texts])
-    grades = np.zeros(len(texts), int)
+    grades = np.zeros(len(marked), int)
     if toxic.any():
-        cuts = np.quantile(share[toxic], np.arange(1, GRADES - 1) / (GRADES - 1))
-        grades[toxic] = 1 + np.searchsorted(cuts, share[toxic], side="right")
+        cuts = np.quantile(marked[toxic], np.arange(1, GRADES - 1) / (GRADES - 1))
+        grades[toxic] = 1 + np.searchsorted(cuts, marked[toxic], side="right")
     return grades
 
 
@@ -84,23 +78,22 @@ def fit(texts: list[str], toxic: list[int], rounds: int = 600, rate: float = 0.0
     y = np.array(toxic, bool)
     if not y.any() or y.all():
         return Model()
-    words = [words_of(t) for t in texts]
-    held = []
-    for ws in words:
-        found: Counter = Counter()
-        for w, n in ws.items():
-            for f in features(w):
-                found[f] += n
-        held.append(found)
+    # Nothing is kept of a text but its chosen features: the driver's memory is for the counts of toxic texts' features.
+    of = lambda t: {f for w in words_of(t) for f in features(w)}
     inside, outside = Counter(), Counter()
-    for h, t in zip(held, y, strict=True):
-        (inside if t else outside).update(h.keys())
+    for t, bad in zip(texts, y, strict=True):
+        if bad:
+            inside.update(of(t))
+    inside = Counter({f: n for f, n in inside.items() if n >= 2})
+    for t, bad in zip(texts, y, strict=True):
+        if not bad:
+            outside.update(of(t) & inside.keys())
     n1, n0 = int(y.sum()), int((~y).sum())
     odds, evidence = {}, {}
     for f in inside:
         a, b = inside[f], outside[f]
         odds[f] = np.log((a + 0.5) / (n1 + 1)) - np.log((b + 0.5) / (n0 + 1))
-        if a >= 2 and odds[f] > 0:
+        if odds[f] > 0:
             # Log-likelihood ratio of "the rates differ" against "they are equal".
             share = (a + b) / (n1 + n0)
             part = lambda k, n: (k * np.log(k / n) if k else 0.0) + ((n - k) * np.log(1 - k / n) if k < n else 0.0)
@@ -110,14 +103,18 @@ def fit(texts: list[str], toxic: list[int], rounds: int = 600, rate: float = 0.0
         return Model()
     column = {f: i for i, f in enumerate(chosen)}
     marks = {f for f in chosen if odds[f] > 2.5 and outside[f] <= 0.02 * inside[f]}
-    grades = grade_texts(words, y, marks)
-    rows, cols, vals = [], [], []
-    for i, h in enumerate(held):
-        for f, n in h.items():
-            if f in column:
-                rows.append(i)
-                cols.append(column[f])
-                vals.append(n)
+    rows, cols, vals, marked = [], [], [], []
+    for i, t in enumerate(texts):
+        found, hits = Counter(), 0
+        for w in words_of(t):
+            own = [f for f in features(w) if f in column]
+            found.update(own)
+            hits += any(f in marks for f in own)
+        marked.append(hits)
+        rows += [i] * len(found)
+        cols += [column[f] for f in found]
+        vals += found.values()
+    grades = grade_texts(np.array(marked, float), y)
     rows, cols, vals = np.array(rows), np.array(cols), np.array(vals, float)
     w, theta = np.zeros(len(chosen)), np.arange(GRADES - 1, dtype=float) + 1.0
     moments = [np.zeros(len(w) + len(theta)), np.zeros(len(w) + len(theta))]
