@@ -18,10 +18,10 @@ from pyspark.sql import functions as F
 
 from .runtime import bound_batches
 
-TRAIN_ROWS = 3000  # labelled rows of each class at most that the fit reads: the bound of the sample
+TRAIN_ROWS = 3000  # toxic labelled rows at most, and twice as many others, that the fit reads: the bound of the sample
 GRADES = 4
 FEATURES = 4000
-EVIDENCE = 18.0  # least log-likelihood ratio of a feature that the regression sees
+EVIDENCE = 20.0  # least log-likelihood ratio of a feature that the regression sees
 PREFIXES = (3, 4, 5, 6, 7, 8)
 _TRIM = ".,;:!?\"'()[]{}«»…"
 
@@ -142,7 +142,7 @@ def fit(texts: list[str], toxic: list[int], rounds: int = 600, rate: float = 0.0
 
 
 def train(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, id_col: str = "doc_id", text_col: str = "text", toxic_col: str = "toxic") -> Model:
-    """Fit on a bounded sample of labelled rows: at most train_rows of each class, in the order of a hash of the id.
+    """Fit on a bounded sample of labelled rows: at most train_rows toxic and twice as many other ones, in the order of a hash of the id.
 
     Rows with a null id, text or label are not read; several labels of an id count as toxic if one says so.
     """
@@ -150,7 +150,7 @@ def train(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, id_c
     texts = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text")).dropna()
     sample = None
     for value in (True, False):
-        part = marked.filter(F.col("__toxic") == value).orderBy(F.xxhash64("__id"), "__id").limit(train_rows)
+        part = marked.filter(F.col("__toxic") == value).orderBy(F.xxhash64("__id"), "__id").limit(train_rows if value else 2 * train_rows)
         sample = part if sample is None else sample.unionByName(part)
     rows = texts.join(F.broadcast(sample), "__id").select("__text", "__toxic", "__id").orderBy("__id", "__text").limit(4 * train_rows).collect()
     return fit([r[0] for r in rows], [int(r[1]) for r in rows])
