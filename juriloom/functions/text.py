@@ -105,7 +105,7 @@ def legal_year(title: Column, published: Column, as_of_year: int) -> Column:
 def recency_score(score: Column, title: Column, published: Column, as_of_year: int, per_year: float = 0.12, cap: int = 15, unknown: int = 6, obsolete: float = 2.0) -> Column:
     """The score (less is better) with a penalty for age and for obsolete texts added."""
     year = legal_year(title, published, as_of_year)
-    age = F.coalesce(F.least(F.greatest(F.lit(as_of_year) - year, F.lit(0)), F.lit(cap)), F.lit(unknown))
+    age = F.when(year.isNull(), F.lit(unknown)).otherwise(F.least(F.greatest(F.lit(as_of_year) - year, F.lit(0)), F.lit(cap)))
     return score + age * F.lit(per_year) + F.when(title.startswith(OBSOLETE_MARK), F.lit(obsolete)).otherwise(F.lit(0.0))
 
 

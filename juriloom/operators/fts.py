@@ -87,7 +87,9 @@ def score_scan(chunks: DataFrame, terms: list[str], title: str = "title", conten
         F.array(*[F.count_if(F.col("__f")[i] > 0) for i in range(len(asked))]).alias("__df"),
     )
     parts = [_term(_idf(F.col("__df")[i], F.col("__n")), F.col("__f")[i], F.col("__length"), F.col("__average")) for i in range(len(asked))]
-    hit = counted.filter(F.exists("__f", lambda x: x > 0)).crossJoin(F.broadcast(stats))  # stats is one row
+    # explode() of no array drops a row as a filter would, but the optimizer does not write token counts out in it again.
+    hit = counted.select(*kept, "__length", "__f", F.explode(F.when(F.exists("__f", lambda x: x > 0), F.array(F.lit(1)))))
+    hit = hit.crossJoin(F.broadcast(stats))  # stats is one row
     return hit.select(*kept, (-reduce(lambda a, b: a + b, parts)).alias("score"))
 
 
