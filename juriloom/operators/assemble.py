@@ -78,7 +78,7 @@ def markdown_text(x: Column) -> Column:
 
 
 def table_cells(line: Column) -> Column:
-    return F.transform(F.split(F.regexp_replace(F.trim(line), r"^\||\|$", ""), r"\|"), F.trim)
+    return F.transform(F.split(F.regexp_replace(F.trim(line), r"^\||\|$", ""), r"\|"), lambda c: F.trim(c))
 
 
 def markdown_blocks(docs: DataFrame, key: str, text: str) -> DataFrame:

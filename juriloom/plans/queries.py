@@ -454,9 +454,9 @@ def citations_grouped(spark, sf):
 
 @query(
     r"""WITH d AS (SELECT doc_id, text, strip_accents(lower(text)) AS f FROM documents), h AS (SELECT doc_id, text, unnest(['idiot', 'trash', 'worthless']) AS t, f FROM d),
-c AS (SELECT doc_id, (length(f) - length(replace(f, t, ''))) // length(t) AS n, instr(f, t) AS at, t FROM h), b AS (SELECT doc_id, arg_min(at, (n, at, t)) AS at FROM c WHERE n > 0 GROUP BY doc_id)
-SELECT doc_id, CASE WHEN length(text) <= 900 THEN text WHEN at IS NULL OR at <= 220 THEN substr(text, 1, 900)
-ELSE substr(text, 1, 220) || chr(10) || '[...]' || chr(10) || substr(text, greatest(1, least(at - 336, length(text) - 672)), 673) END AS preview FROM d LEFT JOIN b USING (doc_id)"""
+c AS (SELECT doc_id, (length(f) - length(replace(f, t, ''))) // length(t) AS n, instr(f, t) AS a0, t FROM h), b AS (SELECT doc_id, arg_min(a0, (n, a0, t)) AS a0 FROM c WHERE n > 0 GROUP BY doc_id)
+SELECT doc_id, CASE WHEN length(text) <= 900 THEN text WHEN a0 IS NULL OR a0 <= 220 THEN substr(text, 1, 900)
+ELSE substr(text, 1, 220) || chr(10) || '[...]' || chr(10) || substr(text, greatest(1, least(a0 - 336, length(text) - 672)), 673) END AS preview FROM d LEFT JOIN b USING (doc_id)"""
 )
 def candidate_preview(spark, sf):
     return table(spark, sf, "documents").select("doc_id", rerank.preview(F.col("text"), ["idiot", "trash", "worthless"]).alias("preview"))
