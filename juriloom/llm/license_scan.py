@@ -120,14 +120,15 @@ class Scanner:
     def blocks(self, text: str) -> Iterator[tuple[int, int, set[bytes]]]:
         """Lines, and paragraphs of more than one line: (first byte, bytes, words)."""
         data = text.encode("utf-8", "replace").translate(_WORD_BYTES)
-        at = 0
-        for part in _BLANK.split(data):
-            lines = part.split(b"\n")
+        gaps = [(m.start(), m.end()) for m in _BLANK.finditer(data)]
+        for begin, end in zip([0, *(e for _, e in gaps)], [*(s for s, _ in gaps), len(data)], strict=True):
+            lines = data[begin:end].split(b"\n")
+            at = begin
             for line in lines:
                 yield at, len(line), set(line.split())
+                at += len(line) + 1
             if len(lines) > 1:
-                yield at, len(part), set(part.split())
-            at += len(part) + 2
+                yield begin, end - begin, set(data[begin:end].split())
 
     def scan(self, text: str) -> tuple:
         words = words_of(text)
