@@ -26,7 +26,7 @@ from .runtime import bound_batches, same_dtype, slices, text_rows, tree_sum, wri
 
 OWN, SUFFIX = 64, 63
 CLASSES = OWN + SUFFIX + 1  # 0 is the edge of a text
-KNOWN = 20_000  # words with probabilities of their own; the others of a class share its rest
+KNOWN = 20_000  # words with probabilities of their own, at most; the others of a class share its rest
 DIM, HIDDEN, REACH = 12, 24, 2
 EVERY = 16  # one window in so many words is drawn for training
 ROUNDS, BATCH = 2, 512
@@ -86,12 +86,17 @@ def lexicon(rows: DataFrame) -> Lexicon:
         yield out()
 
     counts = written(rows.select("__text").mapInArrow(count, "word binary, n bigint").groupBy("word").agg(F.sum("n").alias("n")), "word-counts")
-    order = [F.desc("n"), F.asc("word")]
-    top = [(bytes(r["word"]), r["n"]) for r in counts.orderBy(*order).limit(KNOWN).collect()]
-    if not top:
-        return Lexicon([], {})
-    last = top[-1]
-    beyond = counts.filter((F.col("n") < last[1]) | ((F.col("n") == last[1]) & (F.col("word") > F.lit(last[0]))))
+    # A histogram of the counts by their logarithm (a few hundred rows) tells from which count on words are few enough.
+    step = F.floor(F.log2("n") * 16).cast("int")
+    sizes = sorted(((r["s"], r["t"]) for r in counts.groupBy(step.alias("s")).agg(F.count(F.lit(1)).alias("t")).collect()), reverse=True)
+    least, held = None, 0
+    for s, types in sizes:
+        if held + types > KNOWN:
+            break
+        least, held = s, held + types
+    known = F.lit(False) if least is None else step >= least
+    top = sorted(((bytes(r["word"]), r["n"]) for r in counts.filter(known).collect()), key=lambda x: (-x[1], x[0]))
+    beyond = counts.filter(~known)
     end = F.col("word").substr(F.greatest(F.octet_length("word") - 2, F.lit(1)), F.lit(3))
     kind = (1 + OWN + F.crc32(end) % SUFFIX).cast("int")
     totals = {r["c"]: (r["n"], r["t"]) for r in beyond.groupBy(kind.alias("c")).agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("t")).collect()}
