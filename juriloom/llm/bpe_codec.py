@@ -23,7 +23,7 @@ from .pieces import PieceCache, cut_strict
 from .runtime import bound_batches, rare_gc, same_dtype, slices, text_rows
 
 NONE = np.int64(1) << 40
-CACHE_ENTRIES = 250_000
+CACHE_ENTRIES = 450_000
 BATCH_BYTES = 4 << 20
 
 
