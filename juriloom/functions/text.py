@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -27,9 +28,15 @@ def column(x: Column | str) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+def let(x: Column, f: Callable[[Column], Column]) -> Column:
+    """f(x) with x worked out once, however often f uses it."""
+    return F.get(F.transform(F.array(x), f), 0)
+
+
 def strip_accents(x: Column | str) -> Column:
-    """Letters without their marks; free-standing combining marks go."""
-    return F.regexp_replace(F.translate(column(x), _FROM, _TO), r"\p{Mn}+", "")
+    """Letters without their marks; free-standing combining marks go. ASCII texts are passed on as they are."""
+    plain = lambda t: F.regexp_replace(F.translate(t, _FROM, _TO), r"\p{Mn}+", "")
+    return let(column(x), lambda t: F.when(F.octet_length(t) == F.char_length(t), t).otherwise(plain(t)))
 
 
 def fold(x: Column | str) -> Column:

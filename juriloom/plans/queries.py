@@ -201,8 +201,8 @@ _NORM = r"trim(regexp_replace(strip_accents(lower(text)), '\s+', ' ', 'g'))"
 
 @query(f"SELECT sha256(t) AS grp, string_agg(doc_id::VARCHAR, ',' ORDER BY doc_id) AS ids FROM (SELECT doc_id, {_NORM} AS t FROM documents) WHERE length(t) >= 200 GROUP BY 1 HAVING count(*) > 1")
 def normalized_dup_groups(spark, sf):
-    rows = table(spark, sf, "documents").withColumn("t", dedup.operative_text(F.col("text"))).filter(F.length("t") >= 200)
-    return dedup.equal_groups(rows, F.sha2("t", 256), "doc_id").select("grp", F.array_join(F.col("ids").cast("array<string>"), ",").alias("ids"))
+    key = T.let(dedup.operative_text(F.col("text")), lambda t: F.when(F.length(t) >= 200, F.sha2(t, 256)))
+    return dedup.equal_groups(table(spark, sf, "documents"), key, "doc_id").select("grp", F.array_join(F.col("ids").cast("array<string>"), ",").alias("ids"))
 
 
 _PAIRS = f"""w AS (SELECT doc_id, lang, list_filter(string_split({_NORM}, ' '), lambda x: x <> '') AS ws FROM documents),
