@@ -80,7 +80,7 @@ def lexicon(rows: DataFrame) -> Lexicon:
         for batch in slices(batches, 4 << 20):
             for text in batch.column(0).to_pylist():
                 held.update(words_of(text))
-            if len(held) > 300_000:
+            if len(held) > 150_000:
                 yield out()
                 held.clear()
         yield out()
@@ -107,7 +107,7 @@ def codes(rows: DataFrame, words: Lexicon, kind: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache: dict[bytes, tuple[int, float]] = {}
         for batch in slices(batches, 2 << 20):
-            if len(cache) > 400_000:
+            if len(cache) > 150_000:
                 cache.clear()
             out, logs = [], []
             for text in batch.column(1).to_pylist():
