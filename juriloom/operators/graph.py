@@ -3,12 +3,15 @@
 
 from __future__ import annotations
 
+import re
+import unicodedata
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import vocabulary as V
 from ..functions.text import article_key
-from .legal import article_matches_udf, instruments, title_relationships
+from .legal import _patterns, article_matches_udf, instruments, mentions, title_relationships
 
 KEY = ["instrument_type", "number_key"]
 
@@ -135,3 +138,31 @@ def backfill(edges: DataFrame, nodes: DataFrame, own: DataFrame) -> DataFrame:
     """edges with target_document: the least document of the target instrument that has the target article, if any."""
     held = nodes.join(own, "document_id").groupBy(F.col("instrument_type").alias("target_type"), F.col("number_key").alias("target_key"), F.col("article_key").alias("target_article")).agg(F.min("document_id").alias("target_document"))
     return edges.join(held, ["target_type", "target_key", "target_article"], "left")
+
+
+def requested_article_keys(question: str) -> list[str]:
+    """Keys of the articles that a question names, in order."""
+    token = _patterns()["token"].pattern
+    text = unicodedata.normalize("NFKC", question)
+    lists = re.findall(rf"\barticles?\s+({token}(?:\s*(?:,|;|et|à|a|-)\s*{token})*)", text, re.I)
+    keys = (re.sub(r"[°º\s]+", "", t).casefold() for part in lists for t in re.findall(token, part, re.I))
+    return list(dict.fromkeys("1" if k in ("1er", "premier") else k for k in keys))
+
+
+def article_brief(question: str, nodes: DataFrame, edges: DataFrame, article_nodes: DataFrame, own: DataFrame, most: int = 4) -> DataFrame:
+    """(instrument_type, number_key, article_key, brief) for the instruments and articles that a question names, at most so
+    many, in a fixed order: what other articles do to the article (known even if its text is not there) and what it does.
+    nodes: instruments; edges: article_edges(); own: document_id with its instrument."""
+    spark = nodes.sparkSession
+    asked = list(dict.fromkeys((m["type"], m["number_key"], a) for m in mentions(question) if m["number_key"] for a in requested_article_keys(question)))
+    wanted = spark.createDataFrame([(*x, i) for i, x in enumerate(asked)], "instrument_type string, number_key string, article_key string, ord int")
+    known = wanted.join(nodes.select(*KEY, "title"), KEY)
+    home = own.select("document_id", F.col("instrument_type").alias("own_type"), F.col("number_key").alias("own_key"))
+    placed = edges.join(home, "document_id", "left")
+    back = placed.select(F.col("target_type").alias("instrument_type"), F.col("target_key").alias("number_key"), F.col("target_article").alias("article_key"), F.struct(F.lit(0).alias("side"), F.concat_ws(" ", label(F.col("relation"), True), F.lit("article"), "source_article", F.concat(F.lit("de "), "own_type", F.lit(" n° "), "own_key")).alias("line")).alias("l"))
+    tagged = article_nodes.select("document_id", F.col("article_key").alias("source_article"))
+    forth = placed.join(tagged, ["document_id", "source_article"], "left_semi").select(F.col("own_type").alias("instrument_type"), F.col("own_key").alias("number_key"), F.col("source_article").alias("article_key"), F.struct(F.lit(1).alias("side"), F.concat_ws(" ", label(F.col("relation")), F.lit("article"), "target_article", F.concat(F.lit("de "), "target_type", F.lit(" n° "), "target_key")).alias("line")).alias("l"))
+    keys = [*KEY, "article_key"]
+    lines = known.join(back.unionByName(forth), keys).groupBy(*keys, "title", "ord").agg(F.array_sort(F.collect_set("l")).alias("ls"))
+    text = F.concat_ws("\n", F.concat(F.lit("Article "), "article_key", F.lit(" — "), "title"), F.array_join(F.transform("ls", lambda x: F.concat(F.lit("- "), x["line"])), "\n"))
+    return lines.orderBy("ord").limit(most).select(*keys, text.alias("brief"))

@@ -172,6 +172,18 @@ def test_edges_of_unknown_targets_stay(spark):
     assert graph.backfill(edges, graph.articles(chunks, edges, known), known).first().target_document is None
 
 
+def test_article_brief(spark):
+    chunks = spark.createDataFrame([("a", 1, "L'article 3 de la Loi n° 69/009 du 10 février 1969 est modifié.", "7")], "document_id string, ord long, content string, article_number string")
+    own = spark.createDataFrame([("a", "Décret", "5")], "document_id string, instrument_type string, number_key string")
+    nodes, _ = graph.build(titles(spark))
+    edges = graph.article_edges(chunks, own)
+    held = graph.articles(chunks, edges, own)
+    ask = lambda q: [r.brief for r in graph.article_brief(q, nodes, edges, held, own).collect()]
+    assert "modifié par article 7 de Décret n° 5" in ask("que dit l'article 3 de la Loi n° 69-009 ?")[0]
+    assert "modifie article 3 de Loi n° 69/9" in ask("et l'article 7 du Décret n° 5 ?")[0]
+    assert ask("la Loi n° 69-009") == [] and graph.requested_article_keys("articles premier, 68 bis et 4") == ["1", "68bis", "4"]
+
+
 def test_duplicates(spark):
     base = " ".join(f"mot{i}" for i in range(80))
     docs = spark.createDataFrame(
