@@ -6,8 +6,8 @@ over all texts give the second, and the classes: the most frequent words are cla
 by their last letters. The sum of the logarithms over every word is the text's pseudo-likelihood.
 
 Texts are read twice (counts; class codes, one byte a word, to a table). Training goes over the table in rounds: every
-partition trains from the shared weights on the windows it draws from each of its texts, and the partitions' weights are
-averaged. What is counted and drawn grows with the corpus.
+partition trains from the shared weights on the windows of all words of its texts, and the partitions' weights are averaged.
+What is counted and trained on grows with the corpus.
 """
 
 from __future__ import annotations
@@ -28,7 +28,7 @@ OWN, SUFFIX = 64, 63
 CLASSES = OWN + SUFFIX + 1  # 0 is the edge of a text
 KNOWN = 20_000  # words with probabilities of their own, at most; the others of a class share its rest
 DIM, HIDDEN, REACH = 12, 24, 2
-EVERY = 16  # one window in so many words is drawn for training
+EVERY = 1  # one window in so many words is drawn for training: all of them
 ROUNDS, BATCH = 2, 512
 _SHAPES = [(CLASSES, DIM), (2 * REACH, DIM, HIDDEN), (HIDDEN,), (HIDDEN, CLASSES), (CLASSES,)]
 
@@ -155,19 +155,25 @@ class Network:
 
     def step(self, near: np.ndarray, target: np.ndarray, rate: float, seen: list[np.ndarray]) -> None:
         emb, mix, bias, out, out_bias = self.parts
-        x = emb[near]
-        h = np.tanh(np.einsum("nkd,kdh->nh", x, mix, optimize=True) + bias)
-        z = h @ out + out_bias
-        z -= z.max(1, keepdims=True)
-        p = np.exp(z)
+        n, classes, hidden = len(target), len(emb), len(bias)
+        tables = np.concatenate([emb @ m for m in mix])  # what each class adds to the hidden layer at each place
+        at = near + np.arange(near.shape[1]) * classes
+        h = tables[at].sum(1)
+        h += bias
+        np.tanh(h, out=h)
+        p = h @ out
+        p += out_bias
+        p -= p.max(1, keepdims=True)
+        np.exp(p, out=p)
         p /= p.sum(1, keepdims=True)
-        p[np.arange(len(target)), target] -= 1
-        p /= len(target)
+        p[np.arange(n), target] -= 1
+        p /= n
         dh = (p @ out.T) * (1 - h * h)
-        dx = np.einsum("nh,kdh->nkd", dh, mix, optimize=True)
-        demb = np.zeros_like(emb)
-        np.add.at(demb, near, dx)
-        grads = [demb, np.einsum("nkd,nh->kdh", x, dh, optimize=True), dh.sum(0), h.T @ p, p.sum(0)]
+        cells = (at[:, :, None] * hidden + np.arange(hidden)).ravel()
+        weights = np.broadcast_to(dh[:, None, :], (n, near.shape[1], hidden)).ravel()
+        dtables = np.bincount(cells, weights, tables.size).astype(np.float32).reshape(-1, classes, hidden)
+        demb = np.einsum("kch,kdh->cd", dtables, mix, optimize=True)
+        grads = [demb, np.einsum("cd,kch->kdh", emb, dtables, optimize=True), dh.sum(0), h.T @ p, p.sum(0)]
         for part, g, s in zip(self.parts, grads, seen, strict=True):
             s += g * g
             part -= rate * g / (np.sqrt(s) + 1e-6)

@@ -267,6 +267,27 @@ def test_pseudo_likelihood(spark):
     assert pseudo_likelihood.pseudo_likelihood(frame(spark, texts).limit(0)).count() == 0
 
 
+def test_training_takes_every_window(spark):
+    coded = [bytes([1, 2, 3]), bytes([4]), bytes(range(1, 101))]
+    for number in range(pseudo_likelihood.ROUNDS):
+        every = pseudo_likelihood.EVERY
+        _, target, of = pseudo_likelihood.windows(coded, every, number * (every // 2))
+        assert target.tolist() == list(b"".join(coded)) and of.tolist() == [0] * 3 + [1] + [2] * 100
+    table = spark.createDataFrame([(bytes([1, 2, 3]),)] * 8, "codes binary")
+    flat, start = pseudo_likelihood.train(table).flat(), pseudo_likelihood.Network().flat()
+    bias = (flat - start)[-pseudo_likelihood.CLASSES :]
+    assert (bias[1:4] > 0).all() and (np.delete(bias, [1, 2, 3]) < 0).all()
+
+
+def test_production_scores_follow_the_context(spark):
+    r = random.Random(3)
+    texts = [" ".join(f"the n{r.randrange(30)} of a n{r.randrange(30)} is big ." for _ in range(r.randint(3, 30))) for _ in range(250)]
+    mixed = texts[0].split()
+    r.shuffle(mixed)
+    got = {x.doc_id: x for x in pseudo_likelihood.pseudo_likelihood(frame(spark, [*texts, " ".join(mixed)])).collect()}
+    assert got[0].mean_logp > got[250].mean_logp + 0.5
+
+
 def test_network_scores_are_probabilities():
     net = pseudo_likelihood.Network()
     near = np.zeros((pseudo_likelihood.CLASSES, 4), np.uint8)
