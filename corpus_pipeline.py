@@ -11,6 +11,7 @@ from juriloom.llm import hyperminhash, packing, quality_rules, toxicity
 from juriloom.llm.runtime import written
 
 TOKENIZER = "byte_bpe_50k.json"
+NEAR = 80  # percent of their shingles that near-duplicates share
 
 
 def stage_toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,7 +28,7 @@ def stage_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def stage_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates stays, the one with the least id; of rows with one id, one stays.
     Rows without an id are in no group and stay."""
-    kept = hyperminhash.near_duplicates(docs).filter(F.col("kept") & F.col("doc_id").isNotNull()).select("doc_id").distinct()
+    kept = hyperminhash.near_duplicates(docs, percent=NEAR).filter(F.col("kept") & F.col("doc_id").isNotNull()).select("doc_id").distinct()
     named = docs.filter(F.col("doc_id").isNotNull()).join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
     return named.select(docs.columns).unionByName(docs.filter(F.col("doc_id").isNull()))
 

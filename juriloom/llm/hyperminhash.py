@@ -17,6 +17,7 @@ probability of their Jaccard similarity, however few shingles they have.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,7 +29,8 @@ from pyspark.sql import functions as F
 from .components import connected
 from .runtime import bound_batches, same_dtype, slices, text_rows, written
 
-BUCKETS, BANDS, ROWS = 128, 25, 5
+BUCKETS = 128
+MISS = 4.5e-7  # the probability with which a pair at exactly the threshold may share no band
 MANTISSA = 10
 BLOCK = 512
 # Standard errors of the estimate by which a pair may fall short of the threshold before it is sorted out.
@@ -123,6 +125,18 @@ def likely(threshold: float) -> float:
     return threshold - SLACK * (threshold * (1 - threshold) / BUCKETS) ** 0.5
 
 
+def banding(percent: int) -> tuple[int, int]:
+    """(bands, registers in each): as many registers in a band as leave enough bands to hold MISS at the threshold."""
+    if percent >= 100:
+        return 1, BUCKETS  # equal sets agree in all registers
+    for size in range(BUCKETS, 0, -1):
+        agree = (percent / 100) ** size
+        bands = math.ceil(math.log(MISS) / math.log1p(-agree)) if agree > 0 else BUCKETS + 1
+        if bands * size <= BUCKETS:
+            return bands, size
+    raise ValueError(f"{BUCKETS} registers are too few for pairs at {percent} percent")
+
+
 def _sketch(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
     for batch in slices(batches, 4 << 20):
         counts, keys, regs = [], [], []
@@ -134,14 +148,14 @@ def _sketch(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordB
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(keys, pa.binary()), pa.array(regs, pa.binary())], ["__id", "n_shingles", "set_key", "regs"])
 
 
-def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    salt = _mix(np.arange(BANDS, dtype=_U) + _U(77))
-    weights = _mix(np.arange(ROWS, dtype=_U) + _U(991)) | _U(1)
+def _bands(batches: Iterator[pa.RecordBatch], bands: int, size: int) -> Iterator[pa.RecordBatch]:
+    salt = _mix(np.arange(bands, dtype=_U) + _U(77))
+    weights = _mix(np.arange(size, dtype=_U) + _U(991)) | _U(1)
     for batch in batches:
         if batch.num_rows:
-            regs = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint16).reshape(batch.num_rows, BUCKETS)[:, : BANDS * ROWS].astype(_U)
-            keys = _mix((regs.reshape(-1, BANDS, ROWS) * weights).sum(2, dtype=_U) + salt).view(np.int64)
-            ids = batch.column(0).take(pa.array(np.repeat(np.arange(batch.num_rows), BANDS)))
+            regs = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint16).reshape(batch.num_rows, BUCKETS)[:, : bands * size].astype(_U)
+            keys = _mix((regs.reshape(-1, bands, size) * weights).sum(2, dtype=_U) + salt).view(np.int64)
+            ids = batch.column(0).take(pa.array(np.repeat(np.arange(batch.num_rows), bands)))
             yield pa.RecordBatch.from_arrays([pa.array(keys.ravel(), pa.int64()), ids], ["band", "id"])
 
 
@@ -170,13 +184,13 @@ def near_duplicates(docs: DataFrame, percent: int = 85, shingle: int = 5, id_col
     bound_batches(spark)
     rows = text_rows(docs, id_col, text_col)
     kind = same_dtype(rows, "__id")
-    least = likely(percent / 100)
+    least, (n_bands, band_size) = likely(percent / 100), banding(percent)
     sketches = written(rows.mapInArrow(lambda b: _sketch(b, shingle), f"__id {kind}, n_shingles bigint, set_key binary, regs binary"), "sketches")
     valid = sketches.filter("set_key is not null and __id is not null")
     classes = valid.groupBy("set_key").agg(F.min("__id").alias("id"))
     # A class's registers come from any one of its rows: those of the least id, so that nothing is gathered.
     reps = written(valid.join(classes.withColumnRenamed("id", "__id"), ["set_key", "__id"], "left_semi").dropDuplicates(["set_key"]).select(F.col("__id").alias("id"), "n_shingles", "regs"), "representatives")
-    bands = written(reps.select("id", "regs").mapInArrow(_bands, f"band bigint, id {kind}"), "bands")
+    bands = written(reps.select("id", "regs").mapInArrow(lambda b: _bands(b, n_bands, band_size), f"band bigint, id {kind}"), "bands")
     groups = bands.groupBy("band").agg(F.min("id").alias("leader"), F.count(F.lit(1)).alias("n")).filter("n > 1")
     members = written(bands.join(groups, "band"), "members")  # of buckets with company only
     pairs = members.filter("id != leader").select(F.col("id").alias("a"), F.col("leader").alias("b")).distinct()

@@ -5,6 +5,7 @@ import random
 import numpy as np
 import pytest
 
+import corpus_pipeline
 from juriloom.llm import ego_join, html_mincut, hyperminhash, license_scan, pseudo_likelihood, quality_rules, toxicity
 from juriloom.llm.components import connected
 
@@ -67,6 +68,27 @@ def test_near_duplicates_edges(spark):
     assert hyperminhash.near_duplicates(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("percent", [20, 50, 80, 85, 95, 99, 100])
+def test_bands_hold_the_threshold(percent):
+    bands, size = hyperminhash.banding(percent)
+    assert bands * size <= hyperminhash.BUCKETS and (1 - (percent / 100) ** size) ** bands <= 4.5e-7
+    assert percent != 85 or (bands, size) == (25, 5)
+    with pytest.raises(ValueError):
+        hyperminhash.banding(5)
+
+
+def test_pipeline_links_at_80_percent(spark):
+    texts = []
+    for i in range(30):
+        words = [f"w{i}x{j}" for j in range(50)]
+        near, far = words[:], words[:]
+        near[20] = "other"  # 41 of 51 shingles are shared
+        far[10] = far[30] = "other"  # 36 of 56
+        texts += [" ".join(words), " ".join(near), " ".join(far)]
+    kept = corpus_pipeline.stage_near_duplicates(spark, frame(spark, texts), "")
+    assert sorted(r.doc_id for r in kept.collect()) == [i for i in range(90) if i % 3 != 1]
+
+
 def test_registers_estimate_similarity():
     r = np.random.default_rng(3)
     for n, share in ((20, 0.9), (400, 0.6), (5000, 0.85)):
