@@ -21,10 +21,12 @@ from pyspark.sql import functions as F
 from .runtime import bound_batches, rare_gc, same_dtype, slices
 
 # Element names of HTML by what they mean for text.
-_RAW = frozenset("script style template noscript iframe object svg math canvas video audio select option datalist".split())
+_RAW = frozenset("script style template noscript iframe canvas video audio select option datalist annotation annotation-xml defs desc metadata symbol".split())
 _OPAQUE = frozenset("script style title textarea xmp noframes".split())
-_VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-_INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
+_VOID = frozenset("area base br col embed hr img input link meta param source track wbr mspace mprescripts".split())
+_INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split()) | frozenset(
+    "math maction menclose merror mfrac mi mmultiscripts mn mo mover mpadded mphantom mroot mrow ms msqrt mstyle msub msubsup msup mtable mtd mtext mtr munder munderover semantics tspan".split()
+)
 _CLOSES = {"p": frozenset("address article aside blockquote details div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())}
 _SAME = frozenset("li dt dd tr td th option p".split())
 # Elements, roles and words of class and id that mark furniture or content.
@@ -35,10 +37,15 @@ _BAD_WORDS = frozenset(
 )
 _GOOD_WORDS = frozenset("article content post entry story main body text blog page".split())
 _SOFT = frozenset("header banner".split())
+_COMMENTS = frozenset("comment comments".split())
+_MODIFIERS = frozenset("has no with without is not".split())  # has-sidebar tells of the page, not of the element
+# What a class or id costs that names furniture; names of content in the same element make up for it.
+BAD, BAD_COMMENTS, GOOD, GOOD_PART = 5.0, 8.0, 6.0, 4.0
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(?:!|\?)[^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
-_ATTRIBUTE = re.compile(r"(class|id|role|hidden|style|aria-hidden)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?", re.I)
-_WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
+_ATTRIBUTE = re.compile(r"([^\s=\"'/>]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?")
+_PART = re.compile(r"[A-Z]?[a-z\d]+|[A-Z\d]+")  # digits stay with their letters
+_READ = frozenset("class id role hidden style aria-hidden".split())
 _STOPS = re.compile(r"[.!?;:,](?:\s|$)")
 
 SCALE = 100  # capacities are whole numbers
@@ -62,7 +69,7 @@ class Block:
 
 
 def _element(name: str, attributes: str, parent: Element | None) -> Element:
-    score, furniture, hidden = 0.0, False, name in _RAW
+    score, furniture, hidden, names = 0.0, False, name in _RAW, []
     if name in _FURNITURE:
         furniture = True
     elif name == "article" or name == "main":
@@ -71,25 +78,46 @@ def _element(name: str, attributes: str, parent: Element | None) -> Element:
         score = -1.0 if parent is not None and _inside(parent, "article") else -9.0
     if attributes and not attributes.isspace():
         for key, value in _ATTRIBUTE.findall(attributes):
-            key, value = key.lower(), value.strip("\"'").lower() if key.lower() in ("role", "style", "aria-hidden") else value.strip("\"'")
+            key = key.lower()
+            if key not in _READ:
+                continue
+            value = value.strip("\"'").lower() if key in ("role", "style", "aria-hidden") else value.strip("\"'")
             if key == "role":
                 furniture |= value in _ROLES
             elif key == "hidden" or key == "aria-hidden" and value == "true" or key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
                 hidden = True
             elif key in ("class", "id"):
-                words = {w.lower() for w in _WORD.findall(value)}
-                bad, good = words & _BAD_WORDS, words & _GOOD_WORDS
-                if bad and name not in ("html", "body", "article", "main") and not (good and bad <= _SOFT):
-                    furniture = True
-                elif "comment" in words or "comments" in words:
-                    furniture = True
-                elif good:
-                    score += 1.0
+                names += value.split()
+    bad, good = _named(names)
+    if name in ("html", "body") or name in ("article", "main") and bad < BAD_COMMENTS:
+        bad = 0.0
+    above = parent.score if parent is not None else 0.0
+    if bad > good:
+        above, score = min(above, 0.0), min(score, 0.0) + good - bad
+    elif bad or good:
+        score += min(1.0, good - bad)
     if parent is not None:
-        return Element(name, parent, parent.depth + 1, parent.score + score, furniture or parent.furniture, hidden or parent.hidden)
+        return Element(name, parent, parent.depth + 1, above + score, furniture or parent.furniture, hidden or parent.hidden)
     return Element(name, None, 0, score, furniture, hidden)
 
 
+def _named(names: list[str]) -> tuple[float, float]:
+    """What the names of an element's class and id say for furniture and for content: the strongest of each. A name that
+    holds words of both kinds is one of furniture, except for an article's own header."""
+    bad = good = 0.0
+    for token in names:
+        parts = [w.lower() for w in _PART.findall(token)]
+        if not parts or len(parts) > 1 and parts[0] in _MODIFIERS:
+            continue
+        words = set(parts)
+        worse = words & _BAD_WORDS
+        if worse and not (words & _GOOD_WORDS and worse <= _SOFT):
+            bad = max(bad, BAD_COMMENTS if len(parts) == 1 and worse <= _COMMENTS else BAD)
+        elif words & _GOOD_WORDS:
+            good = max(good, GOOD if len(parts) == 1 else GOOD_PART)
+    return bad, good
+
+
 def _inside(element: Element | None, name: str) -> bool:
     while element is not None:
         if element.name == name:
@@ -267,7 +295,7 @@ def min_cut(source: list[int], sink: list[int], edges: list[tuple[int, int, int]
 def label(blocks: list[Block]) -> list[bool]:
     if not blocks:
         return []
-    has_article = any(not b.element.furniture and (_inside(b.element, "article") or _inside(b.element, "main")) for b in blocks)
+    has_article = any(not b.element.furniture and b.element.score > 0 and (_inside(b.element, "article") or _inside(b.element, "main")) for b in blocks)
     odds = [log_odds(b, has_article) for b in blocks]
     source = [round(SCALE * max(0.0, x)) for x in odds]
     sink = [round(SCALE * max(0.0, -x)) for x in odds]

@@ -152,6 +152,27 @@ def test_page_without_article():
     assert html_mincut.main_text(page) == " ".join([text.strip()] * 2)
 
 
+SENTENCES = "This is a sentence of some length, as articles have them. " * 4
+
+
+@pytest.mark.parametrize("names", ["class='content has-sidebar'", "id='post-4ad2'", "class='main-content no-comments'", "class='content sidebar-right'", "data-id='ad-1'", "data-hidden='false'", "data-class=sidebar"])
+def test_names_do_not_hide_an_article(names):
+    page = f"<body><div class=menu><a href=x>One</a> <a href=y>Two</a></div><div {names}><p>{SENTENCES}</p><p>{SENTENCES}</p></div><div class='footer'>imprint</div>"
+    assert html_mincut.main_text(page) == " ".join([SENTENCES.strip()] * 2)
+
+
+@pytest.mark.parametrize("names", ["class='sidebar'", "id=comments", "class='cookie-notice'", "class='post-comments'", "class='shareBox'", "hidden", "style='display: none'"])
+def test_names_of_furniture(names):
+    page = f"<body><article><p>{SENTENCES}</p><p>{SENTENCES}</p><div {names}><p>{SENTENCES} x</p><p>{SENTENCES} y</p></div></article>"
+    assert html_mincut.main_text(page) == " ".join([SENTENCES.strip()] * 2)
+
+
+def test_text_that_stays():
+    page = f"<article><p>{SENTENCES} See <a href='/hidden-gems'>gems</a> and <math><mi>x</mi><mo>=</mo><msup><mn>2</mn></msup></math>.</p><object><p>{SENTENCES}</p></object></article>"
+    assert html_mincut.main_text(page) == f"{SENTENCES.strip()} See gems and x=2. {SENTENCES.strip()}"
+    assert "Label" in html_mincut.main_text(f"<article><p>{SENTENCES}</p><svg><title>t</title><text>Label</text></svg><p>{SENTENCES}</p></article>")
+
+
 def test_minimum_cut_against_all_labellings():
     r = random.Random(6)
     for _ in range(200):
