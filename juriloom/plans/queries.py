@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..functions import vocabulary as V
 from ..operators import assemble, chunking, dedup, fts, graph, history, legal, rerank, search
 from ..sources import catalog
 from . import indexing
@@ -483,6 +484,20 @@ def rerank_vectors(spark, sf):
     return scored.select(F.col("pos").alias("vec_id"), F.round("rerank_score", 6).alias("score"))
 
 
+@query(
+    """WITH q AS (SELECT embedding AS q FROM embeddings WHERE vec_id = 7), s AS (SELECT vec_id, list_cosine_similarity(embedding::DOUBLE[], q::DOUBLE[]) AS c FROM embeddings, q)
+SELECT vec_id, round(c, 6) AS score FROM s ORDER BY c DESC, vec_id LIMIT 14"""
+)
+def rerank_vectors_whole(spark, sf):
+    """The funnel over the whole table: the shortlist is the nearest vectors, whatever their ids."""
+    rows = table(spark, sf, "embeddings")
+    asked = rows.filter("vec_id = 7").select(F.col("embedding").alias("q"))
+    scored = rows.crossJoin(F.broadcast(asked)).select("vec_id", rerank.cosine(F.col("embedding"), F.col("q")).alias("score"))  # one question vector
+    nearest = scored.orderBy(F.desc("score"), "vec_id").limit(V.SHORTLIST)
+    pool = nearest.withColumn("pos", F.row_number().over(Window.orderBy(F.desc("score"), "vec_id")))
+    return rerank.rerank(pool, lambda x: x, content="score").select("vec_id", F.round("rerank_score", 6).alias("score"))
+
+
 @query(
     r"""SELECT doc_id, contains(t, 'the') AND contains(t, 'an') AND (contains(t, 'idiot') OR contains(t, 'with')) AND NOT contains(t, 'trash') AS passed FROM (SELECT doc_id, strip_accents(lower(text)) AS t FROM documents)"""
 )
