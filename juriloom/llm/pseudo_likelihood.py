@@ -2,10 +2,11 @@
 
 A word's probability given its neighbours is P(class | two words to the left, two to the right) * P(word | class). The
 network gives the first: class embeddings of the four neighbours, a hidden layer, a softmax over all classes. Corpus counts
-over all texts give the second, and the classes: the most frequent words are classes of their own, the others are classed
-by their last letters. The sum of the logarithms over every word is the text's pseudo-likelihood.
+over all texts give the second, for every word, and the classes: the most frequent words are classes of their own, the
+others are classed by their last letters; the number of classes grows with the vocabulary. The sum of the logarithms over every word is the text's pseudo-likelihood.
 
-Texts are read twice (counts; class codes, one byte a word, to a table). Training goes over the table in rounds: every
+Texts are read twice (counts; class codes, one or two bytes a word, to a table). The workers hold the most frequent words; a
+text's other words go to the table too and are joined with their counts. Training goes over the table in rounds: every
 partition trains from the shared weights on the windows of all words of its texts, and the partitions' weights are averaged.
 What is counted and trained on grows with the corpus.
 """
@@ -19,6 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,50 +28,47 @@ from .runtime import bound_batches, same_dtype, slices, text_rows, tree_sum, wri
 
 OWN, SUFFIX = 64, 63
 CLASSES = OWN + SUFFIX + 1  # 0 is the edge of a text
-KNOWN = 20_000  # words with probabilities of their own, at most; the others of a class share its rest
+PER_CLASSES = 100_000  # words of the vocabulary up to which there are so many classes; beyond, they grow by its fourth root
+KNOWN = 20_000  # words that the workers hold, at most; the counts of the others are joined
 DIM, HIDDEN, REACH = 12, 24, 2
 EVERY = 1  # one window in so many words is drawn for training: all of them
 ROUNDS, BATCH = 2, 512
-_SHAPES = [(CLASSES, DIM), (2 * REACH, DIM, HIDDEN), (HIDDEN,), (HIDDEN, CLASSES), (CLASSES,)]
 
 
 def words_of(text: str) -> list[bytes]:
     return text.encode("utf-8", "replace").lower().split()
 
 
-def _suffix_class(word: bytes) -> int:
-    return 1 + OWN + zlib.crc32(word[-3:]) % SUFFIX
+def class_sizes(types: int) -> tuple[int, int]:
+    """How many words are classes of their own, and how many classes the others have, for so many different words."""
+    growth = max(1.0, types / PER_CLASSES) ** 0.25
+    return int(OWN * growth), int(SUFFIX * growth)
 
 
 class Lexicon:
-    """Classes of words and log P(word | class)."""
-
-    def __init__(self, top: list[tuple[bytes, int]], totals: dict[int, tuple[int, int]]):
-        """top: the most frequent words and their counts, in order; totals: class -> (count, types) of the words beyond."""
-        self.own = {w: i + 1 for i, (w, _) in enumerate(top[:OWN])}
-        known: dict[int, list[tuple[bytes, int]]] = {}
-        for w, n in top[OWN:]:
-            known.setdefault(_suffix_class(w), []).append((w, n))
-        self.log: dict[bytes, float] = {w: 0.0 for w in self.own}
-        self.rest: dict[int, float] = {}
-        for c in range(OWN + 1, CLASSES):
-            count, types = totals.get(c, (0, 0))
-            all_words = count + sum(n for _, n in known.get(c, [])) + 1  # one for what was never seen
-            for w, n in known.get(c, []):
-                self.log[w] = math.log(n / all_words)
-            self.rest[c] = math.log((count + 1) / (types + 1) / all_words)
-
-    def __call__(self, word: bytes) -> tuple[int, float]:
-        c = self.own.get(word)
-        if c is not None:
-            return c, 0.0
-        c = _suffix_class(word)
+    """Classes of words and log P(word | class); of the words beyond the most frequent ones the class only."""
+
+    def __init__(self, top: list[tuple[bytes, int]], totals: dict[int, int], own: int, suffix: int):
+        """top: the most frequent words and their counts, in order; totals: class -> count of all words beyond."""
+        self.first, self.suffix, self.classes = 1 + own, suffix, 1 + own + suffix
+        self.own = {w: i + 1 for i, (w, _) in enumerate(top[:own])}
+        self.totals = {c: totals.get(c, 0) + 1 for c in range(self.first, self.classes)}  # one for what was never seen
+        for w, n in top[own:]:
+            self.totals[self.suffix_class(w)] += n
+        self.log: dict[bytes, float] = {w: 0.0 for w in self.own} | {w: math.log(n / self.totals[self.suffix_class(w)]) for w, n in top[own:]}
+
+    def suffix_class(self, word: bytes) -> int:
+        return self.first + zlib.crc32(word[-3:]) % self.suffix
+
+    def __call__(self, word: bytes) -> tuple[int, float, bytes | None]:
+        """Class, log probability, and the word if its count is to be joined."""
         p = self.log.get(word)
-        return c, self.rest[c] if p is None else p
+        return self.own.get(word) or self.suffix_class(word), p or 0.0, word if p is None else None
 
 
-def lexicon(rows: DataFrame) -> Lexicon:
-    """Counts of all words of all texts: summed per partition, then by word; only bounded tables come to the driver."""
+def lexicon(rows: DataFrame) -> tuple[Lexicon, DataFrame]:
+    """Counts of all words of all texts: summed per partition, then by word; only bounded tables come to the driver. Also
+    (word, logp) of each word that the lexicon does not hold."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: Counter = Counter()
@@ -97,19 +96,30 @@ def lexicon(rows: DataFrame) -> Lexicon:
     known = F.lit(False) if least is None else step >= least
     top = sorted(((bytes(r["word"]), r["n"]) for r in counts.filter(known).collect()), key=lambda x: (-x[1], x[0]))
     beyond = counts.filter(~known)
+    own, suffix = class_sizes(sum(types for _, types in sizes))
     end = F.col("word").substr(F.greatest(F.octet_length("word") - 2, F.lit(1)), F.lit(3))
-    kind = (1 + OWN + F.crc32(end) % SUFFIX).cast("int")
-    totals = {r["c"]: (r["n"], r["t"]) for r in beyond.groupBy(kind.alias("c")).agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("t")).collect()}
-    return Lexicon(top, totals)
+    kind = (1 + own + F.crc32(end) % suffix).cast("int")
+    totals = {r["c"]: r["n"] for r in beyond.groupBy(kind.alias("c")).agg(F.sum("n").alias("n")).collect()}
+    words = Lexicon(top, totals, own, suffix)
+    of_class = F.array(*[F.lit(float(words.totals[c])) for c in range(words.first, words.classes)])
+    return words, beyond.select("word", F.log(F.col("n") / F.element_at(of_class, kind - own)).alias("logp"))
+
+
+def _code_type(classes: int) -> type:
+    return np.uint8 if classes <= 256 else np.uint16
 
 
 def codes(rows: DataFrame, words: Lexicon, kind: str) -> DataFrame:
+    """Of each row: its number, its words' classes, the sum of log P(word | class) of those that the lexicon holds, and the
+    other words."""
+    code = _code_type(words.classes)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache: dict[bytes, tuple[int, float]] = {}
+        cache: dict[bytes, tuple[int, float, bytes | None]] = {}
+        number = TaskContext.get().partitionId() << 40
         for batch in slices(batches, 2 << 20):
             if len(cache) > 150_000:
                 cache.clear()
-            out, logs = [], []
+            out, logs, beyond = [], [], []
             for text in batch.column(1).to_pylist():
                 ws = words_of(text)
                 got = list(map(cache.get, ws))
@@ -117,21 +127,30 @@ def codes(rows: DataFrame, words: Lexicon, kind: str) -> DataFrame:
                     for i, g in enumerate(got):
                         if g is None:
                             got[i] = cache[ws[i]] = words(ws[i])
-                out.append(bytes([g[0] for g in got]))
+                out.append(np.array([g[0] for g in got], code).tobytes())
                 logs.append(sum([g[1] for g in got]))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary()), pa.array(logs, pa.float64())], ["__id", "codes", "within"])
+                beyond.append([g[2] for g in got if g[2] is not None])
+            row = pa.array(np.arange(number, number + len(out)), pa.int64())
+            number += len(out)
+            arrays = [batch.column(0), row, pa.array(out, pa.binary()), pa.array(logs, pa.float64()), pa.array(beyond, pa.list_(pa.binary()))]
+            yield pa.RecordBatch.from_arrays(arrays, ["__id", "row", "codes", "within", "beyond"])
+
+    return written(rows.mapInArrow(run, f"__id {kind}, row bigint, codes binary, within double, beyond array<binary>"), "codes")
+
 
-    return written(rows.mapInArrow(run, f"__id {kind}, codes binary, within double"), "codes")
+def _shapes(classes: int) -> list[tuple[int, ...]]:
+    return [(classes, DIM), (2 * REACH, DIM, HIDDEN), (HIDDEN,), (HIDDEN, classes), (classes,)]
 
 
 class Network:
-    def __init__(self, flat: np.ndarray | None = None):
+    def __init__(self, flat: np.ndarray | None = None, classes: int = CLASSES):
+        shapes = _shapes(classes)
         if flat is None:
             r = np.random.default_rng(11)
-            self.parts = [(r.normal(0, 0.1, s) if len(s) > 1 else np.zeros(s)).astype(np.float32) for s in _SHAPES]
+            self.parts = [(r.normal(0, 0.1, s) if len(s) > 1 else np.zeros(s)).astype(np.float32) for s in shapes]
         else:
-            ends = np.cumsum([math.prod(s) for s in _SHAPES])
-            self.parts = [x.reshape(s).astype(np.float32) for x, s in zip(np.split(flat, ends[:-1]), _SHAPES, strict=True)]
+            ends = np.cumsum([math.prod(s) for s in shapes])
+            self.parts = [x.reshape(s).astype(np.float32) for x, s in zip(np.split(flat, ends[:-1]), shapes, strict=True)]
 
     def flat(self) -> np.ndarray:
         return np.concatenate([p.ravel() for p in self.parts]).astype(np.float64)
@@ -179,12 +198,13 @@ class Network:
             part -= rate * g / (np.sqrt(s) + 1e-6)
 
 
-def windows(coded: list[bytes], every: int, offset: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def windows(coded: list[bytes], every: int, offset: int, code: type = np.uint8) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(neighbours, targets, text number) of every so-many-th word of each text; the offset moves from text to text, so
     that short texts are drawn as well."""
-    edge = bytes(REACH)
-    data = np.frombuffer(edge + edge.join(coded) + edge, np.uint8)
-    lengths = np.fromiter(map(len, coded), np.int64, len(coded))
+    size = np.dtype(code).itemsize
+    edge = bytes(REACH * size)
+    data = np.frombuffer(edge + edge.join(coded) + edge, code)
+    lengths = np.fromiter(map(len, coded), np.int64, len(coded)) // size
     starts = np.cumsum(lengths + REACH) - lengths
     of = np.repeat(np.arange(len(coded)), lengths)
     at = np.arange(len(of)) - np.repeat(np.cumsum(lengths) - lengths, lengths) + np.repeat(starts, lengths)
@@ -195,15 +215,15 @@ def windows(coded: list[bytes], every: int, offset: int) -> tuple[np.ndarray, np
     return near, data[at], of
 
 
-def train(table: DataFrame, rounds: int = ROUNDS, every: int = EVERY) -> Network:
-    flat = Network().flat()
+def train(table: DataFrame, rounds: int = ROUNDS, every: int = EVERY, classes: int = CLASSES) -> Network:
+    flat, code = Network(classes=classes).flat(), _code_type(classes)
     for number in range(rounds):
 
         def local(batches: Iterator[pa.RecordBatch], start: np.ndarray = flat, number: int = number) -> Iterator[np.ndarray]:
-            net, used = Network(start), 0
-            seen = [np.full(s, 1e-3, np.float32) for s in _SHAPES]
+            net, used = Network(start, classes), 0
+            seen = [np.full(s, 1e-3, np.float32) for s in _shapes(classes)]
             for batch in slices(batches, 1 << 20):
-                near, target, _ = windows([x for x in batch.column(0).to_pylist() if x], every, number * (every // 2))
+                near, target, _ = windows([x for x in batch.column(0).to_pylist() if x], every, number * (every // 2), code)
                 order = np.random.default_rng(number).permutation(len(target))
                 for s in range(0, len(order), BATCH):
                     pick = order[s : s + BATCH]
@@ -214,7 +234,7 @@ def train(table: DataFrame, rounds: int = ROUNDS, every: int = EVERY) -> Network
         total = tree_sum(table.select("codes"), local)
         if total[-1]:
             flat = total[:-1] / total[-1]
-    return Network(flat)
+    return Network(flat, classes)
 
 
 def pseudo_likelihood(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds: int = ROUNDS, every: int = EVERY) -> DataFrame:
@@ -226,17 +246,21 @@ def pseudo_likelihood(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     bound_batches(docs.sparkSession)
     rows = text_rows(docs, id_col, text_col)
     kind = same_dtype(rows, "__id")
-    table = codes(rows, lexicon(rows), kind)
-    flat = train(table, rounds, every).flat()
+    words, logs = lexicon(rows)
+    table, classes, code = codes(rows, words, kind), words.classes, _code_type(words.classes)
+    flat = train(table, rounds, every, classes).flat()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        net = Network(flat)
+        net = Network(flat, classes)
         for batch in slices(batches, 1 << 20):
-            coded = batch.column(1).to_pylist()
-            near, target, of = windows(coded, 1, 0)
-            sums = np.bincount(of, net.log_probabilities(near, target), len(coded)) + batch.column(2).to_numpy()
-            n = np.fromiter(map(len, coded), np.int64, len(coded))
-            mean = pa.array(np.where(n > 0, sums / np.maximum(n, 1), np.nan), mask=n == 0)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(sums), mean], ["__id", "n_tokens", "pll", "mean_logp"])
-
-    return table.mapInArrow(run, f"__id {kind}, n_tokens bigint, pll double, mean_logp double").withColumnRenamed("__id", id_col)
+            coded = batch.column(2).to_pylist()
+            near, target, of = windows(coded, 1, 0, code)
+            sums = np.bincount(of, net.log_probabilities(near, target), len(coded)) + batch.column(3).to_numpy()
+            n = np.bincount(of, minlength=len(coded))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(sums)], ["__id", "row", "n_tokens", "held"])
+
+    scored = table.select("__id", "row", "codes", "within").mapInArrow(run, f"__id {kind}, row bigint, n_tokens bigint, held double")
+    joined = table.select("row", F.explode("beyond").alias("word")).join(logs, "word").groupBy("row").agg(F.sum("logp").alias("joined"))
+    pll = F.col("held") + F.coalesce("joined", F.lit(0.0))
+    out = scored.join(joined, "row", "left").select(F.col("__id").alias(id_col), "n_tokens", pll.alias("pll"))
+    return out.withColumn("mean_logp", F.when(F.col("n_tokens") > 0, F.col("pll") / F.col("n_tokens")))

@@ -331,6 +331,25 @@ def test_production_scores_follow_the_context(spark):
     assert got[0].mean_logp > got[250].mean_logp + 0.5
 
 
+def test_every_word_has_its_own_count(spark, monkeypatch):
+    words = [w for i in range(90) for w in [f"w{i}"] * int(2000 * 0.95**i)] + ["t0zzz"] * 8 + ["t1zzz"]
+    random.Random(1).shuffle(words)
+    texts = [" ".join(words[i : i + 50]) for i in range(0, len(words), 50)] + ["t0zzz", "t1zzz", "t1zzz", None]
+    scores = lambda: {x.doc_id: x for x in pseudo_likelihood.pseudo_likelihood(frame(spark, texts)).collect()}
+    all_held, n = scores(), len(texts)
+    monkeypatch.setattr(pseudo_likelihood, "KNOWN", 75)
+    got = scores()
+    assert len(got) == n and all(abs(got[i].pll - all_held[i].pll) < 1e-6 and got[i].n_tokens == all_held[i].n_tokens for i in range(n))
+    assert abs(got[n - 4].pll - got[n - 3].pll - math.log(9 / 3)) < 1e-5 and got[n - 1].mean_logp is None
+    monkeypatch.setattr(pseudo_likelihood, "class_sizes", lambda types: (300, 299))
+    assert {i: r.n_tokens for i, r in scores().items()} == {i: r.n_tokens for i, r in got.items()}
+
+
+def test_classes_grow_with_the_vocabulary():
+    assert pseudo_likelihood.class_sizes(0) == pseudo_likelihood.class_sizes(100_000) == (64, 63)
+    assert pseudo_likelihood.class_sizes(1_600_000) == (128, 126) and pseudo_likelihood.class_sizes(10**9) == (640, 630)
+
+
 def test_network_scores_are_probabilities():
     net = pseudo_likelihood.Network()
     near = np.zeros((pseudo_likelihood.CLASSES, 4), np.uint8)
