@@ -26,11 +26,14 @@ def stage_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def stage_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays, the one with the least id; of rows with one id, one stays.
-    Rows without an id are in no group and stay."""
-    kept = hyperminhash.near_duplicates(docs, percent=NEAR).filter(F.col("kept") & F.col("doc_id").isNotNull()).select("doc_id").distinct()
-    named = docs.filter(F.col("doc_id").isNotNull()).join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return named.select(docs.columns).unionByName(docs.filter(F.col("doc_id").isNull()))
+    """One row of each group of near-duplicates stays, the one with the least id. Rows are decided on by their own texts:
+    rows that share an id and are unlike all stay. Rows without an id are in no group and stay."""
+    rows = written(docs.withColumn("__row", F.monotonically_increasing_id()), "numbered")
+    named = rows.filter(F.col("doc_id").isNotNull())
+    groups = hyperminhash.near_duplicates(named, percent=NEAR, id_col="__row").select("__row", "component_id")
+    least = F.min(F.struct("doc_id", "__row"))["__row"].alias("__row")
+    kept = groups.join(named.select("__row", "doc_id"), "__row").groupBy("component_id").agg(least).select("__row")
+    return named.join(kept, "__row", "left_semi").unionByName(rows.filter(F.col("doc_id").isNull())).select(docs.columns)
 
 
 def stage_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -89,6 +89,14 @@ def test_pipeline_links_at_80_percent(spark):
     assert sorted(r.doc_id for r in kept.collect()) == [i for i in range(90) if i % 3 != 1]
 
 
+def test_pipeline_decides_by_row(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(30)) for x in "abc")
+    rows = [(3, a), (3, b), (3, a), (2, b), (7, c), (1, c), (5, None), (5, ""), (None, a), (None, a)]
+    kept = corpus_pipeline.stage_near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string").repartition(3), "")
+    want = [(3, a), (2, b), (1, c), (5, None), (5, ""), (None, a), (None, a)]
+    assert kept.columns == ["doc_id", "text"] and sorted(map(str, (tuple(r) for r in kept.collect()))) == sorted(map(str, want))
+
+
 def test_registers_estimate_similarity():
     r = np.random.default_rng(3)
     for n, share in ((20, 0.9), (400, 0.6), (5000, 0.85)):
