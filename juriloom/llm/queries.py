@@ -7,12 +7,12 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from . import hyperminhash as minhash
 from . import license_scan as licenses
 from . import quality_rules as quality
 from .bpe_codec import encoding_digest
 from .ego_join import near_vectors
 from .html_mincut import extract_text
-from .hyperminhash import near_duplicates
 from .packing import pack
 from .pseudo_likelihood import pseudo_likelihood
 from .runtime import read
@@ -41,7 +41,7 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(read(spark, sf_dir, "documents"))
+    return minhash.near_duplicates(read(spark, sf_dir, "documents"))
 
 
 def op6_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -79,5 +79,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLE_SQL: dict[str, str] = {
     "op2_quality_rules": quality.oracle_sql(),
+    "op5_minhash_dedup": minhash.oracle_sql(),
     "op10_license_scan": licenses.oracle_sql(),
 }

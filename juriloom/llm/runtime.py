@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import gc
 import os
+import shutil
 import tempfile
 import uuid
 import zipfile
@@ -17,6 +19,8 @@ from pyspark.sql import functions as F
 
 # Rows an Arrow batch may hold; texts are long, so far fewer than Spark's 10,000.
 ARROW_ROWS = 512
+# Bytes that a batch may hold.
+ARROW_BYTES = 16 << 20
 # White space of the word rules: space and \x09-\x0D.
 SPACE = "[\\x20\\x09-\\x0D]"
 
@@ -40,34 +44,34 @@ def ship(spark: SparkSession) -> None:
 
 
 def bound_batches(spark: SparkSession, rows: int = ARROW_ROWS) -> None:
-    """Keep the Arrow batches handed to Python small, as their rows are whole texts; and see to it that workers have the code."""
+    """Keep the Arrow batches handed to Python small, in rows and in bytes, as their rows are whole texts: the session's
+    limits are lowered where they are higher. And see to it that workers have the code."""
     ship(spark)
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if int(spark.conf.get(key, "10000")) > rows:
         spark.conf.set(key, str(rows))
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    held = spark.conf.get(key, "64m").lower()
+    if not held.rstrip("b").isdigit() or not 0 < int(held.rstrip("b")) <= ARROW_BYTES:
+        spark.conf.set(key, str(ARROW_BYTES))
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir of the session; only where that is unset (local
-    tests) a temporary one."""
+    """The folder that driver and executors share: spark.checkpoint.dir of the session. Where that is unset, a session in
+    one process (tests) has a temporary one; on a cluster that is an error, as no other node would see its files."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         own = getattr(shared_dir, "own", None)
         if own is None:
             own = shared_dir.own = tempfile.mkdtemp(prefix="juriloom-")
+            atexit.register(shutil.rmtree, own, ignore_errors=True)
         path = f"file://{own}"
-        if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-            spark.sparkContext.setCheckpointDir(path)
     return path
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint in the shared folder."""
-    path = shared_dir(df.sparkSession)
-    context = df.sparkSession.sparkContext
-    if not context._jsc.sc().getCheckpointDir().isDefined():
-        context.setCheckpointDir(path)
-    return df.checkpoint(eager=True)
+_paths: dict[int, tuple[DataFrame, str]] = {}  # tables that written() made and nothing has released, with their places
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -75,15 +79,30 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/juriloom-tables/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    _paths[id(table)] = table, path
+    return table
 
 
-def delete_tables(spark: SparkSession) -> None:
-    """Remove what written() has left in the shared folder."""
-    root = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark).rstrip('/')}/juriloom-tables")
+def release(*tables: DataFrame) -> None:
+    """Delete tables that written() made and that nothing reads any more."""
+    for table in tables:
+        _, path = _paths.pop(id(table), (None, None))
+        if path:
+            _delete(table.sparkSession, path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
     root.getFileSystem(spark._jsc.hadoopConfiguration()).delete(root, True)
 
 
+def delete_tables(spark: SparkSession) -> None:
+    """Remove all that written() has left in the shared folder; results that read these tables are gone with them."""
+    _paths.clear()
+    _delete(spark, f"{shared_dir(spark).rstrip('/')}/juriloom-tables")
+
+
 def text_rows(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Only the id and the text under fixed names, so that no other column can clash; null text is empty text."""
     return df.select(F.col(id_col).alias("__id"), F.coalesce(F.col(text_col), F.lit("")).alias("__text"))

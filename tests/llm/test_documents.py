@@ -52,9 +52,10 @@ def brute_components(texts):
     return [root(i) for i in range(len(texts))]
 
 
-@pytest.mark.parametrize("block", [512, 4])
-def test_near_duplicates_against_all_pairs(spark, monkeypatch, block):
+@pytest.mark.parametrize("block, shingles_held", [(512, 1 << 19), (4, 1 << 19), (512, 100)])
+def test_near_duplicates_against_all_pairs(spark, monkeypatch, block, shingles_held):
     monkeypatch.setattr(hyperminhash, "BLOCK", block)
+    monkeypatch.setattr(hyperminhash, "BLOCK_SHINGLES", shingles_held)
     texts = copies(1)
     got = {r.doc_id: r for r in hyperminhash.near_duplicates(frame(spark, texts)).collect()}
     assert [got[i].component_id for i in range(len(texts))] == brute_components(texts)
@@ -68,6 +69,33 @@ def test_near_duplicates_edges(spark):
     assert hyperminhash.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_ids_with_several_texts_join_their_links(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(20)) for x in "abc")
+    rows = [(1, a), (1, b), (0, b), (2, a), (9, c), (7, c), (9, "x"), (9, None), (5, "x")]
+    got = {(r.doc_id, r.component_id) for r in hyperminhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    assert got == {(0, 0), (1, 0), (2, 0), (5, 5), (7, 5), (9, 5), (9, 9)}  # the last has no words
+
+
+def test_shingles_of_long_texts(monkeypatch):
+    r = random.Random(2)
+    words = [r.choice("abc") * r.randint(1, 9) for _ in range(4000)]
+    whole = hyperminhash.shingle_hashes(" ".join(words))
+    assert len(whole) == len(shingles(" ".join(words)))
+    monkeypatch.setattr(hyperminhash, "_CHUNK", 700)
+    assert (hyperminhash.shingle_hashes(" ".join(words)) == whole).all()
+    words[100], words[101], words[3000] = "z" * 5000, "y" * 300, "x" * 690
+    assert len(hyperminhash.shingle_hashes(" ".join(words))) == len(shingles(" ".join(words)))
+
+
+def test_long_repeats_of_two_letters_differ():
+    # Powers modulo 2^64 give the Thue-Morse word and its complement one sum.
+    bits = [0]
+    while len(bits) < 4096:
+        bits += [1 - x for x in bits]
+    x, y = ("".join("ab"[v ^ k] for v in bits) for k in (0, 1))
+    assert hyperminhash.shingle_hashes(x) != hyperminhash.shingle_hashes(y)
+
+
 @pytest.mark.parametrize("percent", [20, 50, 80, 85, 95, 99, 100])
 def test_bands_hold_the_threshold(percent):
     bands, size = hyperminhash.banding(percent)
