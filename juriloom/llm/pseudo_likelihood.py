@@ -1,74 +1,84 @@
 """LM scoring (operator 1): masked pseudo-likelihood with a bidirectional window network, trained in numpy.
 
-A word's probability given its neighbours is P(class | two words to the left, two to the right) * P(word | class). The
-network gives the first: class embeddings of the four neighbours, a hidden layer, a softmax over all classes. Corpus counts
-over all texts give the second, for every word, and the classes: the most frequent words are classes of their own, the
-others are classed by their last letters; the number of classes grows with the vocabulary. The sum of the logarithms over every word is the text's pseudo-likelihood.
-
-Texts are read twice (counts; class codes, one or two bytes a word, to a table). The workers hold the most frequent words; a
-text's other words go to the table too and are joined with their counts. Training goes over the table in rounds: every
-partition trains from the shared weights on the windows of all words of its texts, and the partitions' weights are averaged.
-What is counted and trained on grows with the corpus.
+The network reads the two words to the left and the two to the right of a word and predicts the word through a tree of two
+levels: a softmax over classes, then a softmax over the leaves of the class, both from the same hidden layer. Frequent
+words are leaves of their own, so that the network predicts them down to the word. Rarer words share leaves by their
+spelling; which word of a leaf stands there follows from the corpus with the scored document left out: a word that other
+documents hold is likelier than one that none of them has. The sum of the logarithms over every word is the text's
+pseudo-likelihood.
+
+Texts are read twice: words are counted, then leaf codes go to a table, two bytes a word. The workers hold the counts of the
+most frequent words; a text's other words are joined with theirs by 64-bit hashes. Training goes over the table in rounds,
+each over other slices of it, so that the window of every word is trained on once; in a round every partition trains from
+the shared weights, and the weights are averaged by their number of words. Counts, leaves, and what is joined and trained on grow
+with the corpus.
 """
 
 from __future__ import annotations
 
 import math
-import zlib
 from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import bound_batches, same_dtype, slices, text_rows, tree_sum, written
+from .runtime import bound_batches, release, same_dtype, slices, text_rows, tree_sum, written
 
-OWN, SUFFIX = 64, 63
-CLASSES = OWN + SUFFIX + 1  # 0 is the edge of a text
-PER_CLASSES = 100_000  # words of the vocabulary up to which there are so many classes; beyond, they grow by its fourth root
-KNOWN = 20_000  # words that the workers hold, at most; the counts of the others are joined
-DIM, HIDDEN, REACH = 12, 24, 2
-EVERY = 1  # one window in so many words is drawn for training: all of them
-ROUNDS, BATCH = 2, 512
+WIDTH = 128  # classes, and leaves in each, up to PER_WIDTH different words; beyond, they grow by the fourth root
+PER_WIDTH = 1_000_000
+SIGHTINGS = 8  # occurrences from which on a word may be a leaf of its own
+DIM, REACH = 24, 2
+ROUNDS, BATCH, RATE = 3, 2048, 0.1
+STEPS = 400  # a partition with few words goes over them until it has made so many steps in a round
+UNSEEN = 0.1  # what a word counts that no other document holds
+_SEED = 42  # of Spark's xxhash64()
 
 
 def words_of(text: str) -> list[bytes]:
     return text.encode("utf-8", "replace").lower().split()
 
 
-def class_sizes(types: int) -> tuple[int, int]:
-    """How many words are classes of their own, and how many classes the others have, for so many different words."""
-    growth = max(1.0, types / PER_CLASSES) ** 0.25
-    return int(OWN * growth), int(SUFFIX * growth)
+def word_hash(word: bytes) -> int:
+    """xxhash64() of Spark."""
+    h = xxhash.xxh64_intdigest(word, _SEED)
+    return h - (1 << 64) if h >> 63 else h
 
 
-class Lexicon:
-    """Classes of words and log P(word | class); of the words beyond the most frequent ones the class only."""
+def tree_width(types: int) -> int:
+    """Classes, and leaves in each, for so many different words."""
+    return int(WIDTH * max(1.0, types / PER_WIDTH) ** 0.25)
+
 
-    def __init__(self, top: list[tuple[bytes, int]], totals: dict[int, int], own: int, suffix: int):
-        """top: the most frequent words and their counts, in order; totals: class -> count of all words beyond."""
-        self.first, self.suffix, self.classes = 1 + own, suffix, 1 + own + suffix
-        self.own = {w: i + 1 for i, (w, _) in enumerate(top[:own])}
-        self.totals = {c: totals.get(c, 0) + 1 for c in range(self.first, self.classes)}  # one for what was never seen
-        for w, n in top[own:]:
-            self.totals[self.suffix_class(w)] += n
-        self.log: dict[bytes, float] = {w: 0.0 for w in self.own} | {w: math.log(n / self.totals[self.suffix_class(w)]) for w, n in top[own:]}
+@dataclass
+class Lexicon:
+    """The tree, and the counts that workers hold. Leaf 0 is the edge of a text; own words have the leaves from 1 on, then
+    come leaves that words share: of each cell, the words with the same first two bytes, as many as its share of all words."""
 
-    def suffix_class(self, word: bytes) -> int:
-        return self.first + zlib.crc32(word[-3:]) % self.suffix
+    width: int
+    own: dict[bytes, int]  # word -> leaf
+    held: dict[bytes, int]  # word -> occurrences, of own words and the most frequent others
+    first: np.ndarray  # cell -> its first shared leaf
+    span: np.ndarray  # cell -> how many shared leaves its words are dealt over
+    mass: np.ndarray | None = None  # leaf -> occurrences of its words
+    types: np.ndarray | None = None  # leaf -> different words
 
-    def __call__(self, word: bytes) -> tuple[int, float, bytes | None]:
-        """Class, log probability, and the word if its count is to be joined."""
-        p = self.log.get(word)
-        return self.own.get(word) or self.suffix_class(word), p or 0.0, word if p is None else None
+    def leaf(self, word: bytes, hashed: int | None = None) -> int:
+        found = self.own.get(word)
+        if found is None:
+            cell = (word[0] << 8) + (word[1] if len(word) > 1 else 0)
+            found = int(self.first[cell]) + (word_hash(word) if hashed is None else hashed) % int(self.span[cell])
+        return found
 
 
 def lexicon(rows: DataFrame) -> tuple[Lexicon, DataFrame]:
-    """Counts of all words of all texts: summed per partition, then by word; only bounded tables come to the driver. Also
-    (word, logp) of each word that the lexicon does not hold."""
+    """The lexicon of all words of all texts, and the table (word, n) of their counts. What comes to the driver is bounded:
+    a histogram of counts, the held words (four times the leaves at most), 65,536 cells, and two sums a leaf."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: Counter = Counter()
@@ -85,182 +95,298 @@ def lexicon(rows: DataFrame) -> tuple[Lexicon, DataFrame]:
         yield out()
 
     counts = written(rows.select("__text").mapInArrow(count, "word binary, n bigint").groupBy("word").agg(F.sum("n").alias("n")), "word-counts")
-    # A histogram of the counts by their logarithm (a few hundred rows) tells from which count on words are few enough.
     step = F.floor(F.log2("n") * 16).cast("int")
     sizes = sorted(((r["s"], r["t"]) for r in counts.groupBy(step.alias("s")).agg(F.count(F.lit(1)).alias("t")).collect()), reverse=True)
-    least, held = None, 0
+    width = tree_width(sum(t for _, t in sizes))
+    room, known = 4 * width * width, F.lit(False)
     for s, types in sizes:
-        if held + types > KNOWN:
+        if types <= room:
+            known, room = known | (step == s), room - types
+        else:  # of the border bin, an even share by hash
+            known = known | ((step == s) & (F.pmod(F.xxhash64("word"), F.lit(1_000_000)) < int(950_000 * room / types)))
             break
-        least, held = s, held + types
-    known = F.lit(False) if least is None else step >= least
-    top = sorted(((bytes(r["word"]), r["n"]) for r in counts.filter(known).collect()), key=lambda x: (-x[1], x[0]))
-    beyond = counts.filter(~known)
-    own, suffix = class_sizes(sum(types for _, types in sizes))
-    end = F.col("word").substr(F.greatest(F.octet_length("word") - 2, F.lit(1)), F.lit(3))
-    kind = (1 + own + F.crc32(end) % suffix).cast("int")
-    totals = {r["c"]: r["n"] for r in beyond.groupBy(kind.alias("c")).agg(F.sum("n").alias("n")).collect()}
-    words = Lexicon(top, totals, own, suffix)
-    of_class = F.array(*[F.lit(float(words.totals[c])) for c in range(words.first, words.classes)])
-    return words, beyond.select("word", F.log(F.col("n") / F.element_at(of_class, kind - own)).alias("logp"))
-
-
-def _code_type(classes: int) -> type:
-    return np.uint8 if classes <= 256 else np.uint16
-
-
-def codes(rows: DataFrame, words: Lexicon, kind: str) -> DataFrame:
-    """Of each row: its number, its words' classes, the sum of log P(word | class) of those that the lexicon holds, and the
-    other words."""
-    code = _code_type(words.classes)
+    held = sorted(((bytes(r["word"]), r["n"]) for r in counts.filter(known).collect()), key=lambda x: (-x[1], x[0]))
+    own = sorted(w for w, n in held[: width * width // 2] if n >= SIGHTINGS)
+    cell = (F.conv(F.hex(F.rpad("word", 2, b"\x00")), 16, 10)).cast("int")
+    weights = np.zeros(1 << 16)
+    for r in counts.groupBy(F.coalesce(cell, F.lit(0)).alias("c")).agg(F.sum("n").alias("n")).collect():
+        weights[r["c"]] = r["n"]
+    n_of = dict(held)
+    for w in own:
+        weights[(w[0] << 8) + (w[1] if len(w) > 1 else 0)] -= n_of[w]
+    shared = width * width - 1 - len(own)
+    ends = np.cumsum(weights)
+    total = max(1.0, ends[-1])
+    lo = np.minimum(shared - 1, ((ends - weights) * shared / total)).astype(np.int64)
+    hi = np.minimum(shared - 1, np.maximum(lo, np.ceil(ends * shared / total) - 1)).astype(np.int64)
+    words = Lexicon(width, {w: i + 1 for i, w in enumerate(own)}, n_of, 1 + len(own) + lo, hi - lo + 1)
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
+        out = np.zeros((2, width * width))
+        for b in batches:
+            leaves = np.array([words.leaf(w) for w in b.column(0).to_pylist()], np.int64)
+            out[0] += np.bincount(leaves, b.column(1).to_numpy(), width * width)
+            out[1] += np.bincount(leaves, minlength=width * width)
+        yield out.ravel()
+
+    words.mass, words.types = tree_sum(counts, sums).reshape(2, width * width)
+    return words, counts
+
+
+def coded(rows: DataFrame, words: Lexicon, kind: str) -> DataFrame:
+    """Of each row: its number, its words' leaves, the sum of log P(word | leaf) as far as the workers know the words' counts, how
+    many words no other row holds as far as they know, and hashes and numbers of the other words."""
+    code, shared = _code_type(words), 1 + len(words.own)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache: dict[bytes, tuple[int, float, bytes | None]] = {}
+        leaf_of: dict[bytes, int] = dict(words.own)
+        more: dict[bytes, tuple[int, int, int]] = {}  # leaf, count or -1, hash of words that share a leaf
         number = TaskContext.get().partitionId() << 40
         for batch in slices(batches, 2 << 20):
-            if len(cache) > 150_000:
-                cache.clear()
-            out, logs, beyond = [], [], []
-            for text in batch.column(1).to_pylist():
+            if len(more) > 150_000:
+                leaf_of, more = dict(words.own), {}
+            codes, at, times, found = [], [], [], []
+            alone_own: list[int] = []
+            for i, text in enumerate(batch.column(1).to_pylist()):
                 ws = words_of(text)
-                got = list(map(cache.get, ws))
+                got = list(map(leaf_of.get, ws))
                 if None in got:
-                    for i, g in enumerate(got):
+                    for k, g in enumerate(got):
                         if g is None:
-                            got[i] = cache[ws[i]] = words(ws[i])
-                out.append(np.array([g[0] for g in got], code).tobytes())
-                logs.append(sum([g[1] for g in got]))
-                beyond.append([g[2] for g in got if g[2] is not None])
-            row = pa.array(np.arange(number, number + len(out)), pa.int64())
-            number += len(out)
-            arrays = [batch.column(0), row, pa.array(out, pa.binary()), pa.array(logs, pa.float64()), pa.array(beyond, pa.list_(pa.binary()))]
-            yield pa.RecordBatch.from_arrays(arrays, ["__id", "row", "codes", "within", "beyond"])
-
-    return written(rows.mapInArrow(run, f"__id {kind}, row bigint, codes binary, within double, beyond array<binary>"), "codes")
-
-
-def _shapes(classes: int) -> list[tuple[int, ...]]:
-    return [(classes, DIM), (2 * REACH, DIM, HIDDEN), (HIDDEN,), (HIDDEN, classes), (classes,)]
+                            w = ws[k]
+                            h = word_hash(w)
+                            got[k] = leaf_of[w] = leaf = words.leaf(w, h)
+                            more[w] = leaf, words.held.get(w, -1), h
+                leaves = np.array(got, code)
+                codes.append(leaves.tobytes())
+                rare = Counter([ws[k] for k in np.flatnonzero(leaves >= shared).tolist()])
+                at += [i] * len(rare)
+                times += rare.values()
+                found += map(more.__getitem__, rare)
+                own = 0
+                if len(ws) >= SIGHTINGS:
+                    leaves = leaves[leaves < shared]
+                    here = np.bincount(leaves) if len(leaves) else leaves
+                    own = int(here[np.flatnonzero(here >= words.mass[: len(here)])].sum()) if len(here) else 0
+                alone_own.append(own)
+            n = len(codes)
+            at, times = np.array(at, np.int64), np.array(times, np.int64)
+            leaf, count, hashed = np.array(found, np.int64).reshape(-1, 3).T
+            inside = -times * np.log(words.mass[leaf] - times + UNSEEN * (words.types[leaf] + 1))
+            known = count >= 0
+            inside[known] += times[known] * np.log(count[known] - times[known] + UNSEEN)
+            alone = np.bincount(at, times * (count == times), n).astype(np.int64) + np.array(alone_own, np.int64)
+            ends = np.concatenate([[0], np.cumsum(np.bincount(at[~known], minlength=n))]).astype(np.int32)
+            lists = [pa.ListArray.from_arrays(pa.array(ends), pa.array(x[~known])) for x in (hashed, times)]
+            row = pa.array(np.arange(number, number + n), pa.int64())
+            number += n
+            yield pa.RecordBatch.from_arrays([batch.column(0), row, pa.array(codes, pa.binary()), pa.array(np.bincount(at, inside, n).astype(np.float64)), pa.array(alone), *lists], ["__id", "row", "codes", "inside", "alone", "hashes", "times"])
+
+    return written(rows.mapInArrow(run, f"__id {kind}, row bigint, codes binary, inside double, alone bigint, hashes array<bigint>, times array<bigint>"), "codes")
+
+
+def _code_type(words: Lexicon) -> type:
+    return np.uint16 if words.width <= 256 else np.uint32
+
+
+def windows(held: list[bytes], code: type = np.uint16) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(leaves of the neighbours, leaf of the word, text number) of every word of each text."""
+    size = np.dtype(code).itemsize
+    edge = bytes(REACH * size)
+    data = np.frombuffer(edge + edge.join(held) + edge, code)
+    lengths = np.fromiter(map(len, held), np.int64, len(held)) // size
+    starts = np.cumsum(lengths + REACH) - lengths
+    of = np.repeat(np.arange(len(held)), lengths)
+    at = np.arange(len(of)) - np.repeat(np.cumsum(lengths) - lengths, lengths) + np.repeat(starts, lengths)
+    return np.stack([data[at + d] for d in [*range(-REACH, 0), *range(1, REACH + 1)]], 1), data[at], of
 
 
 class Network:
-    def __init__(self, flat: np.ndarray | None = None, classes: int = CLASSES):
-        shapes = _shapes(classes)
+    """Shared word vectors, weighed by place, a hidden layer, and the two levels of the tree."""
+
+    def __init__(self, width: int, flat: np.ndarray | None = None):
+        self.width, self.trained = width, []
+        shapes = [(width * width, DIM), (2 * REACH, DIM), (DIM, DIM), (DIM,), (DIM, width), (width,), (width, DIM, width), (width, width)]
         if flat is None:
             r = np.random.default_rng(11)
-            self.parts = [(r.normal(0, 0.1, s) if len(s) > 1 else np.zeros(s)).astype(np.float32) for s in shapes]
+            self.parts = [r.normal(0, 0.3, shapes[0]), np.ones(shapes[1]), np.eye(DIM), np.zeros(DIM), *map(np.zeros, shapes[4:])]
+            self.parts = [p.astype(np.float32) for p in self.parts]
         else:
             ends = np.cumsum([math.prod(s) for s in shapes])
             self.parts = [x.reshape(s).astype(np.float32) for x, s in zip(np.split(flat, ends[:-1]), shapes, strict=True)]
 
+    @staticmethod
+    def for_counts(words: Lexicon) -> Network:
+        """The network that knows how frequent leaves are and nothing of contexts."""
+        net, width = Network(words.width), words.width
+        mass = (words.mass + UNSEEN).reshape(width, width)
+        net.parts[5][:] = np.log(mass.sum(1) / mass.sum())
+        net.parts[7][:] = np.log(mass / mass.sum(1, keepdims=True))
+        return net
+
     def flat(self) -> np.ndarray:
-        return np.concatenate([p.ravel() for p in self.parts]).astype(np.float64)
+        return np.concatenate([p.ravel() for p in self.parts])
+
+    def _hidden(self, near: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        emb, place, mix, bias = self.parts[:4]
+        vectors = emb[near]
+        pre = np.einsum("nkd,kd->nd", vectors, place)
+        return vectors, pre, np.tanh(pre @ mix + bias)
 
     def log_probabilities(self, near: np.ndarray, target: np.ndarray) -> np.ndarray:
-        """log P(class) of each target given its row of neighbours."""
-        emb, mix, bias, out, out_bias = self.parts
-        tables = [emb @ m for m in mix]
+        """log P(leaf) of each target given its row of neighbours."""
+        out, out_bias, leaf, leaf_bias = self.parts[4:]
         result = np.empty(len(target), np.float32)
-        for s in range(0, len(target), 8192):
-            n = near[s : s + 8192]
-            h = bias + tables[0][n[:, 0]]
-            for k in range(1, 2 * REACH):
-                h += tables[k][n[:, k]]
-            z = np.tanh(h, out=h) @ out
-            z += out_bias
-            z -= z.max(1, keepdims=True)
-            t = z[np.arange(len(n)), target[s : s + 8192]].copy()
-            result[s : s + 8192] = t - np.log(np.exp(z, out=z).sum(1))
+        for s in range(0, len(target), 16384):
+            t = target[s : s + 16384].astype(np.int64)
+            order = np.argsort(t // self.width, kind="stable")
+            t = t[order]
+            cls = t // self.width
+            h = self._hidden(near[s : s + 16384][order])[2]
+            logs = _log_soft(h @ out + out_bias, cls)
+            edges = np.searchsorted(cls, np.arange(self.width + 1))
+            for c in np.flatnonzero(np.diff(edges)).tolist():
+                a, b = edges[c], edges[c + 1]
+                logs[a:b] += _log_soft(h[a:b] @ leaf[c] + leaf_bias[c], t[a:b] - c * self.width)
+            result[s + order] = logs
         return result
 
     def step(self, near: np.ndarray, target: np.ndarray, rate: float, seen: list[np.ndarray]) -> None:
-        emb, mix, bias, out, out_bias = self.parts
-        n, classes, hidden = len(target), len(emb), len(bias)
-        tables = np.concatenate([emb @ m for m in mix])  # what each class adds to the hidden layer at each place
-        at = near + np.arange(near.shape[1]) * classes
-        h = tables[at].sum(1)
-        h += bias
-        np.tanh(h, out=h)
-        p = h @ out
-        p += out_bias
-        p -= p.max(1, keepdims=True)
-        np.exp(p, out=p)
-        p /= p.sum(1, keepdims=True)
-        p[np.arange(n), target] -= 1
+        """One step of Adagrad down the mean of -log P(leaf)."""
+        emb, place, mix, _, out, out_bias, leaf, leaf_bias = self.parts
+        n = len(target)
+        order = np.argsort(target, kind="stable")
+        t = target[order].astype(np.int64)
+        near, cls = near[order], t // self.width
+        vectors, pre, h = self._hidden(near)
+        p = _soft(h @ out + out_bias)
+        p[np.arange(n), cls] -= 1
         p /= n
-        dh = (p @ out.T) * (1 - h * h)
-        cells = (at[:, :, None] * hidden + np.arange(hidden)).ravel()
-        weights = np.broadcast_to(dh[:, None, :], (n, near.shape[1], hidden)).ravel()
-        dtables = np.bincount(cells, weights, tables.size).astype(np.float32).reshape(-1, classes, hidden)
-        demb = np.einsum("kch,kdh->cd", dtables, mix, optimize=True)
-        grads = [demb, np.einsum("cd,kch->kdh", emb, dtables, optimize=True), dh.sum(0), h.T @ p, p.sum(0)]
-        for part, g, s in zip(self.parts, grads, seen, strict=True):
-            s += g * g
-            part -= rate * g / (np.sqrt(s) + 1e-6)
-
-
-def windows(coded: list[bytes], every: int, offset: int, code: type = np.uint8) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(neighbours, targets, text number) of every so-many-th word of each text; the offset moves from text to text, so
-    that short texts are drawn as well."""
-    size = np.dtype(code).itemsize
-    edge = bytes(REACH * size)
-    data = np.frombuffer(edge + edge.join(coded) + edge, code)
-    lengths = np.fromiter(map(len, coded), np.int64, len(coded)) // size
-    starts = np.cumsum(lengths + REACH) - lengths
-    of = np.repeat(np.arange(len(coded)), lengths)
-    at = np.arange(len(of)) - np.repeat(np.cumsum(lengths) - lengths, lengths) + np.repeat(starts, lengths)
-    if every > 1:
-        chosen = (np.arange(len(of)) + offset) % every == 0
-        of, at = of[chosen], at[chosen]
-    near = np.stack([data[at + d] for d in [*range(-REACH, 0), *range(1, REACH + 1)]], 1)
-    return near, data[at], of
-
-
-def train(table: DataFrame, rounds: int = ROUNDS, every: int = EVERY, classes: int = CLASSES) -> Network:
-    flat, code = Network(classes=classes).flat(), _code_type(classes)
+        dh = p @ out.T
+        grads = {4: h.T @ p, 5: p.sum(0)}
+        edges = np.searchsorted(cls, np.arange(self.width + 1))
+        for c in np.flatnonzero(np.diff(edges)).tolist():
+            a, b = edges[c], edges[c + 1]
+            q = _soft(h[a:b] @ leaf[c] + leaf_bias[c])
+            q[np.arange(b - a), t[a:b] - c * self.width] -= 1
+            q /= n
+            dh[a:b] += q @ leaf[c].T
+            for part, g in ((6, h[a:b].T @ q), (7, q.sum(0))):
+                s = seen[part][c]
+                s += g * g
+                self.parts[part][c] -= rate * g / np.sqrt(s)
+        dh *= 1 - h * h
+        grads[2], grads[3] = pre.T @ dh, dh.sum(0)
+        dpre = dh @ mix.T
+        grads[1] = np.einsum("nkd,nd->kd", vectors, dpre)
+        at = near.ravel()
+        by_leaf = np.argsort(at, kind="stable")
+        at = at[by_leaf]
+        starts = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
+        rows = at[starts].astype(np.int64)
+        g = np.add.reduceat((dpre[:, None, :] * place).reshape(-1, DIM)[by_leaf], starts, axis=0)
+        seen[0][rows] += g * g
+        emb[rows] -= rate * g / np.sqrt(seen[0][rows])
+        for part, g in grads.items():
+            seen[part] += g * g
+            self.parts[part] -= rate * g / np.sqrt(seen[part])
+
+
+def _soft(z: np.ndarray) -> np.ndarray:
+    z -= z.max(1, keepdims=True)
+    np.exp(z, out=z)
+    z /= z.sum(1, keepdims=True)
+    return z
+
+
+def _log_soft(z: np.ndarray, target: np.ndarray) -> np.ndarray:
+    z -= z.max(1, keepdims=True)
+    t = z[np.arange(len(z)), target].copy()
+    return t - np.log(np.exp(z, out=z).sum(1))
+
+
+def train(table: DataFrame, words: Lexicon, rounds: int = ROUNDS, steps: int = STEPS) -> Network:
+    """Each of the rounds takes every so-many-th slice of a partition's texts, so that all of them see every window once."""
+    flat, code, width = Network.for_counts(words).flat(), _code_type(words), words.width
+    seen_windows = []  # of each round
     for number in range(rounds):
 
         def local(batches: Iterator[pa.RecordBatch], start: np.ndarray = flat, number: int = number) -> Iterator[np.ndarray]:
-            net, used = Network(start, classes), 0
-            seen = [np.full(s, 1e-3, np.float32) for s in _shapes(classes)]
-            for batch in slices(batches, 1 << 20):
-                near, target, _ = windows([x for x in batch.column(0).to_pylist() if x], every, number * (every // 2), code)
-                order = np.random.default_rng(number).permutation(len(target))
+            net, used, made, mine, spare = Network(width, start), 0, 0, [], []
+            seen = [np.full(p.shape, 1e-8, np.float32) for p in net.parts]
+
+            def go(near: np.ndarray, target: np.ndarray, seed: int) -> int:
+                order = np.random.default_rng(seed).permutation(len(target))
                 for s in range(0, len(order), BATCH):
                     pick = order[s : s + BATCH]
-                    net.step(near[pick], target[pick], 0.1, seen)
-                used += len(order)
-            yield np.append(net.flat() * used, used)
+                    net.step(near[pick], target[pick], RATE, seen)
+                return -(-len(order) // BATCH)
+
+            for i, batch in enumerate(slices(batches, 1 << 18)):
+                texts = [x for x in batch.column(0).to_pylist() if x]
+                if not texts or i % rounds != number and (made or spare):
+                    continue
+                near, target, _ = windows(texts, code)
+                if i % rounds == number:
+                    made += go(near, target, i)
+                    used += len(target)
+                    mine = [*mine, (near, target)] if made < steps else []
+                else:
+                    spare = [(near, target)]  # for a partition that has no slice for this round
+            mine = mine if used else spare
+            for again in range(1 << 20):
+                if made >= steps or not mine:
+                    break
+                for near, target in mine:
+                    made += go(near, target, (1 << 20) + again)
+                    used += len(target) * (not again and mine is spare)
+            yield np.append(net.flat().astype(np.float64) * used, used)
 
         total = tree_sum(table.select("codes"), local)
+        seen_windows.append(int(total[-1]))
         if total[-1]:
-            flat = total[:-1] / total[-1]
-    return Network(flat, classes)
+            flat = (total[:-1] / total[-1]).astype(np.float32)
+    net = Network(width, flat)
+    net.trained = seen_windows
+    return net
+
 
+def scored(table: DataFrame, counts: DataFrame, words: Lexicon, net: Network, kind: str) -> DataFrame:
+    """(__id, n_tokens, pll, n_alone) of each row of coded()."""
+    code, width, flat = _code_type(words), words.width, net.flat()
 
-def pseudo_likelihood(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds: int = ROUNDS, every: int = EVERY) -> DataFrame:
-    """One row per row of docs: id, n_tokens, pll (the sum of the words' conditional log probabilities), mean_logp.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        net = Network(width, flat)
+        for batch in slices(batches, 1 << 19):
+            near, target, of = windows(batch.column(2).to_pylist(), code)
+            n = np.bincount(of, minlength=batch.num_rows)
+            sums = np.bincount(of, net.log_probabilities(near, target), batch.num_rows) + batch.column(3).to_numpy()
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(sums), batch.column(4)], ["__id", "row", "n_tokens", "held", "alone"])
+
+    held = table.select("__id", "row", "codes", "inside", "alone").mapInArrow(run, f"__id {kind}, row bigint, n_tokens bigint, held double, alone bigint")
+    others = table.select("row", F.explode(F.arrays_zip("hashes", "times")).alias("w")).select("row", F.col("w.hashes").alias("h"), F.col("w.times").alias("times"))
+    here = F.col("times")
+    found = others.join(counts.select(F.xxhash64("word").alias("h"), "n"), "h")
+    joined = found.groupBy("row").agg(F.sum(here * F.log(F.col("n") - here + UNSEEN)).alias("logs"), F.sum(F.when(F.col("n") == here, here).otherwise(0)).alias("more"))
+    pll, alone = F.col("held") + F.coalesce("logs", F.lit(0.0)), F.col("alone") + F.coalesce("more", F.lit(0))
+    return held.join(joined, "row", "left").select("__id", "n_tokens", pll.alias("pll"), alone.alias("n_alone"))
+
+
+def pseudo_likelihood(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds: int = ROUNDS) -> DataFrame:
+    """One row per row of docs: id, n_tokens, pll (the sum of the words' conditional log probabilities), mean_logp, n_alone
+    (words that no other row holds).
 
     Null and blank texts have no tokens, pll 0 and a null mean_logp. Null ids and repeated rows stay; texts are scored
-    whole, word for word; an empty table gives an empty table; other columns are not read.
+    whole, word for word; words of one count are held or joined alike, so that no score depends on which; an empty table
+    gives an empty table; other columns are not read.
     """
     bound_batches(docs.sparkSession)
     rows = text_rows(docs, id_col, text_col)
     kind = same_dtype(rows, "__id")
-    words, logs = lexicon(rows)
-    table, classes, code = codes(rows, words, kind), words.classes, _code_type(words.classes)
-    flat = train(table, rounds, every, classes).flat()
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        net = Network(flat, classes)
-        for batch in slices(batches, 1 << 20):
-            coded = batch.column(2).to_pylist()
-            near, target, of = windows(coded, 1, 0, code)
-            sums = np.bincount(of, net.log_probabilities(near, target), len(coded)) + batch.column(3).to_numpy()
-            n = np.bincount(of, minlength=len(coded))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(sums)], ["__id", "row", "n_tokens", "held"])
-
-    scored = table.select("__id", "row", "codes", "within").mapInArrow(run, f"__id {kind}, row bigint, n_tokens bigint, held double")
-    joined = table.select("row", F.explode("beyond").alias("word")).join(logs, "word").groupBy("row").agg(F.sum("logp").alias("joined"))
-    pll = F.col("held") + F.coalesce("joined", F.lit(0.0))
-    out = scored.join(joined, "row", "left").select(F.col("__id").alias(id_col), "n_tokens", pll.alias("pll"))
-    return out.withColumn("mean_logp", F.when(F.col("n_tokens") > 0, F.col("pll") / F.col("n_tokens")))
+    words, counts = lexicon(rows)
+    table = coded(rows, words, kind)
+    out = scored(table, counts, words, train(table, words, rounds), kind)
+    mean = F.when(F.col("n_tokens") > 0, F.col("pll") / F.col("n_tokens")).alias("mean_logp")
+    answer = written(out.select(F.col("__id").alias(id_col), "n_tokens", "pll", mean, "n_alone"), "pll")
+    release(counts, table)
+    return answer

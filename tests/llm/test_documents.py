@@ -331,63 +331,124 @@ def test_toxicity(spark):
     assert toxicity.train(docs.limit(0), labels).weights == {} and not toxicity.toxicity(docs, toxicity.Model()).filter("toxic").count()
 
 
+def language(n, seed=3):
+    r = random.Random(seed)
+    return [" ".join(f"the n{r.randrange(30)} of a n{r.randrange(30)} is big ." for _ in range(r.randint(3, 30))) for _ in range(n)]
+
+
 def test_pseudo_likelihood(spark):
-    r = random.Random(3)
-    nouns = [f"n{i}" for i in range(30)]
-    sentence = lambda: f"the {r.choice(nouns)} of a {r.choice(nouns)} is big ."
-    texts = [" ".join(sentence() for _ in range(r.randint(3, 30))) for _ in range(250)]
+    texts = language(250)
     mixed = texts[0].split()
-    r.shuffle(mixed)
+    random.Random(1).shuffle(mixed)
     texts += [None, "  ", texts[0], " ".join(mixed), "zz yy xx"]
-    got = {x.doc_id: x for x in pseudo_likelihood.pseudo_likelihood(frame(spark, texts), every=1, rounds=4).collect()}
+    df = spark.createDataFrame([(i if i != 5 else None, t, "a", "b") for i, t in enumerate(texts)], "doc_id long, text string, n_tokens string, pll string").repartition(3)
+    got = {x.doc_id: x for x in pseudo_likelihood.pseudo_likelihood(df).collect()}
+    assert len(got) == len(texts) and got[None].n_tokens == len(texts[5].split())
     assert got[250].n_tokens == 0 and got[250].pll == 0 and got[250].mean_logp is None and got[251].n_tokens == 0
-    assert abs(got[0].pll - got[252].pll) < 1e-6 and got[0].n_tokens == len(texts[0].split())
-    assert got[0].mean_logp > got[253].mean_logp + 0.5 > got[254].mean_logp
-    assert pseudo_likelihood.pseudo_likelihood(frame(spark, texts).limit(0)).count() == 0
-
-
-def test_training_takes_every_window(spark):
-    coded = [bytes([1, 2, 3]), bytes([4]), bytes(range(1, 101))]
-    for number in range(pseudo_likelihood.ROUNDS):
-        every = pseudo_likelihood.EVERY
-        _, target, of = pseudo_likelihood.windows(coded, every, number * (every // 2))
-        assert target.tolist() == list(b"".join(coded)) and of.tolist() == [0] * 3 + [1] + [2] * 100
-    table = spark.createDataFrame([(bytes([1, 2, 3]),)] * 8, "codes binary")
-    flat, start = pseudo_likelihood.train(table).flat(), pseudo_likelihood.Network().flat()
-    bias = (flat - start)[-pseudo_likelihood.CLASSES :]
-    assert (bias[1:4] > 0).all() and (np.delete(bias, [1, 2, 3]) < 0).all()
-
-
-def test_production_scores_follow_the_context(spark):
-    r = random.Random(3)
-    texts = [" ".join(f"the n{r.randrange(30)} of a n{r.randrange(30)} is big ." for _ in range(r.randint(3, 30))) for _ in range(250)]
-    mixed = texts[0].split()
-    r.shuffle(mixed)
-    got = {x.doc_id: x for x in pseudo_likelihood.pseudo_likelihood(frame(spark, [*texts, " ".join(mixed)])).collect()}
-    assert got[0].mean_logp > got[250].mean_logp + 0.5
-
-
-def test_every_word_has_its_own_count(spark, monkeypatch):
-    words = [w for i in range(90) for w in [f"w{i}"] * int(2000 * 0.95**i)] + ["t0zzz"] * 8 + ["t1zzz"]
-    random.Random(1).shuffle(words)
-    texts = [" ".join(words[i : i + 50]) for i in range(0, len(words), 50)] + ["t0zzz", "t1zzz", "t1zzz", None]
-    scores = lambda: {x.doc_id: x for x in pseudo_likelihood.pseudo_likelihood(frame(spark, texts)).collect()}
-    all_held, n = scores(), len(texts)
-    monkeypatch.setattr(pseudo_likelihood, "KNOWN", 75)
-    got = scores()
-    assert len(got) == n and all(abs(got[i].pll - all_held[i].pll) < 1e-6 and got[i].n_tokens == all_held[i].n_tokens for i in range(n))
-    assert abs(got[n - 4].pll - got[n - 3].pll - math.log(9 / 3)) < 1e-5 and got[n - 1].mean_logp is None
-    monkeypatch.setattr(pseudo_likelihood, "class_sizes", lambda types: (300, 299))
-    assert {i: r.n_tokens for i, r in scores().items()} == {i: r.n_tokens for i, r in got.items()}
-
-
-def test_classes_grow_with_the_vocabulary():
-    assert pseudo_likelihood.class_sizes(0) == pseudo_likelihood.class_sizes(100_000) == (64, 63)
-    assert pseudo_likelihood.class_sizes(1_600_000) == (128, 126) and pseudo_likelihood.class_sizes(10**9) == (640, 630)
+    assert abs(got[0].pll - got[252].pll) < 1e-3 and got[0].n_tokens == len(texts[0].split())
+    assert got[0].mean_logp > got[253].mean_logp + 0.5
+    assert got[254].n_alone == 3 and got[0].n_alone == 0
+    assert pseudo_likelihood.pseudo_likelihood(df.limit(0)).count() == 0
+
+
+def brute_pll(texts, words, net, counts):
+    """Of each text: the sum of log P(class) + log P(leaf | class) + log P(word | leaf), number by number."""
+    emb, place, mix, bias, out, out_bias, leaf, leaf_bias = (p.astype(float) for p in net.parts)
+    result = []
+    for t in texts:
+        ws = (t or "").encode().lower().split()
+        codes = [0, 0, *map(words.leaf, ws), 0, 0]
+        total = 0.0
+        for i, w in enumerate(ws):
+            around = [codes[i], codes[i + 1], codes[i + 3], codes[i + 4]]
+            hidden = np.tanh(sum(emb[c] * g for c, g in zip(around, place)) @ mix + bias)
+            c, k = divmod(codes[i + 2], words.width)
+            for z, at in ((hidden @ out + out_bias, c), (hidden @ leaf[c] + leaf_bias[c], k)):
+                total += z[at] - math.log(np.exp(z - z.max()).sum()) - z.max()
+            if w not in words.own:
+                of_leaf = codes[i + 2]
+                here = ws.count(w)
+                total += math.log(counts[w] - here + 0.1) - math.log(words.mass[of_leaf] - here + 0.1 * (words.types[of_leaf] + 1))
+        result.append(total)
+    return result
+
+
+@pytest.mark.parametrize("width", [128, 4])
+def test_pseudo_likelihood_by_hand(spark, monkeypatch, width):
+    monkeypatch.setattr(pseudo_likelihood, "WIDTH", width)  # of the driver: 64 words are held at most, the others are joined
+    r = random.Random(5)
+    texts = [f"{t} {' '.join(f'x{r.randrange(400)}' for _ in range(9))}" for t in language(60)] + [None, "", "alone alone again", "été 🙂", "q"]
+    rows = pseudo_likelihood.text_rows(frame(spark, texts), "doc_id", "text")
+    pseudo_likelihood.bound_batches(spark)
+    words, counts = pseudo_likelihood.lexicon(rows)
+    table = pseudo_likelihood.coded(rows, words, "bigint")
+    net = pseudo_likelihood.train(table, words, 2, 40)
+    got = {x["__id"]: x for x in pseudo_likelihood.scored(table, counts, words, net, "bigint").collect()}
+    tokens = [(t or "").encode().lower().split() for t in texts]
+    n = {bytes(x.word): x.n for x in counts.collect()}
+    assert n == dict(__import__("collections").Counter(w for ws in tokens for w in ws))
+    assert words.mass.sum() == sum(n.values()) and words.types.sum() == len(n) and (width == 128 or len(words.held) <= 64 < len(n))
+    want = brute_pll(texts, words, net, n)
+    assert all(abs(got[i].pll - want[i]) < 1e-3 * (1 + abs(want[i])) for i in range(len(texts)))
+    assert [got[i].n_alone for i in range(len(texts))] == [sum(n[w] == ws.count(w) for w in ws) for ws in tokens]
+
+
+def test_training_takes_every_window_once(spark):
+    texts = [" ".join(random.Random(i).choices(["the", "of", "n1", "n2", "is"], k=3000)) for i in range(300)]
+    rows = pseudo_likelihood.text_rows(frame(spark, texts).coalesce(2), "doc_id", "text")
+    pseudo_likelihood.bound_batches(spark)
+    words, _ = pseudo_likelihood.lexicon(rows)
+    table = pseudo_likelihood.coded(rows, words, "bigint").coalesce(1)
+    net = pseudo_likelihood.train(table, words, steps=1)
+    assert len(net.trained) == pseudo_likelihood.ROUNDS and all(net.trained) and sum(net.trained) == 300 * 3000
+
+
+def test_repeated_texts_are_told_apart(spark):
+    r = random.Random(7)
+    texts = [" ".join(r.choice(["the", "of", "and", f"w{r.randrange(10**6)}"]) for _ in range(120)) for _ in range(150)]
+    texts += texts[:20]
+    got = {x.doc_id: x for x in pseudo_likelihood.pseudo_likelihood(frame(spark, texts)).collect()}
+    twice, once = [*range(20), *range(150, 170)], range(20, 150)
+    assert all(got[i].n_alone == 0 for i in twice) and all(got[i].n_alone > 0 for i in once)
+    assert np.mean([got[i].mean_logp for i in twice]) > np.mean([got[i].mean_logp for i in once]) + 0.3
+
+
+def test_context_helps_on_texts_kept_out(spark):
+    rows = pseudo_likelihood.text_rows(frame(spark, language(400)), "doc_id", "text")
+    pseudo_likelihood.bound_batches(spark)
+    words, _ = pseudo_likelihood.lexicon(rows)
+    net = pseudo_likelihood.train(pseudo_likelihood.coded(rows, words, "bigint"), words)
+    near, target, _ = pseudo_likelihood.windows([np.array([words.leaf(w.encode()) for w in t.split()], np.uint16).tobytes() for t in language(40, 99)])
+    assert net.log_probabilities(near, target).mean() > pseudo_likelihood.Network.for_counts(words).log_probabilities(near, target).mean() + 0.8
+
+
+def test_tree_grows_with_the_vocabulary():
+    assert pseudo_likelihood.tree_width(0) == pseudo_likelihood.tree_width(10**6) == 128
+    assert pseudo_likelihood.tree_width(16 * 10**6) == 256 and pseudo_likelihood.tree_width(10**9) == 719
+
+
+def test_word_hash_is_that_of_the_engine(spark):
+    from pyspark.sql import functions as F
+
+    words = [b"", b"a", "é".encode(), b"x" * 100]
+    got = spark.createDataFrame([(w,) for w in words], "w binary").select("w", F.xxhash64("w").alias("h")).collect()
+    assert {bytes(x.w): x.h for x in got} == {w: pseudo_likelihood.word_hash(w) for w in words}
 
 
 def test_network_scores_are_probabilities():
-    net = pseudo_likelihood.Network()
-    near = np.zeros((pseudo_likelihood.CLASSES, 4), np.uint8)
-    logs = net.log_probabilities(near, np.arange(pseudo_likelihood.CLASSES))
-    assert abs(np.exp(logs).sum() - 1) < 1e-4
+    net = pseudo_likelihood.Network(8)
+    net.parts[4][:] = np.random.default_rng(1).normal(size=net.parts[4].shape)
+    net.parts[6][:] = np.random.default_rng(2).normal(size=net.parts[6].shape)
+    near = np.full((64, 4), 5, np.uint16)
+    assert abs(np.exp(net.log_probabilities(near, np.arange(64))).sum() - 1) < 1e-4
+
+
+def test_network_steps_lower_the_loss():
+    net, r = pseudo_likelihood.Network(8), np.random.default_rng(1)
+    near = r.integers(0, 64, (500, 4))
+    target = near[:, 1]
+    seen = [np.full(p.shape, 1e-8, np.float32) for p in net.parts]
+    before = net.log_probabilities(near, target).mean()
+    for _ in range(200):
+        net.step(near, target, 0.1, seen)
+    assert net.log_probabilities(near, target).mean() > before + 2
