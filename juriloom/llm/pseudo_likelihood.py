@@ -1,17 +1,20 @@
 """LM scoring (operator 1): masked pseudo-likelihood with a bidirectional window network, trained in numpy.
 
-The network reads the two words to the left and the two to the right of a word and predicts the word through a tree of two
-levels: a softmax over classes, then a softmax over the leaves of the class, both from the same hidden layer. Frequent
-words are leaves of their own, so that the network predicts them down to the word. Rarer words share leaves by their
-spelling; which word of a leaf stands there follows from the corpus with the scored document left out: a word that other
-documents hold is likelier than one that none of them has. The sum of the logarithms over every word is the text's
-pseudo-likelihood.
-
-Texts are read twice: words are counted, then leaf codes go to a table, two bytes a word. The workers hold the counts of the
-most frequent words; a text's other words are joined with theirs by 64-bit hashes. Training goes over the table in rounds,
-each over other slices of it, so that the window of every word is trained on once; in a round every partition trains from
-the shared weights, and the weights are averaged by their number of words. Counts, leaves, and what is joined and trained on grow
-with the corpus.
+The network reads the classes of the two words to the left and the two to the right of a word and predicts the word through
+a tree of two levels: a softmax over branches, from all four neighbours, then a softmax over the leaves of the branch, from
+the two next ones. Frequent words are leaves of their own, so that the network predicts them down to the word. Rarer words
+share leaves by their spelling; which word of a leaf stands there follows from the corpus with the scored document left
+out: a word that other documents hold is likelier than one that none of them has. The sum of the logarithms over every
+word is the text's pseudo-likelihood.
+
+Neighbours' classes are clusters of leaves that keep the same company, found from the counts of neighbouring pairs. As they
+are few, windows with equal classes are one weighted example: the windows of all words are counted into two tables, and the
+network is trained on these by full steps, which are the steps over every window of the corpus. Scoring looks the
+trained network's answers up.
+
+Texts are read twice: words are counted, then leaf codes go to a table, two bytes a word, which the pairs, the windows and
+the scores are taken from. The workers hold the counts of the most frequent words; a text's other words are joined with
+theirs by 64-bit hashes. Words, leaves and what is joined grow with the corpus.
 """
 
 from __future__ import annotations
@@ -30,12 +33,13 @@ from pyspark.sql import functions as F
 
 from .runtime import bound_batches, release, same_dtype, slices, text_rows, tree_sum, written
 
-WIDTH = 128  # classes, and leaves in each, up to PER_WIDTH different words; beyond, they grow by the fourth root
+WIDTH = 64  # branches, and leaves in each, up to PER_WIDTH different words; beyond, they grow by the fourth root
 PER_WIDTH = 1_000_000
 SIGHTINGS = 8  # occurrences from which on a word may be a leaf of its own
-DIM, REACH = 24, 2
-ROUNDS, BATCH, RATE = 3, 2048, 0.1
-STEPS = 400  # a partition with few words goes over them until it has made so many steps in a round
+INNER, OUTER = 16, 8  # classes of the next neighbours and of those beyond them; 0 is the edge of a text
+REACH, DIM = 2, 24
+STEPS, RATE, DECAY = 120, 0.05, 1e-5
+HELD = 16  # words whose counts the workers hold, for each leaf
 UNSEEN = 0.1  # what a word counts that no other document holds
 _SEED = 42  # of Spark's xxhash64()
 
@@ -51,7 +55,7 @@ def word_hash(word: bytes) -> int:
 
 
 def tree_width(types: int) -> int:
-    """Classes, and leaves in each, for so many different words."""
+    """Branches, and leaves in each, for so many different words."""
     return int(WIDTH * max(1.0, types / PER_WIDTH) ** 0.25)
 
 
@@ -78,7 +82,7 @@ class Lexicon:
 
 def lexicon(rows: DataFrame) -> tuple[Lexicon, DataFrame]:
     """The lexicon of all words of all texts, and the table (word, n) of their counts. What comes to the driver is bounded:
-    a histogram of counts, the held words (four times the leaves at most), 65,536 cells, and two sums a leaf."""
+    a histogram of counts, the held words (HELD times the leaves at most), 65,536 cells, and two sums a leaf."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: Counter = Counter()
@@ -98,13 +102,13 @@ def lexicon(rows: DataFrame) -> tuple[Lexicon, DataFrame]:
     step = F.floor(F.log2("n") * 16).cast("int")
     sizes = sorted(((r["s"], r["t"]) for r in counts.groupBy(step.alias("s")).agg(F.count(F.lit(1)).alias("t")).collect()), reverse=True)
     width = tree_width(sum(t for _, t in sizes))
-    room, known = 4 * width * width, F.lit(False)
+    room, border, share = HELD * width * width, -1, 0
     for s, types in sizes:
-        if types <= room:
-            known, room = known | (step == s), room - types
-        else:  # of the border bin, an even share by hash
-            known = known | ((step == s) & (F.pmod(F.xxhash64("word"), F.lit(1_000_000)) < int(950_000 * room / types)))
+        if types > room:  # of the border bin, an even share by hash
+            border, share = s, int(950_000 * room / types)
             break
+        room -= types
+    known = (step > border) | ((step == border) & (F.pmod(F.xxhash64("word"), F.lit(1_000_000)) < share))
     held = sorted(((bytes(r["word"]), r["n"]) for r in counts.filter(known).collect()), key=lambda x: (-x[1], x[0]))
     own = sorted(w for w, n in held[: width * width // 2] if n >= SIGHTINGS)
     cell = (F.conv(F.hex(F.rpad("word", 2, b"\x00")), 16, 10)).cast("int")
@@ -189,179 +193,180 @@ def _code_type(words: Lexicon) -> type:
     return np.uint16 if words.width <= 256 else np.uint32
 
 
-def windows(held: list[bytes], code: type = np.uint16) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(leaves of the neighbours, leaf of the word, text number) of every word of each text."""
+def places(held: list[bytes], code: type = np.uint16) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(leaves of all texts with edges between them, place of every word in these, text number of every word)."""
     size = np.dtype(code).itemsize
     edge = bytes(REACH * size)
     data = np.frombuffer(edge + edge.join(held) + edge, code)
     lengths = np.fromiter(map(len, held), np.int64, len(held)) // size
-    starts = np.cumsum(lengths + REACH) - lengths
     of = np.repeat(np.arange(len(held)), lengths)
-    at = np.arange(len(of)) - np.repeat(np.cumsum(lengths) - lengths, lengths) + np.repeat(starts, lengths)
-    return np.stack([data[at + d] for d in [*range(-REACH, 0), *range(1, REACH + 1)]], 1), data[at], of
+    return data, np.arange(len(of)) + REACH * (of + 1), of
+
+
+@dataclass
+class Classes:
+    """Of each leaf, its class as a next neighbour and as one beyond."""
+
+    inner: np.ndarray
+    outer: np.ndarray
+
+    def contexts(self, data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of each place, the number of its four neighbours' classes, and of the two next ones'."""
+        near, far = self.inner[data], self.outer[data]
+        pair = near[at - 1] * INNER + near[at + 1]
+        return (pair * OUTER + far[at - 2]) * OUTER + far[at + 2], pair
+
+
+def cluster(rows: np.ndarray, mass: np.ndarray, k: int, rounds: int = 25) -> np.ndarray:
+    """k-means of rows weighed by mass; the first centres are the heaviest row and then those furthest by weight."""
+    centres = [rows[np.argmax(mass)]]
+    far = ((rows - centres[0]) ** 2).sum(1)
+    for _ in range(k - 1):
+        centres.append(rows[np.argmax(far * mass)])
+        far = np.minimum(far, ((rows - centres[-1]) ** 2).sum(1))
+    centres = np.array(centres)
+    for _ in range(rounds):
+        own = np.argmin((centres**2).sum(1) - 2 * rows @ centres.T, axis=1)
+        weight = np.bincount(own, mass, k)
+        sums = np.zeros_like(centres)
+        np.add.at(sums, own, rows * mass[:, None])
+        centres = np.where(weight[:, None] > 0, sums / np.maximum(weight, 1e-12)[:, None], centres)
+    return own
+
+
+def classes_of(table: DataFrame, words: Lexicon) -> Classes:
+    """Clusters of leaves by the branches that their neighbours to the left and right lie in, over all pairs of the corpus."""
+    code, width = _code_type(words), words.width
+    leaves = width * width
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
+        total = np.zeros(2 * leaves * width, np.int64)
+        for batch in slices(batches, 1 << 20):
+            data, at, _ = places(batch.column(0).to_pylist(), code)
+            row = data[at].astype(np.int64) * width
+            branch = data // width
+            for side, step in enumerate((-1, 1)):
+                total += np.bincount(row + branch[at + step] + side * leaves * width, minlength=len(total))
+        yield total
+
+    pairs = tree_sum(table.select("codes"), count, np.int64).reshape(2, leaves, width).astype(float)
+    # Square roots of shares, so that rare company tells; the shares of all words steady those of rare leaves.
+    base = pairs.sum(1, keepdims=True) + 1e-9
+    shares = (pairs + 5 * base / base.sum(2, keepdims=True)) / (pairs.sum(2, keepdims=True) + 5)
+    rows = np.sqrt(np.concatenate(list(shares), axis=1))
+    inner, outer = (np.where(np.arange(leaves) > 0, 1 + cluster(rows, words.mass + 1e-9, k - 1), 0) for k in (INNER, OUTER))
+    return Classes(inner, outer)
+
+
+def count_windows(table: DataFrame, words: Lexicon, classes: Classes) -> tuple[np.ndarray, np.ndarray]:
+    """How often each branch stands in each context, and each leaf between each pair of next neighbours: the windows of
+    every word of every text."""
+    code, width = _code_type(words), words.width
+    pairs = INNER * INNER
+    contexts = pairs * OUTER * OUTER
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
+        first, second = np.zeros(contexts * width, np.int64), np.zeros(pairs * width * width, np.int64)
+        for batch in slices(batches, 1 << 20):
+            data, at, _ = places(batch.column(0).to_pylist(), code)
+            context, pair = classes.contexts(data, at)
+            leaf = data[at].astype(np.int64)
+            first += np.bincount(context * width + leaf // width, minlength=len(first))
+            second += np.bincount(pair * width * width + leaf, minlength=len(second))
+        yield np.concatenate([first, second])
+
+    total = tree_sum(table.select("codes"), count, np.int64)
+    return total[: contexts * width].reshape(contexts, width), total[contexts * width :].reshape(pairs, width, width)
+
+
+def _log_soft(z: np.ndarray) -> np.ndarray:
+    z = z - z.max(-1, keepdims=True)
+    return z - np.log(np.exp(z).sum(-1, keepdims=True))
 
 
 class Network:
-    """Shared word vectors, weighed by place, a hidden layer, and the two levels of the tree."""
-
-    def __init__(self, width: int, flat: np.ndarray | None = None):
-        self.width, self.trained = width, []
-        shapes = [(width * width, DIM), (2 * REACH, DIM), (DIM, DIM), (DIM,), (DIM, width), (width,), (width, DIM, width), (width, width)]
-        if flat is None:
-            r = np.random.default_rng(11)
-            self.parts = [r.normal(0, 0.3, shapes[0]), np.ones(shapes[1]), np.eye(DIM), np.zeros(DIM), *map(np.zeros, shapes[4:])]
-            self.parts = [p.astype(np.float32) for p in self.parts]
-        else:
-            ends = np.cumsum([math.prod(s) for s in shapes])
-            self.parts = [x.reshape(s).astype(np.float32) for x, s in zip(np.split(flat, ends[:-1]), shapes, strict=True)]
-
-    @staticmethod
-    def for_counts(words: Lexicon) -> Network:
-        """The network that knows how frequent leaves are and nothing of contexts."""
-        net, width = Network(words.width), words.width
-        mass = (words.mass + UNSEEN).reshape(width, width)
-        net.parts[5][:] = np.log(mass.sum(1) / mass.sum())
-        net.parts[7][:] = np.log(mass / mass.sum(1, keepdims=True))
-        return net
-
-    def flat(self) -> np.ndarray:
-        return np.concatenate([p.ravel() for p in self.parts])
-
-    def _hidden(self, near: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        emb, place, mix, bias = self.parts[:4]
-        vectors = emb[near]
-        pre = np.einsum("nkd,kd->nd", vectors, place)
-        return vectors, pre, np.tanh(pre @ mix + bias)
-
-    def log_probabilities(self, near: np.ndarray, target: np.ndarray) -> np.ndarray:
-        """log P(leaf) of each target given its row of neighbours."""
-        out, out_bias, leaf, leaf_bias = self.parts[4:]
-        result = np.empty(len(target), np.float32)
-        for s in range(0, len(target), 16384):
-            t = target[s : s + 16384].astype(np.int64)
-            order = np.argsort(t // self.width, kind="stable")
-            t = t[order]
-            cls = t // self.width
-            h = self._hidden(near[s : s + 16384][order])[2]
-            logs = _log_soft(h @ out + out_bias, cls)
-            edges = np.searchsorted(cls, np.arange(self.width + 1))
-            for c in np.flatnonzero(np.diff(edges)).tolist():
-                a, b = edges[c], edges[c + 1]
-                logs[a:b] += _log_soft(h[a:b] @ leaf[c] + leaf_bias[c], t[a:b] - c * self.width)
-            result[s + order] = logs
-        return result
-
-    def step(self, near: np.ndarray, target: np.ndarray, rate: float, seen: list[np.ndarray]) -> None:
-        """One step of Adagrad down the mean of -log P(leaf)."""
-        emb, place, mix, _, out, out_bias, leaf, leaf_bias = self.parts
-        n = len(target)
-        order = np.argsort(target, kind="stable")
-        t = target[order].astype(np.int64)
-        near, cls = near[order], t // self.width
-        vectors, pre, h = self._hidden(near)
-        p = _soft(h @ out + out_bias)
-        p[np.arange(n), cls] -= 1
-        p /= n
-        dh = p @ out.T
-        grads = {4: h.T @ p, 5: p.sum(0)}
-        edges = np.searchsorted(cls, np.arange(self.width + 1))
-        for c in np.flatnonzero(np.diff(edges)).tolist():
-            a, b = edges[c], edges[c + 1]
-            q = _soft(h[a:b] @ leaf[c] + leaf_bias[c])
-            q[np.arange(b - a), t[a:b] - c * self.width] -= 1
-            q /= n
-            dh[a:b] += q @ leaf[c].T
-            for part, g in ((6, h[a:b].T @ q), (7, q.sum(0))):
-                s = seen[part][c]
-                s += g * g
-                self.parts[part][c] -= rate * g / np.sqrt(s)
-        dh *= 1 - h * h
-        grads[2], grads[3] = pre.T @ dh, dh.sum(0)
-        dpre = dh @ mix.T
-        grads[1] = np.einsum("nkd,nd->kd", vectors, dpre)
-        at = near.ravel()
-        by_leaf = np.argsort(at, kind="stable")
-        at = at[by_leaf]
-        starts = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
-        rows = at[starts].astype(np.int64)
-        g = np.add.reduceat((dpre[:, None, :] * place).reshape(-1, DIM)[by_leaf], starts, axis=0)
-        seen[0][rows] += g * g
-        emb[rows] -= rate * g / np.sqrt(seen[0][rows])
-        for part, g in grads.items():
-            seen[part] += g * g
-            self.parts[part] -= rate * g / np.sqrt(seen[part])
-
-
-def _soft(z: np.ndarray) -> np.ndarray:
-    z -= z.max(1, keepdims=True)
-    np.exp(z, out=z)
-    z /= z.sum(1, keepdims=True)
-    return z
-
-
-def _log_soft(z: np.ndarray, target: np.ndarray) -> np.ndarray:
-    z -= z.max(1, keepdims=True)
-    t = z[np.arange(len(z)), target].copy()
-    return t - np.log(np.exp(z, out=z).sum(1))
-
-
-def train(table: DataFrame, words: Lexicon, rounds: int = ROUNDS, steps: int = STEPS) -> Network:
-    """Each of the rounds takes every so-many-th slice of a partition's texts, so that all of them see every window once."""
-    flat, code, width = Network.for_counts(words).flat(), _code_type(words), words.width
-    seen_windows = []  # of each round
-    for number in range(rounds):
-
-        def local(batches: Iterator[pa.RecordBatch], start: np.ndarray = flat, number: int = number) -> Iterator[np.ndarray]:
-            net, used, made, mine, spare = Network(width, start), 0, 0, [], []
-            seen = [np.full(p.shape, 1e-8, np.float32) for p in net.parts]
-
-            def go(near: np.ndarray, target: np.ndarray, seed: int) -> int:
-                order = np.random.default_rng(seed).permutation(len(target))
-                for s in range(0, len(order), BATCH):
-                    pick = order[s : s + BATCH]
-                    net.step(near[pick], target[pick], RATE, seen)
-                return -(-len(order) // BATCH)
-
-            for i, batch in enumerate(slices(batches, 1 << 18)):
-                texts = [x for x in batch.column(0).to_pylist() if x]
-                if not texts or i % rounds != number and (made or spare):
-                    continue
-                near, target, _ = windows(texts, code)
-                if i % rounds == number:
-                    made += go(near, target, i)
-                    used += len(target)
-                    mine = [*mine, (near, target)] if made < steps else []
-                else:
-                    spare = [(near, target)]  # for a partition that has no slice for this round
-            mine = mine if used else spare
-            for again in range(1 << 20):
-                if made >= steps or not mine:
-                    break
-                for near, target in mine:
-                    made += go(near, target, (1 << 20) + again)
-                    used += len(target) * (not again and mine is spare)
-            yield np.append(net.flat().astype(np.float64) * used, used)
-
-        total = tree_sum(table.select("codes"), local)
-        seen_windows.append(int(total[-1]))
-        if total[-1]:
-            flat = (total[:-1] / total[-1]).astype(np.float32)
-    net = Network(width, flat)
-    net.trained = seen_windows
+    """Vectors of the neighbours' classes at each place, a hidden layer for each level, and the two softmax levels."""
+
+    def __init__(self, width: int):
+        r = np.random.default_rng(11)
+        shapes = [(OUTER, DIM), (INNER, DIM), (INNER, DIM), (OUTER, DIM), (DIM,), (INNER, DIM), (INNER, DIM), (DIM,), (DIM, width), (width,), (width, DIM, width), (width, 1, width)]
+        self.parts = [r.normal(0, 0.5, s).astype(np.float32) if i < 8 else np.zeros(s, np.float32) for i, s in enumerate(shapes)]
+        near, far = np.arange(INNER), np.arange(OUTER)
+        grid = np.meshgrid(near, near, far, far, indexing="ij")
+        self.at = [grid[2].ravel(), grid[0].ravel(), grid[1].ravel(), grid[3].ravel()]  # classes of each context, from left to right
+        self.pair = [np.repeat(near, INNER), np.tile(near, INNER)]
+
+    def hidden(self) -> tuple[np.ndarray, np.ndarray]:
+        p = self.parts
+        first = np.tanh(sum(v[a] for v, a in zip(p[:4], self.at, strict=True)) + p[4])
+        return first, np.tanh(p[5][self.pair[0]] + p[6][self.pair[1]] + p[7])
+
+    def log_probabilities(self) -> tuple[np.ndarray, np.ndarray]:
+        """log P(branch | context), and log P(leaf | branch, pair of next neighbours) by pair and leaf."""
+        h, g = self.hidden()
+        p = self.parts
+        second = _log_soft(g @ p[10] + p[11])  # branch, pair, leaf of the branch
+        return _log_soft(h @ p[8] + p[9]), second.transpose(1, 0, 2).reshape(len(g), -1)
+
+    def loss(self, first: np.ndarray, second: np.ndarray) -> float:
+        """Mean of -log P over the counted windows."""
+        a, b = self.log_probabilities()
+        return float(-((a * first).sum() + (b * second.reshape(b.shape)).sum()) / max(1, first.sum()))
+
+    def gradient(self, first: np.ndarray, second: np.ndarray) -> list[np.ndarray]:
+        """That of loss(); first: contexts by branches, second: branches by pairs by leaves, both as shares of all windows."""
+        p, (h, g) = self.parts, self.hidden()
+        d1 = np.exp(_log_soft(h @ p[8] + p[9])) * first.sum(1, keepdims=True) - first
+        d2 = np.exp(_log_soft(g @ p[10] + p[11])) * second.sum(2, keepdims=True) - second
+        dh = (d1 @ p[8].T) * (1 - h * h)
+        dg = (d2 @ p[10].transpose(0, 2, 1)).sum(0) * (1 - g * g)
+        out = []
+        shape = (INNER, INNER, OUTER, OUTER, DIM)
+        grid = dh.reshape(shape)
+        for axes in ((0, 1, 3), (1, 2, 3), (0, 2, 3), (0, 1, 2)):
+            out.append(grid.sum(axes))
+        square = dg.reshape(INNER, INNER, DIM)
+        return [*out, dh.sum(0), square.sum(1), square.sum(0), dg.sum(0), h.T @ d1, d1.sum(0), g.T @ d2, d2.sum(1, keepdims=True)]
+
+
+def train(first: np.ndarray, second: np.ndarray, steps: int = STEPS) -> Network:
+    """Adam on the windows as count_windows() gives them, from a network that knows how frequent leaves are and nothing of
+    contexts. The decay of weights is stronger the fewer windows there are."""
+    width = first.shape[1]
+    net = Network(width)
+    total = max(1, first.sum())
+    mass = second.sum(0) + UNSEEN
+    net.parts[9][:] = np.log(mass.sum(1) / mass.sum())
+    net.parts[11][:, 0] = np.log(mass / mass.sum(1, keepdims=True))
+    first, second = (first / total).astype(np.float32), np.ascontiguousarray((second / total).transpose(1, 0, 2), np.float32)
+    start = [net.parts[9].copy(), net.parts[11].copy()]
+    decay = DECAY + 10.0 / total
+    moments = [(np.zeros_like(p), np.zeros_like(p)) for p in net.parts]
+    for t in range(1, steps + 1):
+        grads = net.gradient(first, second)
+        rate = RATE * min(1.0, 3 * (1 - t / (steps + 1)))
+        for i, (p, g, (m, v)) in enumerate(zip(net.parts, grads, moments, strict=True)):
+            if i >= 8:
+                g = g + decay * (p - start[(i - 8) // 2] if i in (9, 11) else p) / p.size * 1000
+            m += 0.1 * (g - m)
+            v += 0.01 * (g * g - v)
+            p -= rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-10)
     return net
 
 
-def scored(table: DataFrame, counts: DataFrame, words: Lexicon, net: Network, kind: str) -> DataFrame:
+def scored(table: DataFrame, counts: DataFrame, words: Lexicon, classes: Classes, net: Network, kind: str) -> DataFrame:
     """(__id, n_tokens, pll, n_alone) of each row of coded()."""
-    code, width, flat = _code_type(words), words.width, net.flat()
+    code, width = _code_type(words), words.width
+    first, second = (x.astype(np.float32) for x in net.log_probabilities())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        net = Network(width, flat)
-        for batch in slices(batches, 1 << 19):
-            near, target, of = windows(batch.column(2).to_pylist(), code)
+        for batch in slices(batches, 1 << 20):
+            data, at, of = places(batch.column(2).to_pylist(), code)
+            context, pair = classes.contexts(data, at)
+            leaf = data[at].astype(np.int64)
             n = np.bincount(of, minlength=batch.num_rows)
-            sums = np.bincount(of, net.log_probabilities(near, target), batch.num_rows) + batch.column(3).to_numpy()
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(sums), batch.column(4)], ["__id", "row", "n_tokens", "held", "alone"])
+            sums = np.bincount(of, first[context, leaf // width] + second[pair, leaf].astype(np.float64), batch.num_rows) + batch.column(3).to_numpy()
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(sums.astype(np.float64)), batch.column(4)], ["__id", "row", "n_tokens", "held", "alone"])
 
     held = table.select("__id", "row", "codes", "inside", "alone").mapInArrow(run, f"__id {kind}, row bigint, n_tokens bigint, held double, alone bigint")
     others = table.select("row", F.explode(F.arrays_zip("hashes", "times")).alias("w")).select("row", F.col("w.hashes").alias("h"), F.col("w.times").alias("times"))
@@ -372,7 +377,7 @@ def scored(table: DataFrame, counts: DataFrame, words: Lexicon, net: Network, ki
     return held.join(joined, "row", "left").select("__id", "n_tokens", pll.alias("pll"), alone.alias("n_alone"))
 
 
-def pseudo_likelihood(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds: int = ROUNDS) -> DataFrame:
+def pseudo_likelihood(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: id, n_tokens, pll (the sum of the words' conditional log probabilities), mean_logp, n_alone
     (words that no other row holds).
 
@@ -385,7 +390,9 @@ def pseudo_likelihood(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     kind = same_dtype(rows, "__id")
     words, counts = lexicon(rows)
     table = coded(rows, words, kind)
-    out = scored(table, counts, words, train(table, words, rounds), kind)
+    classes = classes_of(table, words)
+    net = train(*count_windows(table, words, classes))
+    out = scored(table, counts, words, classes, net, kind)
     mean = F.when(F.col("n_tokens") > 0, F.col("pll") / F.col("n_tokens")).alias("mean_logp")
     answer = written(out.select(F.col("__id").alias(id_col), "n_tokens", "pll", mean, "n_alone"), "pll")
     release(counts, table)

@@ -9,6 +9,7 @@ import shutil
 import tempfile
 import uuid
 import zipfile
+import zlib
 from collections.abc import Callable, Iterator
 from pathlib import Path
 
@@ -103,6 +104,17 @@ def delete_tables(spark: SparkSession) -> None:
     _delete(spark, f"{shared_dir(spark).rstrip('/')}/juriloom-tables")
 
 
+def hub_join(rows: DataFrame, key: str, side: DataFrame, count: int, least: int = 128) -> DataFrame:
+    """rows joined with side, whose rows are one for each value of key. Values that more than max(least, count / 50,000) of
+    the count rows share are dealt to several tasks, and their row of side with them; at most 50,000 such values are broadcast."""
+    limit = max(least, count // 50_000)
+    hubs = F.broadcast(rows.groupBy(key).agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") > limit).select(key, F.ceil(F.col("__n") / limit).cast("int").alias("__parts")))
+    parts = F.coalesce("__parts", F.lit(1))
+    dealt = rows.join(hubs, key, "left").withColumn("__part", F.pmod(F.xxhash64(*(c for c in rows.columns if c != key)), parts).cast("int")).drop("__parts")
+    copied = side.join(hubs, key, "left").withColumn("__part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("__parts")
+    return dealt.join(copied, [key, "__part"]).drop("__part")
+
+
 def text_rows(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Only the id and the text under fixed names, so that no other column can clash; null text is empty text."""
     return df.select(F.col(id_col).alias("__id"), F.coalesce(F.col(text_col), F.lit("")).alias("__text"))
@@ -132,26 +144,26 @@ def one_thread() -> None:
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
 
 
-def tree_sum(df: DataFrame, partial: Callable[[Iterator[pa.RecordBatch]], Iterator[np.ndarray]]) -> np.ndarray:
-    """The sum of the float64 vectors that partial() makes of each partition. Vectors are added in rounds on the executors
-    until a few are left, so that the driver receives a bounded number of them however many partitions there are."""
+def tree_sum(df: DataFrame, partial: Callable[[Iterator[pa.RecordBatch]], Iterator[np.ndarray]], kind: type = np.float64) -> np.ndarray:
+    """The sum of the vectors that partial() makes of each partition. Vectors are added in rounds on the executors, so that
+    the driver receives one however many partitions there are; they are compressed on the way."""
+    pack = lambda v: pa.RecordBatch.from_arrays([pa.array([zlib.compress(np.ascontiguousarray(v, kind).tobytes(), 1)], pa.binary())], ["v"])
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for v in partial(batches):
-            yield pa.RecordBatch.from_arrays([pa.array([np.ascontiguousarray(v, np.float64).tobytes()], pa.binary())], ["v"])
+        yield from map(pack, partial(batches))
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = None
         for b in batches:
             for x in b.column(0).to_pylist():
-                v = np.frombuffer(x)
+                v = np.frombuffer(zlib.decompress(x), kind)
                 total = v.copy() if total is None else total + v
         if total is not None:
-            yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["v"])
+            yield pack(total)
 
     sums = df.mapInArrow(first, "v binary")
     parts = max(1, df.rdd.getNumPartitions())
-    while parts > 16:
+    while parts > 1:
         parts = -(-parts // 16)
         sums = sums.repartition(parts).mapInArrow(add, "v binary")
-    return np.sum([np.frombuffer(r["v"]) for r in sums.collect()], axis=0)
+    return np.sum([np.frombuffer(zlib.decompress(r["v"]), kind) for r in sums.collect()], axis=0)

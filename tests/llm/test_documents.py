@@ -1,6 +1,7 @@
 import itertools
 import math
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -351,19 +352,20 @@ def test_pseudo_likelihood(spark):
     assert pseudo_likelihood.pseudo_likelihood(df.limit(0)).count() == 0
 
 
-def brute_pll(texts, words, net, counts):
-    """Of each text: the sum of log P(class) + log P(leaf | class) + log P(word | leaf), number by number."""
-    emb, place, mix, bias, out, out_bias, leaf, leaf_bias = (p.astype(float) for p in net.parts)
+def brute_pll(texts, words, classes, net, counts):
+    """Of each text: the sum of log P(branch) + log P(leaf | branch) + log P(word | leaf), number by number."""
+    p = [x.astype(float) for x in net.parts]
     result = []
     for t in texts:
         ws = (t or "").encode().lower().split()
         codes = [0, 0, *map(words.leaf, ws), 0, 0]
         total = 0.0
         for i, w in enumerate(ws):
-            around = [codes[i], codes[i + 1], codes[i + 3], codes[i + 4]]
-            hidden = np.tanh(sum(emb[c] * g for c, g in zip(around, place)) @ mix + bias)
-            c, k = divmod(codes[i + 2], words.width)
-            for z, at in ((hidden @ out + out_bias, c), (hidden @ leaf[c] + leaf_bias[c], k)):
+            l2, l1, r1, r2 = classes.outer[codes[i]], classes.inner[codes[i + 1]], classes.inner[codes[i + 3]], classes.outer[codes[i + 4]]
+            h = np.tanh(p[0][l2] + p[1][l1] + p[2][r1] + p[3][r2] + p[4])
+            g = np.tanh(p[5][l1] + p[6][r1] + p[7])
+            branch, k = divmod(codes[i + 2], words.width)
+            for z, at in ((h @ p[8] + p[9], branch), (g @ p[10][branch] + p[11][branch, 0], k)):
                 total += z[at] - math.log(np.exp(z - z.max()).sum()) - z.max()
             if w not in words.own:
                 of_leaf = codes[i + 2]
@@ -373,36 +375,39 @@ def brute_pll(texts, words, net, counts):
     return result
 
 
-@pytest.mark.parametrize("width", [128, 4])
+@pytest.mark.parametrize("width", [64, 4])
 def test_pseudo_likelihood_by_hand(spark, monkeypatch, width):
-    monkeypatch.setattr(pseudo_likelihood, "WIDTH", width)  # of the driver: 64 words are held at most, the others are joined
+    monkeypatch.setattr(pseudo_likelihood, "WIDTH", width)
+    monkeypatch.setattr(pseudo_likelihood, "HELD", 4)  # of the driver: 64 words are held at most, the others are joined
     r = random.Random(5)
     texts = [f"{t} {' '.join(f'x{r.randrange(400)}' for _ in range(9))}" for t in language(60)] + [None, "", "alone alone again", "été 🙂", "q"]
     rows = pseudo_likelihood.text_rows(frame(spark, texts), "doc_id", "text")
     pseudo_likelihood.bound_batches(spark)
     words, counts = pseudo_likelihood.lexicon(rows)
     table = pseudo_likelihood.coded(rows, words, "bigint")
-    net = pseudo_likelihood.train(table, words, 2, 40)
-    got = {x["__id"]: x for x in pseudo_likelihood.scored(table, counts, words, net, "bigint").collect()}
+    classes = pseudo_likelihood.classes_of(table, words)
+    first, second = pseudo_likelihood.count_windows(table, words, classes)
+    net = pseudo_likelihood.train(first, second)
+    got = {x["__id"]: x for x in pseudo_likelihood.scored(table, counts, words, classes, net, "bigint").collect()}
     tokens = [(t or "").encode().lower().split() for t in texts]
     n = {bytes(x.word): x.n for x in counts.collect()}
-    assert n == dict(__import__("collections").Counter(w for ws in tokens for w in ws))
-    assert words.mass.sum() == sum(n.values()) and words.types.sum() == len(n) and (width == 128 or len(words.held) <= 64 < len(n))
-    want = brute_pll(texts, words, net, n)
+    assert n == dict(Counter(w for ws in tokens for w in ws))
+    assert words.mass.sum() == sum(n.values()) and words.types.sum() == len(n) and (width == 64 or len(words.held) <= 64 < len(n))
+    # Every window of every text is trained on, once.
+    want_first, want_second = np.zeros_like(first), np.zeros_like(second)
+    for ws in tokens:
+        codes = [0, 0, *map(words.leaf, ws), 0, 0]
+        for i in range(len(ws)):
+            l2, l1, r1, r2 = classes.outer[codes[i]], classes.inner[codes[i + 1]], classes.inner[codes[i + 3]], classes.outer[codes[i + 4]]
+            branch, k = divmod(codes[i + 2], words.width)
+            want_first[((l1 * 16 + r1) * 8 + l2) * 8 + r2, branch] += 1
+            want_second[l1 * 16 + r1, branch, k] += 1
+    assert (first == want_first).all() and (second == want_second).all()
+    want = brute_pll(texts, words, classes, net, n)
     assert all(abs(got[i].pll - want[i]) < 1e-3 * (1 + abs(want[i])) for i in range(len(texts)))
     assert [got[i].n_alone for i in range(len(texts))] == [sum(n[w] == ws.count(w) for w in ws) for ws in tokens]
 
 
-def test_training_takes_every_window_once(spark):
-    texts = [" ".join(random.Random(i).choices(["the", "of", "n1", "n2", "is"], k=3000)) for i in range(300)]
-    rows = pseudo_likelihood.text_rows(frame(spark, texts).coalesce(2), "doc_id", "text")
-    pseudo_likelihood.bound_batches(spark)
-    words, _ = pseudo_likelihood.lexicon(rows)
-    table = pseudo_likelihood.coded(rows, words, "bigint").coalesce(1)
-    net = pseudo_likelihood.train(table, words, steps=1)
-    assert len(net.trained) == pseudo_likelihood.ROUNDS and all(net.trained) and sum(net.trained) == 300 * 3000
-
-
 def test_repeated_texts_are_told_apart(spark):
     r = random.Random(7)
     texts = [" ".join(r.choice(["the", "of", "and", f"w{r.randrange(10**6)}"]) for _ in range(120)) for _ in range(150)]
@@ -414,17 +419,20 @@ def test_repeated_texts_are_told_apart(spark):
 
 
 def test_context_helps_on_texts_kept_out(spark):
-    rows = pseudo_likelihood.text_rows(frame(spark, language(400)), "doc_id", "text")
     pseudo_likelihood.bound_batches(spark)
+    rows = pseudo_likelihood.text_rows(frame(spark, language(400)), "doc_id", "text")
     words, _ = pseudo_likelihood.lexicon(rows)
-    net = pseudo_likelihood.train(pseudo_likelihood.coded(rows, words, "bigint"), words)
-    near, target, _ = pseudo_likelihood.windows([np.array([words.leaf(w.encode()) for w in t.split()], np.uint16).tobytes() for t in language(40, 99)])
-    assert net.log_probabilities(near, target).mean() > pseudo_likelihood.Network.for_counts(words).log_probabilities(near, target).mean() + 0.8
+    table = pseudo_likelihood.coded(rows, words, "bigint")
+    classes = pseudo_likelihood.classes_of(table, words)
+    seen = pseudo_likelihood.count_windows(table, words, classes)
+    other = pseudo_likelihood.coded(pseudo_likelihood.text_rows(frame(spark, language(40, 99)), "doc_id", "text"), words, "bigint")
+    kept_out = pseudo_likelihood.count_windows(other, words, classes)
+    assert pseudo_likelihood.train(*seen).loss(*kept_out) < pseudo_likelihood.train(*seen, steps=0).loss(*kept_out) - 0.8
 
 
 def test_tree_grows_with_the_vocabulary():
-    assert pseudo_likelihood.tree_width(0) == pseudo_likelihood.tree_width(10**6) == 128
-    assert pseudo_likelihood.tree_width(16 * 10**6) == 256 and pseudo_likelihood.tree_width(10**9) == 719
+    assert pseudo_likelihood.tree_width(0) == pseudo_likelihood.tree_width(10**6) == 64
+    assert pseudo_likelihood.tree_width(16 * 10**6) == 128 and pseudo_likelihood.tree_width(10**9) == 359
 
 
 def test_word_hash_is_that_of_the_engine(spark):
@@ -436,19 +444,26 @@ def test_word_hash_is_that_of_the_engine(spark):
 
 
 def test_network_scores_are_probabilities():
-    net = pseudo_likelihood.Network(8)
-    net.parts[4][:] = np.random.default_rng(1).normal(size=net.parts[4].shape)
-    net.parts[6][:] = np.random.default_rng(2).normal(size=net.parts[6].shape)
-    near = np.full((64, 4), 5, np.uint16)
-    assert abs(np.exp(net.log_probabilities(near, np.arange(64))).sum() - 1) < 1e-4
-
-
-def test_network_steps_lower_the_loss():
     net, r = pseudo_likelihood.Network(8), np.random.default_rng(1)
-    near = r.integers(0, 64, (500, 4))
-    target = near[:, 1]
-    seen = [np.full(p.shape, 1e-8, np.float32) for p in net.parts]
-    before = net.log_probabilities(near, target).mean()
-    for _ in range(200):
-        net.step(near, target, 0.1, seen)
-    assert net.log_probabilities(near, target).mean() > before + 2
+    for p in net.parts:
+        p[:] = r.normal(size=p.shape)
+    first, second = net.log_probabilities()
+    assert np.allclose(np.exp(first).sum(1), 1, atol=1e-4) and np.allclose(np.exp(second.reshape(256, 8, 8)).sum(2), 1, atol=1e-4)
+
+
+def test_gradient_is_that_of_the_loss():
+    net, r = pseudo_likelihood.Network(4), np.random.default_rng(1)
+    net.parts = [r.normal(size=p.shape) for p in net.parts]
+    first, second = r.random((256 * 64, 4)), r.random((256, 4, 4))
+    second *= first.sum() / second.sum()
+    total = first.sum()
+    grads = net.gradient(first / total, (second / total).transpose(1, 0, 2))
+    for p, g in zip(net.parts, grads):
+        at = tuple(r.integers(0, n) for n in p.shape)
+        keep = p[at]
+        sides = []
+        for step in (1e-4, -1e-4):
+            p[at] = keep + step
+            sides.append(net.loss(first, second))
+        p[at] = keep
+        assert abs((sides[0] - sides[1]) / 2e-4 - g[at]) < 1e-4 * (1 + abs(g[at]))
