@@ -210,6 +210,85 @@ def test_text_that_stays():
     assert "Label" in html_mincut.main_text(f"<article><p>{SENTENCES}</p><svg><title>t</title><text>Label</text></svg><p>{SENTENCES}</p></article>")
 
 
+@pytest.mark.parametrize("block", ['<h2 class="section-header">Odd heading</h2>', '<div class="page-text search-results"><p>Odd paragraph, with a stop.</p></div>', '<p class="skip-lines">Odd lines</p>', '<p class="legal">Odd law</p>', '<ul><li><a href="/x">Odd link</a></li></ul>', "<p>Odd</p>"])
+def test_odd_blocks_of_an_article_stay(block):
+    page = f"<body><nav><a href=x>One</a></nav><article><h1>Title here</h1><p>{SENTENCES}</p>{block}<p>{SENTENCES}</p></article><footer>imprint, as ever</footer>"
+    text = html_mincut.main_text(page)
+    assert "Odd" in text and text.startswith("Title here") and "One" not in text and "imprint" not in text
+
+
+def test_the_cut_overturns_the_classifier():
+    page = f"<body><div><p>{SENTENCES}</p><p>Short words</p><p>{SENTENCES}</p></div><div><a href=a>Go on</a><a href=b>More</a> of it.</div></body>"
+    blocks = html_mincut.blocks_of(page)
+    odds = html_mincut.Classifier()(html_mincut.features(blocks))
+    labels = html_mincut.label(blocks)
+    assert [x > 0 for x in odds] != labels and labels[:3] == [True, True, True] and odds[1] < 0
+    assert abs(odds).max() <= html_mincut.CAP and sum(c for a, b, c in html_mincut.smoothness(blocks) if 1 in (a, b)) > 100 * abs(odds[1])
+
+
+def random_page(r):
+    def part(depth):
+        kind = r.choice(["p", "div", "ul", "nav", "article", "aside", "h2", "section", "header"])
+        if depth > 2 or r.random() < 0.4:
+            words = " ".join(r.choice(["word", "of", "text,", "end."]) for _ in range(r.choice([1, 3, 12, 40])))
+            return f"<p class='{r.choice(['', 'ad', 'main-text', 'legal'])}'>{words}</p>" if r.random() < 0.7 else f"<a href=x>{words}</a>"
+        return f"<{kind} class='{r.choice(['', '', 'sidebar', 'post', 'comments'])}'>" + "".join(part(depth + 1) for _ in range(r.randint(1, 3))) + f"</{kind}>"
+
+    return "".join(part(0) for _ in range(r.randint(1, 4)))
+
+
+def test_whole_pages_against_all_labellings():
+    r = random.Random(12)
+    tried = 0
+    while tried < 60:
+        blocks = html_mincut.blocks_of(random_page(r))
+        if not 2 <= len(blocks) <= 11:
+            continue
+        tried += 1
+        odds = [round(100 * x) for x in html_mincut.Classifier()(html_mincut.features(blocks)).tolist()]
+        edges = html_mincut.smoothness(blocks)
+        cost = lambda on: sum(max(0, -o) if k else max(0, o) for o, k in zip(odds, on)) + sum(c for a, b, c in edges if on[a] != on[b])
+        labels = html_mincut.label(blocks)
+        best = min(map(cost, itertools.product([False, True], repeat=len(blocks))))
+        assert cost(labels) == best
+        assert sum(labels) == min(sum(on) for on in itertools.product([False, True], repeat=len(blocks)) if cost(on) == best)
+
+
+def test_fit_holds_on_pages_without_markup(spark):
+    r = random.Random(4)
+    sentence = lambda n: " ".join(r.choice(["lorem", "ipsum", "dolor"]) for _ in range(n)) + "."
+    pages, wrong = [], [0, 0]
+    for i in range(60):
+        menu = "".join(f"<li><a href=/{k}>Item {k}</a></li>" for k in range(5))
+        body = "".join(f"<p>{sentence(r.choice([2, 3, 30, 60]))[:-1]}</p>" for _ in range(6))
+        pages.append((i, "u", f"<html><body><nav><ul>{menu}</ul></nav><article><h1>Head {i}</h1>{body}</article><footer>Some imprint</footer></body></html>"))
+    classifier = html_mincut.train(spark.createDataFrame(pages, "page_id long, url string, html string"))
+    assert not np.allclose(classifier.weights, html_mincut.Classifier().weights)
+    for _, _, page in pages:
+        want = [b.element.article for b in html_mincut.blocks_of(page)]
+        for name in ("nav", "article", "footer"):
+            page = page.replace(f"<{name}>", "<div>").replace(f"</{name}>", "</div>")
+        blocks = html_mincut.blocks_of(page)
+        wrong[0] += sum((x > 0) != w for x, w in zip(classifier(html_mincut.features(blocks)), want))
+        wrong[1] += sum(x != w for x, w in zip(html_mincut.label(blocks, classifier), want))
+    assert wrong[1] <= wrong[0] <= 60  # the imprint looks like a short paragraph
+
+
+def test_malformed_pages_take_linear_time():
+    import time
+
+    for page in ("<b " * 340_000, "<b>" * 150_000 + "<p></p>" * 50_000, "<i><div>" + "<b>" * 100_000 + "</i>" * 100_000, "<div>" * 90_000 + "</section>" * 90_000 + "x", '<a title="' * 100_000 + ">", "<!--" * 250_000, "<script>" * 100_000, "<a b='>" * 100_000, "<x ='" * 200_000):
+        start = time.process_time()
+        html_mincut.main_text(page)
+        assert time.process_time() - start < 4, page[:20]
+
+
+def test_unclosed_tags_and_quotes():
+    assert html_mincut.main_text("<article><p title=\"a>b\">Text with words, and stops. More of it follows here, so that it is long.</p></article>").startswith("Text with words")
+    assert html_mincut.main_text("<article><p don't>Text with words, and stops. It isn't over: more of it follows.</p></article>").startswith("Text with words")
+    assert html_mincut.main_text("<article><p>" + SENTENCES + " a < b and 1 <2").endswith("a < b and 1 <2")
+
+
 def test_minimum_cut_against_all_labellings():
     r = random.Random(6)
     for _ in range(200):
@@ -221,9 +300,10 @@ def test_minimum_cut_against_all_labellings():
 
 
 def test_pages(spark):
-    df = spark.createDataFrame([(1, "u", PAGE, "x"), (2, None, None, "x"), (None, "v", "", "x"), (4, "w", "<p>open <b>and <i>wrong</p></b>" + "<div>" * 3000, "x")], "page_id long, url string, html string, text string")
+    df = spark.createDataFrame([(1, "u", PAGE, "x"), (2, None, None, "x"), (None, "v", "", "x"), (4, "w", "<p>open <b>and <i>wrong</p></b>" + "<div>" * 3000, "x"), (1, "u", PAGE, "x")], "page_id long, url string, html string, text string")
     got = {r.page_id: r for r in html_mincut.extract_text(df).collect()}
     assert got[1].n_chars == len(got[1].text) and got[2].text == "" and got[None].n_chars == 0 and len(got) == 4
+    assert [r.text for r in html_mincut.extract_text(df).collect() if r.page_id == 1] == [html_mincut.main_text(PAGE)] * 2
     assert html_mincut.extract_text(df.limit(0)).count() == 0
 
 
