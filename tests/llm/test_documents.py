@@ -359,9 +359,7 @@ def quality_texts():
     return [None, "", " ", "a", "a a a a", "a\n\na\n \nb#|", "🙂 é\x0bx\x0c#", *(" ".join(r.choice("abcd") for _ in range(r.randint(1, 90))) for _ in range(60)), "the quick brown fox jumps " * 20, "\n".join(["gleich"] * 60)]
 
 
-@pytest.mark.parametrize("bits", [20, 3])
-def test_quality_counts(spark, monkeypatch, bits):
-    monkeypatch.setattr(quality_rules, "_PLACE_BITS", bits)
+def test_quality_counts(spark):
     texts = quality_texts()
     rows = quality_rules.quality_rules(frame(spark, texts)).collect()
     got = {r.doc_id: (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) for r in rows}
@@ -371,6 +369,61 @@ def test_quality_counts(spark, monkeypatch, bits):
     assert {r.doc_id for r in quality_rules.drop_rejected(frame(spark, texts)).collect()} == {r.doc_id for r in rows if r.kept}
 
 
+def test_quality_of_null_ids_and_repeated_rows(spark):
+    good = " ".join(f"word{i}, w{i}" for i in range(60))
+    df = spark.createDataFrame([(None, good, 1), (3, good, 2), (3, good, 2), (4, None, 3)], "doc_id long, text string, n_words int")
+    assert sorted((str(r.doc_id), r.kept) for r in quality_rules.quality_rules(df).collect()) == [("3", True), ("3", True), ("4", False), ("None", True)]
+    kept = quality_rules.drop_rejected(df)
+    assert kept.columns == df.columns and sorted(str(r.doc_id) for r in kept.collect()) == ["3", "3", "None"]
+    assert quality_rules.drop_rejected(df.limit(0)).count() == 0
+
+
+def test_very_long_text(spark):
+    words = [f"{i % 7}x{i}" for i in range((1 << 20) + 200)]
+    words[5:8] = words[-3:] = ["a", "b", "c"]
+    row = quality_rules.quality_rules(spark.createDataFrame([(1, " ".join(words))], "doc_id long, text string"), rules=[]).first()
+    assert (row.n_words, row.n_repeat_words, row.kept) == (len(words), 6, True)
+
+
+BAD = {
+    "few_letters": " ".join(f"{i}. word{i} = {i}" for i in range(60)),
+    "one_word": " ".join(f"the w{i} the x{i} y{i}" for i in range(60)),
+    "few_distinct_words": " ".join(random.Random(3).choices([a + b for a in "pqrst" for b in "uvwxy"], k=900)),
+    "cut_off_lines": "\n".join(f"l{i} a{i} b{i} c{i} d{i} ..." for i in range(20)),
+    "listed_lines": "\n".join(f"- item{i} of{i} list{i} y{i}" for i in range(20)),
+}
+
+
+def test_each_rule_rejects_alone(spark):
+    texts = [*BAD.values(), " ".join(f"word{i}, w{i}" for i in range(60))]
+    counted = quality_rules.measured(frame(spark, texts))
+    alone = [quality_rules.verdict([quality_rules.Measured(r, 1.0, 1.0)]).alias(r.name) for r in quality_rules.RULES]
+    got = {r["__id"]: [x for x in r[1:] if x] for r in counted.select("__id", *alone).collect()}
+    assert got == {i: [name] for i, name in enumerate(BAD)} | {len(BAD): []}
+
+
+def test_the_order_saves_work_and_changes_no_result(spark):
+    from pyspark.sql import functions as F
+
+    df = spark.range(600).select(F.concat(F.lit("x "), F.col("id").cast("string")).alias("t"), F.col("id")).repartition(1)
+    slow = quality_rules.Rule("slow", "size(filter(sequence(1, 5000), i -> sha2(concat(t, i), 256) = 'x')) > 0")
+    quick = quality_rules.Rule("quick", "id % 10 < 9")
+    import time
+
+    def run(order):
+        chosen = [quality_rules.Measured(r, 1.0, 0.5) for r in order]
+        start = time.perf_counter()
+        rows = sorted(r.id for r in quality_rules.cascade(df, list(order), chosen).filter("rejected_by is null").collect())
+        return rows, time.perf_counter() - start
+
+    run((quick, slow))
+    good, bad = run((quick, slow)), run((slow, quick))
+    assert good[0] == bad[0] and len(good[0]) == 60 and good[1] < 0.5 * bad[1]
+    small = df.limit(40)
+    found = quality_rules.order_rules(small, [slow, quick], 40, repeats=4)
+    assert [m.rule.name for m in found] == ["quick", "slow"] and found[1].cost > 5 * found[0].cost
+
+
 def test_cascade_order(spark):
     df = spark.range(200)
     rules = [quality_rules.Rule("never", "id < 0"), quality_rules.Rule("often", "id % 2 = 0"), quality_rules.Rule("null", "cast(null as boolean)")]
