@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected
-from .runtime import bound_batches, release, same_dtype, slices, text_rows, written
+from .runtime import bound_batches, hub_join, release, same_dtype, slices, text_rows, written
 
 BUCKETS = 128
 MISS = 4.5e-7  # the probability with which a pair at exactly the threshold may share no band
@@ -315,7 +315,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, shingle: int = 5, id_col
     bands = written(reps.select("cls", "regs").mapInArrow(lambda b: _bands(b, n_bands, band_size), "slot int, band bigint, cls bigint"), "bands")
     groups = written(bands.groupBy("slot", "band").agg(F.min("cls").alias("leader"), F.count(F.lit(1)).alias("size")).filter("size > 1"), "buckets")
     members = written(bands.join(groups, ["slot", "band"]), "members")  # of buckets with company only
-    pairs = members.filter("cls != leader").select(F.col("cls").alias("a"), F.col("leader").alias("b")).distinct()
+    pairs = written(members.filter("cls != leader").select(F.col("cls").alias("a"), F.col("leader").alias("b")).distinct(), "pairs")
     side = lambda name: reps.select(F.col("cls").alias(name), F.col("regs").alias(f"regs_{name}"), F.col("n").alias(f"n_{name}"))
 
     def likely_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -326,7 +326,8 @@ def near_duplicates(docs: DataFrame, percent: int = 85, shingle: int = 5, id_col
                 keep = (estimate((x == y).mean(1), np.sqrt(na * nb)) >= sift.least) & sift.sizes_fit(na, nb)
                 yield pa.RecordBatch.from_arrays([b.column(b.schema.get_field_index(c)).filter(pa.array(keep)) for c in ("a", "b")], ["a", "b"])
 
-    candidates = written(pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(likely_links, "a bigint, b bigint"), "candidates")
+    sided = hub_join(pairs, "b", side("b"), pairs.count()).join(side("a"), "a")
+    candidates = written(sided.mapInArrow(likely_links, "a bigint, b bigint"), "candidates")
 
     def sets_of(wanted: DataFrame) -> DataFrame:
         """(cls, shingles): the full shingle sets of these classes, from the whole texts of the rows that stand for them."""
@@ -346,9 +347,9 @@ def near_duplicates(docs: DataFrame, percent: int = 85, shingle: int = 5, id_col
     sets = written(sets_of(candidates.select(F.col("a").alias("cls")).unionByName(candidates.select(F.col("b").alias("cls")))), "sets")
     left, right = sets.select(F.col("cls").alias("a"), F.col("shingles").alias("sa")), sets.select(F.col("cls").alias("b"), F.col("shingles").alias("sb"))
     shared = F.size(F.array_intersect("sa", "sb"))
-    links = written(candidates.join(left, "a").join(right, "b").filter(100 * shared >= percent * (F.size("sa") + F.size("sb") - shared)).select("a", "b").distinct(), "links")
+    links = written(hub_join(candidates, "b", right, candidates.count()).join(left, "a").filter(100 * shared >= percent * (F.size("sa") + F.size("sb") - shared)).select("a", "b").distinct(), "links")
     first = written(connected(links), "first-components")
-    release(bands, candidates, sets, links)
+    release(bands, pairs, candidates, sets, links)
 
     # Buckets whose members lie in several components, in blocks. Of a long bucket, blocks that lie in one component meet
     # only blocks that do not.
