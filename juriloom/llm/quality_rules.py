@@ -117,8 +117,8 @@ def sample_of(docs: DataFrame, rows: int = SAMPLE_ROWS) -> DataFrame:
 def order_rules(df: DataFrame, rules: list[Rule], sample_rows: int = SAMPLE_ROWS, inputs: list[str] | None = None, repeats: int = REPEATS) -> list[Measured]:
     """Measure the rules on a bounded sample of rows and order them by rejection per cost, ties by place.
 
-    A rule is asked once for each row of the sample and then repeats times more; what the second job takes longer is the time of the
-    rule alone, without that of launching a job. sample_rows bounds what is brought to the driver; it decides an order
+    A rule is asked once for each row of the sample and then repeats times more; what that job takes longer is the time of
+    the rule alone, without that of launching a job. sample_rows bounds what is brought to the driver; it decides an order
     alone, so no result depends on it. An empty table gives each rule the rejection 0, and the rules their given order.
     """
     spark = df.sparkSession
@@ -135,7 +135,9 @@ def order_rules(df: DataFrame, rules: list[Rule], sample_rows: int = SAMPLE_ROWS
             return time.perf_counter() - start, n, r
 
         once, n, r = ask(1)
-        more, _, _ = ask(1 + repeats) if n else (once, 0, 0)
+        more = once
+        if n:  # the first job also compiled the rule's code
+            once, more = ask(1)[0], ask(1 + repeats)[0]
         found.append(Measured(rule, max(1e-9, (more - once) / max(1, n * repeats)), r / max(1, n)))
     return sorted(found, key=lambda m: -m.rejection / m.cost)
 
