@@ -406,7 +406,7 @@ def test_the_order_saves_work_and_changes_no_result(spark):
     from pyspark.sql import functions as F
 
     df = spark.range(600).select(F.concat(F.lit("x "), F.col("id").cast("string")).alias("t"), F.col("id")).repartition(1)
-    slow = quality_rules.Rule("slow", "size(filter(sequence(1, 5000), i -> sha2(concat(t, i), 256) = 'x')) > 0")
+    slow = quality_rules.Rule("slow", "size(filter(sequence(1, 15000), i -> sha2(concat(t, i), 256) = 'x')) > 0")
     quick = quality_rules.Rule("quick", "id % 10 < 9")
     import time
 
@@ -418,10 +418,11 @@ def test_the_order_saves_work_and_changes_no_result(spark):
 
     run((quick, slow))
     good, bad = run((quick, slow)), run((slow, quick))
-    assert good[0] == bad[0] and len(good[0]) == 60 and good[1] < 0.5 * bad[1]
+    assert good[0] == bad[0] and len(good[0]) == 60 and good[1] < 0.7 * bad[1]
     small = df.limit(40)
-    found = quality_rules.order_rules(small, [slow, quick], 40, repeats=4)
-    assert [m.rule.name for m in found] == ["quick", "slow"] and found[1].cost > 5 * found[0].cost
+    found = quality_rules.order_rules(small, [slow, quick], 40, repeats=20)
+    assert [m.rule.name for m in found] == ["quick", "slow"]
+    assert found[1].cost > 5 * found[0].cost
 
 
 def test_cascade_order(spark):
