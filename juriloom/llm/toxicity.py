@@ -20,6 +20,8 @@ from .runtime import bound_batches
 
 TRAIN_ROWS = 3000  # toxic labelled rows at most, and twice as many others, that the fit reads: the bound of the sample
 GRADES = 4
+# Bounds of the fit beside that of its rows: characters of the words that it reads of a text, evenly from all of it, and features.
+TRAIN_CHARS = 20_000
 FEATURES = 4000
 EVIDENCE = 20.0  # least log-likelihood ratio of a feature that the regression sees
 PREFIXES = (3, 4, 5, 6, 7, 8)
@@ -141,10 +143,12 @@ def fit(texts: list[str], toxic: list[int], rounds: int = 600, rate: float = 0.0
     return Model({f: float(x) for f, x in zip(chosen, w, strict=True) if x}, theta.tolist())
 
 
-def train(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, id_col: str = "doc_id", text_col: str = "text", toxic_col: str = "toxic") -> Model:
+def train(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, id_col: str = "doc_id", text_col: str = "text", toxic_col: str = "toxic", train_chars: int = TRAIN_CHARS) -> Model:
     """Fit on a bounded sample of labelled rows: at most train_rows toxic and twice as many other ones, in the order of a hash of the id.
 
-    Rows with a null id, text or label are not read; several labels of an id count as toxic if one says so.
+    Of a text the fit reads its distinct words; of one whose words are more than train_chars characters, those of the least
+    hashes up to that. Both bounds are of the sample; scoring reads whole texts. Rows with a null id, text or label are not
+    read; several labels of an id count as toxic if one says so; of several rows of an id one text counts.
     """
     marked = labels.select(F.col(id_col).alias("__id"), (F.col(toxic_col) > 0).alias("__toxic")).dropna().groupBy("__id").agg(F.max("__toxic").alias("__toxic"))
     texts = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text")).dropna()
@@ -152,7 +156,11 @@ def train(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, id_c
     for value in (True, False):
         part = marked.filter(F.col("__toxic") == value).orderBy(F.xxhash64("__id"), "__id").limit(train_rows if value else 2 * train_rows)
         sample = part if sample is None else sample.unionByName(part)
-    rows = texts.join(F.broadcast(sample), "__id").select("__text", "__toxic", "__id").orderBy("__id", "__text").limit(4 * train_rows).collect()
+    # The sample's rows are at most 3 * train_rows; of an id with several texts the one of the least hash stands for it.
+    words = F.array_distinct(F.split(F.lower("__text"), r"\s+"))
+    held = F.when(F.length("__text") <= train_chars, F.array_join(words, " ")).otherwise(F.substring(F.array_join(F.array_sort(words, lambda a, b: F.when(F.xxhash64(a) < F.xxhash64(b), -1).when(F.xxhash64(a) > F.xxhash64(b), 1).otherwise(0)), " "), 1, train_chars))
+    mine = texts.join(F.broadcast(sample), "__id").select("__id", "__toxic", held.alias("__words"), F.xxhash64("__text").alias("__h"))
+    rows = mine.groupBy("__id").agg(F.min_by("__words", "__h").alias("w"), F.max("__toxic").alias("t")).orderBy("__id").select("w", "t").collect()
     return fit([r[0] for r in rows], [int(r[1]) for r in rows])
 
 
@@ -194,7 +202,8 @@ def toxicity(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
 
 
 def drop_toxic(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """The rows of docs that are not toxic, with all their columns."""
+    """The rows of docs that are not toxic, with all their columns, whatever their names: null and empty texts, null ids and
+    repeated rows included. An empty table gives an empty table."""
     bound_batches(docs.sparkSession)
     columns = docs.columns
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("__row"), score_column(model, text_col).alias("__score"))
