@@ -16,19 +16,30 @@ _LOOSE = re.compile(r" \s|\s ")
 _RARE = [c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n"]
 
 
+LONG, MEAN = 64, 16  # characters beyond which a piece is no word and is not remembered; of the pieces that are, on average
+
+
 class PieceCache(dict):
-    """Piece -> value. Two generations bound the memory: when the young one is full, the old one goes."""
+    """Piece -> value. Two generations bound the memory: when the young one is full, by its entries or by MEAN characters for
+    each of these, the old one goes. Pieces longer than LONG (whole texts of scripts without spaces) are encoded whenever
+    they come and forgotten with their batch."""
 
     def __init__(self, encode: Callable[[list[str]], Iterable[Any]], entries: int, strict: bool):
         super().__init__()
         self.encode, self.entries, self.strict = encode, entries, strict
         self.old: dict = {}
+        self.passing: list[str] = []  # long pieces of the last batch
+        self.characters = 0
 
     def look(self, texts: list[list[str]]) -> list[list[Any]]:
         """The values of the pieces of each text; what is new is encoded in one batch."""
-        if len(self) >= self.entries:
+        for piece in self.passing:
+            self.pop(piece, None)
+        self.passing = []
+        if len(self) >= self.entries or self.characters >= MEAN * self.entries:
             self.old = dict(self)
             self.clear()
+            self.characters = 0
         get = self.get
         found = [list(map(get, pieces)) for pieces in texts]
         gaps = [(pieces, values, [i for i, v in enumerate(values) if v is None]) for pieces, values in zip(texts, found, strict=True) if None in values]
@@ -40,8 +51,11 @@ class PieceCache(dict):
                 fresh.append(piece)
             else:
                 self[piece] = value
+                self.characters += len(piece)
         if fresh:
             self.update(zip(fresh, self.encode(fresh), strict=True))
+            self.passing = [piece for piece in fresh if len(piece) > LONG]
+            self.characters += sum(map(len, fresh)) - sum(map(len, self.passing))
         for pieces, values, at in gaps:
             for i in at:
                 values[i] = self[pieces[i]]

@@ -471,6 +471,82 @@ def language(n, seed=3):
     return [" ".join(f"the n{r.randrange(30)} of a n{r.randrange(30)} is big ." for _ in range(r.randint(3, 30))) for _ in range(n)]
 
 
+def test_toxicity_of_odd_rows(spark):
+    texts, marks = toxic_texts(700, 1)
+    texts[0] = " ".join(["vile nasty"] + [f"long{i}" for i in range(9000)])
+    rows = [(i, t, 1.0, "a") for i, t in enumerate(texts)] + [(0, texts[0], 2.0, "b"), (0, "another text", 2.0, "b"), (None, "vile nasty grimlon", 0.0, "c"), (None, None, 0.0, "d"), (9000, "", 0.0, "e")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, score double, toxic string")
+    labels = spark.createDataFrame([(i, m) for i, m in enumerate(marks)], "doc_id long, toxic int")
+    model = toxicity.train(docs, labels, train_chars=2000)
+    out = toxicity.toxicity(docs, model)
+    assert out.columns == ["doc_id", "score", "p_toxic", "severity", "toxic"] and out.count() == len(rows)
+    by_hand = {t: model.score(t or "") for _, t, _, _ in rows}
+    assert sorted(r.score for r in out.collect()) == pytest.approx(sorted(by_hand[t] for _, t, _, _ in rows))
+    for r in out.collect():
+        p = [1 / (1 + math.exp(k - r.score)) for k in model.thresholds]
+        assert r.severity == pytest.approx(sum(p)) and r.p_toxic == pytest.approx(p[0]) and r.toxic == (p[0] >= 0.5)
+    kept = toxicity.drop_toxic(docs, model)
+    assert kept.columns == docs.columns and kept.filter("doc_id is null").count() == 1 and kept.filter("doc_id = 9000").count() == 1
+    assert toxicity.drop_toxic(docs.limit(0), model).count() == 0
+
+
+def test_pipeline_against_brute_force(spark, tmp_path):
+    r = random.Random(11)
+    vocabulary = [a + b + c for a in "bdfgkl" for b in "aeiou" for c in "mnprst"]
+    fresh = lambda n: [r.choice(vocabulary) for _ in range(n)]
+    texts, marks = [], []
+    for i in range(400):
+        words = fresh(r.randint(60, 120))
+        bad = i % 4 == 0
+        for _ in range(6 * bad):
+            words.insert(r.randrange(len(words)), r.choice(["vile", "nasty", "grimlon"]))
+        texts.append(" ".join(words))
+        marks.append(int(bad))
+    base = fresh(100)
+    near, far = base[:], base[:]
+    near[50] = "other"
+    for k in (10, 30, 50, 70, 90):
+        far[k] = "other"
+    texts += [" ".join(base), " ".join(near), " ".join(far), " ".join(base), None, "", "too short", "# # # " * 40 + " ".join(fresh(60)), "x y z " * 40]
+    docs = [(i, t, "en", "s", len(t or "")) for i, t in enumerate(texts)] + [(5, texts[5], "en", "s", 1), (None, " ".join(fresh(70)), "en", "s", 1)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    spark.createDataFrame(docs, schema).repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, m) for i, m in enumerate(marks)], "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    frames = [spark.read.parquet(f"{tmp_path}/documents.parquet")]
+    for name, stage in corpus_pipeline.STAGES:
+        frames.append(stage(spark, frames[-1], str(tmp_path)))
+        assert name == "packing" or frames[-1].columns == frames[0].columns
+    kept = [sorted(((str(x.doc_id), x.text) for x in f.collect()), key=str) for f in frames[:-1]]
+    model = toxicity.train(frames[0], spark.read.parquet(f"{tmp_path}/labels.parquet"))
+    clean = lambda t: 1 / (1 + math.exp(model.thresholds[0] - model.score(t or ""))) < 0.5
+    assert kept[1] == [x for x in kept[0] if clean(x[1])] and len(kept[1]) < len(kept[0]) - 90
+
+    def good(t):
+        n, chars, symbols, _, repeated = brute_counts(t)
+        return n >= 50 and 100 * repeated <= 40 * n and 100 * symbols <= 15 * n and 2 * n <= chars <= 15 * n
+
+    assert kept[2] == [x for x in kept[1] if good(x[1])] and len(kept[1]) - len(kept[2]) == 5
+    gone = []
+    for i, (a, x) in enumerate(kept[2]):
+        s = shingles(x)
+        for b, y in kept[2][:i] + kept[2][i + 1 :]:
+            both = len(s & shingles(y))
+            if a != "None" and b != "None" and 100 * both >= 80 * len(s | shingles(y)) and (int(b), y) < (int(a), x):
+                gone.append((a, x))
+                break
+    left = [x for x in kept[2] if x not in gone or kept[3].count(x)]
+    assert len(gone) == 2 and kept[3] == sorted({*left}, key=str)
+    packed = [(str(r.doc_id), r.doc_tokens) for r in frames[-1].filter("start = 0").collect()]
+    assert sorted(x for x, _ in packed) == sorted(x for x, _ in kept[3])
+    assert corpus_pipeline.run(spark, str(tmp_path)).filter("start = 0").count() == len(packed)
+
+
+def test_pipeline_of_empty_tables(spark, tmp_path):
+    spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
 def test_pseudo_likelihood(spark):
     texts = language(250)
     mixed = texts[0].split()

@@ -37,6 +37,19 @@ def test_token_counts(spark, path):
     assert got == sorted((*w, w[3] > 2048) for w in want)
 
 
+def test_pieces_are_remembered_within_bounds():
+    from juriloom.llm.pieces import LONG, MEAN, PieceCache
+
+    cache = PieceCache(lambda pieces: [len(p) for p in pieces], 1000, False)
+    for i in range(10_000):
+        assert cache.look([["日本" * 500 + str(i), "word"]]) == [[1000 + len(str(i)), 4]]
+    assert len(cache) <= 2 and not cache.old
+    for i in range(300):
+        batch = [["x" * (i % LONG) + f"{i}-{j}" for j in range(50)]]
+        assert cache.look(batch) == [[len(p) for p in batch[0]]]
+        assert len(cache) <= 1050 and sum(map(len, [*cache, *cache.old])) <= 2 * (MEAN * 1000 + 50 * 80)
+
+
 def test_token_counts_model_and_empty(spark):
     import sentencepiece
 
