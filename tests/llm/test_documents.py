@@ -310,7 +310,7 @@ def test_pages(spark):
 def test_licenses(spark):
     texts = [None, "", "x\nReleased under the MIT License.\ny", "mit license under the", "Licensed under CC BY-NC 4.0.", "Licensed under the Apache License, Version 2.0. Licensed under the Apache License Version 2", "This work is licensed under the GNU General Public License, version 3.", "Permission to use, copy,\nmodify, and/or distribute this software for any\npurpose with or without fee is hereby granted", "under the mit\nlicense " * 3000, "A Creative Commons Attribution 4.0 International License: this work is licensed under it", "Released under the BSD License"]
     got = {r.doc_id: r for r in license_scan.license_scan(frame(spark, texts)).collect()}
-    assert [got[i].labels for i in range(len(texts))] == ["", "", "mit", "mit", "cc-by-nc", "apache-2", "gpl-3", "isc", "mit", "cc-by", ""]
+    assert [got[i].labels for i in range(len(texts))] == ["", "", "mit", "mit", "cc-by-nc", "apache-2", "gpl-3", "isc", "mit", "cc-by", "bsd"]
     assert (got[5].n_base, got[5].first_word, got[5].last_word) == (2, 3, 11) and got[8].n_base == 3000 and got[0].n_words == 0
     assert got[2].base_labels == "mit" and got[6].base_labels == "" and got[6].score == 1.0
     spans = license_scan.license_blocks(frame(spark, texts)).filter("doc_id = 2").collect()
@@ -319,28 +319,45 @@ def test_licenses(spark):
 
 
 def brute_join(text, threshold=0.8):
-    out = set()
+    """Labels of the best templates of each block, and all (label, share) that meet one."""
+    out, met = set(), []
     for part in license_scan._BLANK.split(text.encode().translate(license_scan._WORD_BYTES)):
-        for block in [part, *part.split(b"\n")]:
+        for block in [part, *part.split(b"\n")] if b"\n" in part else [part]:
             words = set(block.split())
-            for label, must, template in license_scan.TEMPLATES:
+            shares = []
+            for label, template in license_scan.TEMPLATES:
                 t = set(license_scan.words_of(template))
-                if len(words & t) >= threshold * len(t) - 1e-9 and set(license_scan.words_of(must)) <= words:
-                    out.add(label)
-    return ",".join(sorted(out))
+                if len(words & t) >= threshold * len(t) - 1e-9:
+                    shares.append((len(words & t) / len(t), len(words & t), label))
+            out |= {x[2] for x in shares if x[:2] == max(shares)[:2]}
+            met += [(x[0], x[2]) for x in shares]
+    return ",".join(sorted(out)), sorted(met)
+
+
+def test_license_rows_without_ids_and_long_texts(spark):
+    filler = "\n".join(f"line {i} of some words" for i in range(20_000))
+    mit = next(t for label, t in license_scan.TEMPLATES if label == "mit" and len(t) > 200)
+    df = spark.createDataFrame([(None, mit, 1), (7, f"{filler}\n\n{mit}\n\n{filler}", 2), (7, None, 3), (7, None, 3)], "doc_id long, text string, labels int")
+    got = sorted((str(r.doc_id), r.labels, r.n_words) for r in license_scan.license_scan(df).collect())
+    n = len(license_scan.words_of(mit))
+    assert got == [("7", "", 0), ("7", "", 0), ("7", "mit", n + 200_000), ("None", "mit", n)]
 
 
 def test_filters_lose_nothing(spark):
     r = random.Random(8)
-    vocabulary = sorted({w.decode() for _, _, t in license_scan.TEMPLATES for w in license_scan.words_of(t)})
+    vocabulary = sorted({w.decode() for _, t in license_scan.TEMPLATES for w in license_scan.words_of(t)})
     texts = []
     for _ in range(150):
-        words = r.choice(license_scan.TEMPLATES)[2].split()
+        words = r.choice(license_scan.TEMPLATES)[1].split()
         r.shuffle(words)
         words = [w for w in words if r.random() < 0.9] + r.choices(vocabulary, k=r.randint(0, 6))
         texts.append("\n".join([" ".join(words), r.choice(["", "x"]), " ".join(r.choices(vocabulary, k=5))]))
     got = {x.doc_id: x.labels for x in license_scan.license_scan(frame(spark, texts), phrases=[]).collect()}
-    assert [got[i] for i in range(len(texts))] == [brute_join(t) for t in texts]
+    assert [got[i] for i in range(len(texts))] == [brute_join(t)[0] for t in texts]
+    blocks = license_scan.license_blocks(frame(spark, texts)).collect()
+    for i, t in enumerate(texts):
+        assert sorted((r.share, r.label) for r in blocks if r.doc_id == i) == brute_join(t)[1]
+    assert all((r.rank > 1) or (r.share == max(x.share for x in blocks if (x.doc_id, x.first_byte, x.n_bytes) == (r.doc_id, r.first_byte, r.n_bytes))) for r in blocks)
 
 
 def brute_counts(text):
