@@ -5,8 +5,9 @@ coordinates. Consecutive vectors form sequence intervals with bounding boxes, in
 down from pairs of long intervals to pairs of short ones and skips a pair whose boxes lie further apart than epsilon; the
 projection never lengthens a distance, so that nothing is lost. What is left is compared in double precision.
 
-Equal vectors are one vector with a weight. A pair of intervals gives back at most one row per vector: how many vectors it
-is linked with there, and one vector of its group there. No pairs are emitted.
+Equal vectors are one vector with a weight. Intervals that are near in the sequence form tiles; an interval is sent once to
+each pair of tiles in which it has a partner left. A pair of intervals gives back at most one row per vector: how many
+vectors it is linked with there, and one vector of its group there. No pairs are emitted.
 """
 
 from __future__ import annotations
@@ -15,16 +16,18 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import connected
-from .runtime import bound_batches, tree_sum, written
+from .runtime import bound_batches, hub_join, release, tree_sum, written
 
 BLOCK = 2048  # vectors of an interval that is moved as one row
 LEAF = 128  # vectors below which the recursion compares
 FANOUT = 8  # intervals that form the next longer one
+TILE = 8  # intervals that are compared with those of another tile in one task
 LEADING = 6  # principal directions with grid cells
 
 
@@ -102,15 +105,18 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.9, id_col: str = "vec_
 
     Two vectors are linked if their cosine is at least the threshold. A vector that is null, empty or zero, or holds null
     or non-finite components, is linked with nothing, nor are vectors of unlike length with each other. Each row is a
-    vector: equal rows are linked, rows with one id but unlike vectors are compared like others. A row with a null id is
+    vector: equal rows are linked, and rows with one id but unlike vectors are one vertex, whose links join. A row with a null id is
     linked with nothing, has a null component_id and is kept. An empty table gives an empty table; other columns are not read.
     """
     spark = vectors.sparkSession
     bound_batches(spark)
-    source = vectors.select(F.col(id_col).alias("__id"), F.col(vector_col).cast("array<double>").alias("v"))
-    good = source.filter(F.col("__id").isNotNull() & _valid("v"))
+    plain = F.transform(F.col(vector_col).cast("array<double>"), lambda x: x + 0.0)  # no negative zeros
+    source = vectors.select(F.col(id_col).alias("__id"), plain.alias("v"))
+    floats = vectors.select(vector_col).schema[0].dataType.simpleString() == "array<float>"
+    usable = F.col("__id").isNotNull() & _valid("v")
+    good = source.filter(usable)
     classes = written(good.groupBy("v").agg(F.min("__id").alias("first"), F.count(F.lit(1)).alias("weight")).withColumn("cls", F.monotonically_increasing_id()), "vector-classes")
-    size = classes.agg(F.max(F.size("v")).alias("width"), F.count(F.lit(1)).alias("n")).first()
+    size = classes.agg(F.max(F.size("v")).alias("width"), F.count(F.lit(1)).alias("n"), F.sum("weight").alias("rows")).first()
     epsilon = math.sqrt(max(0.0, 2 - 2 * threshold)) + 1e-9
     if not size["n"]:
         return source.select(F.col("__id").alias(id_col), F.lit(0).cast("bigint").alias("n_links"), F.col("__id").alias("component_id"), F.lit(True).alias("kept"))
@@ -156,8 +162,9 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.9, id_col: str = "vec_
             u = _units(v, width)
             c = coordinates(u)
             sizes = np.diff(v.offsets.to_numpy()).astype(np.int64)
-            blobs = [x.tobytes() for x in (t.column(1).to_numpy(), t.column(2).to_numpy(), sizes, u, c)]
-            return pa.RecordBatch.from_arrays([pa.array([(pid << 32) + number]), pa.array([len(u)]), pa.array([c.min(0).tolist()], pa.list_(pa.float64())), pa.array([c.max(0).tolist()], pa.list_(pa.float64())), *(pa.array([x], pa.binary()) for x in blobs)], ["block", "n", "lo", "hi", "cls", "weight", "sizes", "units", "coords"])
+            values = v.values.to_numpy(zero_copy_only=False)[v.offsets[0].as_py() : v.offsets[-1].as_py()]
+            blobs = [x.tobytes() for x in (t.column(1).to_numpy(), t.column(2).to_numpy(), sizes, values.astype(np.float32) if floats else values)]
+            return pa.RecordBatch.from_arrays([pa.array([(pid << 32) + number]), pa.array([len(u)]), pa.array([c.min(0).tolist()], pa.list_(pa.float64())), pa.array([c.max(0).tolist()], pa.list_(pa.float64())), *(pa.array([x], pa.binary()) for x in blobs)], ["block", "n", "lo", "hi", "cls", "weight", "sizes", "vectors"])
 
         waiting = 0
         for b in batches:
@@ -172,11 +179,12 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.9, id_col: str = "vec_
         if held:
             yield block(held)
 
-    blocks = written(ordered.mapInArrow(intervals, "block bigint, n bigint, lo array<double>, hi array<double>, cls binary, weight binary, sizes binary, units binary, coords binary"), "intervals")
-    # Longer intervals over the sequence: the dense number of a block comes from counts per partition, not from one sort.
-    per_part = blocks.select("block").withColumn("pid", F.shiftright("block", 32)).groupBy("pid").agg(F.count(F.lit(1)).alias("c"))
-    earlier = per_part.alias("p").join(per_part.alias("q"), F.col("q.pid") < F.col("p.pid"), "left").groupBy("p.pid").agg(F.coalesce(F.sum("q.c"), F.lit(0)).alias("start"))
-    dense = blocks.select("block", "lo", "hi").withColumn("pid", F.shiftright("block", 32)).join(earlier, "pid").select((F.col("start") + F.col("block").bitwiseAND(F.lit((1 << 32) - 1))).alias("k"), "block", "lo", "hi")
+    blocks = written(ordered.mapInArrow(intervals, "block bigint, n bigint, lo array<double>, hi array<double>, cls binary, weight binary, sizes binary, vectors binary"), "intervals")
+    # Longer intervals over the sequence: the dense number of a block comes from the number of blocks of each partition.
+    pid = F.shiftright("block", 32).alias("pid")
+    per_part = blocks.select(pid).groupBy("pid").agg(F.count(F.lit(1)).alias("c"))
+    earlier = per_part.select("pid", F.coalesce(F.sum("c").over(Window.orderBy("pid").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("start"))
+    dense = blocks.select("block", "lo", "hi", pid).join(earlier, "pid").select((F.col("start") + F.col("block").bitwiseAND(F.lit((1 << 32) - 1))).alias("k"), "block", "lo", "hi")
     levels = [written(dense, "level")]
     count = levels[0].count()
     dims = len(leading[0]) + 1
@@ -193,29 +201,56 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.9, id_col: str = "vec_
         child = level.withColumn("up", F.floor(F.col("k") / FANOUT))
         pairs = pairs.join(child.alias("a"), F.col("x") == F.col("a.up")).join(child.alias("b"), F.col("y") == F.col("b.up"))
         pairs = pairs.filter((F.col("a.k") <= F.col("b.k")) & (near <= epsilon * epsilon)).select(F.col("a.k").alias("x"), F.col("b.k").alias("y"))
-    names = levels[0].select("k", "block")
-    work = pairs.join(names.select(F.col("k").alias("x"), F.col("block").alias("bx")), "x").join(names.select(F.col("k").alias("y"), F.col("block").alias("by")), "y").select("bx", "by")
-    data = lambda s: blocks.select(F.col("block").alias(f"b{s}"), *(F.col(c).alias(f"{c}_{s}") for c in ("cls", "weight", "sizes", "units", "coords")))
-
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def load(row: dict, s: str) -> dict:
-            cls = np.frombuffer(row[f"cls_{s}"], np.int64)
-            return {"cls": cls, "weight": np.frombuffer(row[f"weight_{s}"], np.int64), "sizes": np.frombuffer(row[f"sizes_{s}"], np.int64), "units": np.frombuffer(row[f"units_{s}"]).reshape(len(cls), -1), "coords": np.frombuffer(row[f"coords_{s}"]).reshape(len(cls), -1)}
-
-        for b in batches:
-            for i in range(b.num_rows):
-                row = b.slice(i, 1).to_pylist()[0]
-                found = _links(load(row, "x"), load(row, "y"), row["bx"] == row["by"], threshold, epsilon)
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in found], ["cls", "to", "n"])
-
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "16")
-    found = written(work.join(data("x"), "bx").join(data("y"), "by").mapInArrow(compare, "cls bigint, to bigint, n bigint"), "vector-links")
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "512")
+    tile = lambda c: F.floor(F.col(c) / TILE)
+    met = pairs.select(tile("x").alias("tx"), tile("y").alias("ty"), "x", "y")
+    sent = met.select("tx", "ty", F.col("x").alias("k"), F.col("y").alias("partner")).unionByName(met.select("tx", "ty", F.col("y").alias("k"), F.lit(None).cast("bigint").alias("partner")))
+    sent = sent.groupBy("tx", "ty", "k").agg(F.array_sort(F.collect_list("partner")).alias("partners"))  # a tile's intervals at most
+    work = sent.join(levels[0].select("k", "block"), "k").join(blocks.select("block", "cls", "weight", "sizes", "vectors"), "block")
+
+    def compare(frame: pd.DataFrame) -> pd.DataFrame:
+        held = {}
+        for k, cls, weight, sizes, data in zip(frame.k, frame.cls, frame.weight, frame.sizes, frame.vectors, strict=True):
+            sizes = np.frombuffer(sizes, np.int64)
+            offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+            values = np.frombuffer(data, np.float32 if floats else np.float64).astype(np.float64)
+            u = _units(pa.ListArray.from_arrays(pa.array(offsets), pa.array(values)), width)
+            held[k] = {"cls": np.frombuffer(cls, np.int64), "weight": np.frombuffer(weight, np.int64), "sizes": sizes, "units": u, "coords": coordinates(u)}
+        found = [_links(held[k], held[p], k == p, threshold, epsilon) for k, partners in zip(frame.k, frame.partners, strict=True) for p in partners]
+        columns = [np.concatenate(x) for x in zip(*found, strict=True)]
+        return pd.DataFrame(dict(zip(["cls", "to", "n"], columns, strict=True)))
+
+    found = written(work.groupBy("tx", "ty").applyInPandas(compare, "cls bigint, to bigint, n bigint"), "vector-links")
     counts = found.groupBy("cls").agg(F.sum("n").alias("n"))
     groups = connected(found.select("cls", "to"), "cls", "to").select(F.col("id").alias("cls"), "component")
-    placed = classes.select("v", "cls", "first", "weight").join(groups, "cls", "left").withColumn("component", F.coalesce("component", "cls"))
-    least = placed.groupBy("component").agg(F.min("first").alias("component_id"))
-    answer = placed.join(least, "component").join(counts, "cls", "left").select("v", (F.coalesce("n", F.lit(0)) + F.col("weight") - 1).alias("n_links"), "component_id")
-    known = F.col("__id").isNotNull()
-    out = source.join(answer, (source["v"] == answer["v"]) & known, "left").select("__id", F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"), F.when(known, F.coalesce("component_id", "__id")).alias("component_id"))
+    placed = written(classes.select("v", "cls", "first", "weight").join(groups, "cls", "left").join(counts, "cls", "left").withColumn("component", F.coalesce("component", "cls")), "placed")
+    # An id with several vectors joins their components.
+    mark = F.xxhash64("v")
+    several = good.groupBy("__id").agg(F.min(mark).alias("lo"), F.max(mark).alias("hi")).filter("lo != hi").select("__id")
+    of_ids = good.join(several, "__id", "left_semi").withColumn("h", mark).join(placed.select(mark.alias("h"), F.col("v").alias("w"), "component"), "h").filter("v = w")
+    of_ids = written(of_ids.select("__id", "component").distinct(), "vectors-of-ids")
+    by_id = of_ids.join(of_ids.groupBy("__id").agg(F.min("component").alias("lo")), "__id").filter("component != lo")
+    joined = connected(by_id, "component", "lo").select(F.col("id").alias("component"), F.col("component").alias("c2"))
+    whole = written(hub_join(placed, "component", joined, size["n"], "left").withColumn("component", F.coalesce("c2", "component")).drop("c2"), "joined")
+    least = whole.groupBy("component").agg(F.min("first").alias("component_id"))
+    answer = hub_join(whole, "component", least, size["n"]).select(F.col("v").alias("w"), (F.coalesce("n", F.lit(0)) + F.col("weight") - 1).cast("bigint").alias("n_links"), "component_id")
+    answer = written(answer.withColumn("h", F.xxhash64("w")), "vector-answers")
+    # Copies of one vector may be a large share of all rows: their join is dealt to several tasks.
+    mine = hub_join(good.withColumn("h", F.xxhash64("v")), "h", answer, size["rows"]).filter("v = w").select("__id", "n_links", "component_id")
+    other = source.filter(~F.coalesce(usable, F.lit(False))).select("__id", F.lit(0).cast("bigint").alias("n_links"), F.col("__id").alias("component_id"))
+    out = mine.unionByName(other)
+    release(classes, blocks, *levels, found, placed, of_ids, whole)
     return out.select(F.col("__id").alias(id_col), "n_links", "component_id", F.coalesce(F.col("__id") == F.col("component_id"), F.lit(True)).alias("kept"))
+
+
+def oracle_sql(threshold: float = 0.9) -> str:
+    """DuckDB SQL for near_vectors() over embeddings: all pairs."""
+    return f"""
+WITH RECURSIVE s AS (SELECT row_number() OVER () AS rid, vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+g AS (SELECT * FROM s WHERE v IS NOT NULL AND len(list_filter(v, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(v, lambda x: x <> 0)) > 0),
+l AS (SELECT a.rid AS x, b.rid AS y, a.vec_id AS i, b.vec_id AS j FROM g a JOIN g b ON a.rid <> b.rid AND len(a.v) = len(b.v) AND list_cosine_similarity(a.v, b.v) >= {threshold}),
+e AS (SELECT DISTINCT i, j FROM l),
+r AS (SELECT i AS id, i AS c FROM e UNION SELECT e.j, r.c FROM r JOIN e ON e.i = r.id),
+m AS (SELECT id, min(c) AS c FROM r GROUP BY id),
+n AS (SELECT x, count(*) AS n FROM l GROUP BY x)
+SELECT vec_id, coalesce(n.n, 0)::BIGINT AS n_links, coalesce(m.c, vec_id)::BIGINT AS component_id, coalesce(coalesce(m.c, vec_id) = vec_id, true) AS kept
+FROM s LEFT JOIN n ON n.x = s.rid LEFT JOIN m ON m.id = s.vec_id"""

@@ -425,7 +425,8 @@ def near_duplicates(docs: DataFrame, percent: int = 85, shingle: int = 5, id_col
     second = written(connected(later), "second-components")
     component = F.coalesce("c2", "c1", "cls")
     steps = classes.select("cls", "set_key", "id").join(first.select(F.col("id").alias("cls"), F.col("component").alias("c1")), "cls", "left").withColumn("c1", F.coalesce("c1", "cls"))
-    steps = written(steps.join(second.select(F.col("id").alias("c1"), F.col("component").alias("c2")), "c1", "left").select("set_key", "id", component.alias("comp")), "components")
+    total = reps.count()
+    steps = written(hub_join(steps, "c1", second.select(F.col("id").alias("c1"), F.col("component").alias("c2")), total, "left").select("set_key", "id", component.alias("comp")), "components")
     # An id with several texts joins their components.
     mark = F.xxhash64("set_key")
     several = valid.groupBy("__id").agg(F.min(mark).alias("lo"), F.max(mark).alias("hi")).filter("lo != hi").select("__id")
@@ -433,9 +434,9 @@ def near_duplicates(docs: DataFrame, percent: int = 85, shingle: int = 5, id_col
     least_comp = texts_of.groupBy("__id").agg(F.min("comp").alias("lo"))
     by_id = written(texts_of.join(least_comp, "__id").filter("comp != lo").select(F.col("comp").alias("a"), F.col("lo").alias("b")).distinct(), "id-links")
     third = written(connected(by_id), "third-components")
-    joined = steps.join(third.select(F.col("id").alias("comp"), F.col("component").alias("c3")), "comp", "left").select("set_key", "id", F.coalesce("c3", "comp").alias("comp"))
+    joined = hub_join(steps, "comp", third.select(F.col("id").alias("comp"), F.col("component").alias("c3")), total, "left").select("set_key", "id", F.coalesce("c3", "comp").alias("comp"))
     least_of = joined.groupBy("comp").agg(F.min("id").alias("component_id"))
-    final = written(joined.join(least_of, "comp").select("set_key", "component_id"), "final-components")
+    final = written(hub_join(joined, "comp", least_of, total).select("set_key", "component_id"), "final-components")
     release(classes, groups, members, first, mixed, blocks, busy, more_sets, later, second, steps, texts_of, by_id, third)
     out = sketches.select("__id", "n_shingles", "set_key").join(final, "set_key", "left")
     out = out.withColumn("component_id", F.when(F.col("__id").isNotNull(), F.coalesce("component_id", "__id")))

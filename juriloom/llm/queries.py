@@ -7,11 +7,11 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from . import ego_join
 from . import hyperminhash as minhash
 from . import license_scan as licenses
 from . import quality_rules as quality
 from .bpe_codec import encoding_digest
-from .ego_join import near_vectors
 from .html_mincut import extract_text
 from .packing import pack
 from .pseudo_likelihood import pseudo_likelihood
@@ -49,7 +49,7 @@ def op6_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_vectors(read(spark, sf_dir, "embeddings"))
+    return ego_join.near_vectors(read(spark, sf_dir, "embeddings"))
 
 
 def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -80,5 +80,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLE_SQL: dict[str, str] = {
     "op2_quality_rules": quality.oracle_sql(),
     "op5_minhash_dedup": minhash.oracle_sql(),
+    "op7_embedding_dedup": ego_join.oracle_sql(),
     "op10_license_scan": licenses.oracle_sql(),
 }

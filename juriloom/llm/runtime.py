@@ -104,15 +104,15 @@ def delete_tables(spark: SparkSession) -> None:
     _delete(spark, f"{shared_dir(spark).rstrip('/')}/juriloom-tables")
 
 
-def hub_join(rows: DataFrame, key: str, side: DataFrame, count: int, least: int = 128) -> DataFrame:
-    """rows joined with side, whose rows are one for each value of key. Values that more than max(least, count / 50,000) of
+def hub_join(rows: DataFrame, key: str, side: DataFrame, count: int, how: str = "inner", least: int = 128) -> DataFrame:
+    """rows joined (inner or left) with side, whose rows are few for each value of key. Values that more than max(least, count / 50,000) of
     the count rows share are dealt to several tasks, and their row of side with them; at most 50,000 such values are broadcast."""
     limit = max(least, count // 50_000)
     hubs = F.broadcast(rows.groupBy(key).agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") > limit).select(key, F.ceil(F.col("__n") / limit).cast("int").alias("__parts")))
     parts = F.coalesce("__parts", F.lit(1))
     dealt = rows.join(hubs, key, "left").withColumn("__part", F.pmod(F.xxhash64(*(c for c in rows.columns if c != key)), parts).cast("int")).drop("__parts")
     copied = side.join(hubs, key, "left").withColumn("__part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("__parts")
-    return dealt.join(copied, [key, "__part"]).drop("__part")
+    return dealt.join(copied, [key, "__part"], how).drop("__part")
 
 
 def text_rows(df: DataFrame, id_col: str, text_col: str) -> DataFrame:

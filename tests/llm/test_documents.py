@@ -172,6 +172,29 @@ def test_vectors_against_all_pairs(spark, monkeypatch, block, leaf):
     assert ego_join.near_vectors(df.limit(0)).count() == 0
 
 
+def test_vectors_of_one_id_and_far_clusters(spark, monkeypatch):
+    r = np.random.default_rng(9)
+    a, b = r.normal(size=8), r.normal(size=8)
+    rows = [(1, a.tolist()), (1, b.tolist()), (2, (a * 3).tolist()), (3, (-0.0 * a).tolist()), (4, b.tolist()), (5, [-0.0, 1.0] + [0.0] * 6), (6, [0.0, 1.0] + [0.0] * 6)]
+    c, d = r.normal(size=8), r.normal(size=8)
+    rows += [(15, c.tolist()), (15, d.tolist()), (10, d.tolist()), (19, c.tolist())]
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    got = sorted((x.vec_id, x.n_links, x.component_id) for x in ego_join.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect())
+    assert got == [(1, 1, 1), (1, 1, 1), (2, 1, 1), (3, 0, 3), (4, 1, 1), (5, 1, 5), (6, 1, 5), (10, 1, 10), (15, 1, 10), (15, 1, 10), (19, 1, 10)]
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= int(before)
+    # Of clusters that the leading directions tell apart, pairs of intervals are skipped.
+    seen = []
+    keep = ego_join._pairs_within
+    monkeypatch.setattr(ego_join, "_pairs_within", lambda *x: seen.extend(y := list(keep(*x))) or y)
+    centres = np.eye(6)
+    points = np.concatenate([c + r.normal(size=(200, 6)) * 0.02 for c in centres])
+    units = points / np.linalg.norm(points, axis=1, keepdims=True)
+    side = {"cls": np.arange(1200), "weight": np.ones(1200, int), "sizes": np.full(1200, 6), "units": units, "coords": units}
+    found = ego_join._links(side, side, True, 0.9, math.sqrt(0.2))
+    assert (found[2] == 199).all() and len(found[0]) == 1200
+    assert sum((s.stop - s.start) * (t.stop - t.start) for s, t in seen) < 0.5 * 1200 * 1200 / 2
+
+
 PAGE = """<html><head><title>Title</title><style>p{}</style></head><body class="home"><header><p>Site name</p></header>
 <nav><ul><li><a href="/">Home</a></li></ul></nav><!-- x --><div class="cookie-notice"><p>We use cookies, a long notice about them. Really long.</p></div>
 <div id="content"><article><h1>Head&amp;line</h1><p>First &lt;para&gt; with <b>bold</b>ness and&nbsp;space.<p>Second<br>line<script>var a = "<p>no</p>";</script></p>
