@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import unicodedata
 from collections.abc import Callable
+from functools import lru_cache, reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -11,17 +12,52 @@ from pyspark.sql import functions as F
 from .vocabulary import MONTHS, OBSOLETE_MARK
 
 
-def _fold_table() -> tuple[str, str]:
-    """Letters up to U+024F whose compatibility form is one ASCII letter and marks, and that letter; a rule, not a list."""
-    pairs = []
-    for code in range(0xC0, 0x250):
-        base = "".join(c for c in unicodedata.normalize("NFKD", chr(code)) if not unicodedata.combining(c))
-        if len(base) == 1 and base.isascii():
-            pairs.append((chr(code), base))
-    return "".join(a for a, _ in pairs), "".join(b for _, b in pairs)
+def _stripped(c: str) -> str:
+    return "".join(x for x in unicodedata.normalize("NFKD", c) if not unicodedata.combining(x))
 
 
-_FROM, _TO = _fold_table()
+def _folded(c: str) -> str:
+    return _stripped(_stripped(c).casefold())
+
+
+@lru_cache(maxsize=2)
+def _table(form: Callable[[str], str]) -> dict[str, str]:
+    """What becomes of each character beyond ASCII that the form changes: a rule over all planes in use, not a list. Hangul
+    syllables stay composed."""
+    codes = (*range(0x80, 0xAC00), *range(0xD7A4, 0xD800), *range(0xE000, 0x30000))
+    return {c: f for c in map(chr, codes) if (f := form(c)) != c}
+
+
+@lru_cache(maxsize=2)
+def _parts(form: Callable[[str], str]) -> tuple[str, str, dict[str, str]]:
+    """The table as translate() takes it, what goes at the end, and the characters that become several."""
+    table = _table(form)
+    one = [c for c, f in table.items() if len(f) == 1]
+    gone = [c for c, f in table.items() if not f]
+    return "".join(one + gone), "".join(table[c] for c in one), {c: f for c, f in table.items() if len(f) > 1}
+
+
+_USUAL = "ßẞ…™№½¼¾ﬁﬂﬀﬃﬄ"  # characters of several letters that are looked for first, as a search for each costs little
+
+
+def _apply(x: Column, form: Callable[[str], str]) -> Column:
+    source, target, several = _parts(form)
+    pairs = F.str_to_map(F.lit("\x01".join(f"{c}\x02{f}" for c, f in several.items())), F.lit("\x01"), F.lit("\x02"))  # one literal, folded
+    spread = lambda t: F.array_join(F.transform(F.split(t, ""), lambda c: F.when(F.octet_length(c) == 1, c).otherwise(F.coalesce(F.try_element_at(pairs, c), c))), "")
+    usual = lambda t: reduce(lambda u, c: F.replace(u, F.lit(c), F.lit(several[c])), [c for c in _USUAL if c in several], t)
+    held = lambda t: F.length(F.translate(t, "".join(several), "")) < F.length(t)
+    whole = lambda t: F.translate(let(usual(t), lambda u: F.when(held(u), spread(u)).otherwise(u)), source, target)
+    return let(x, lambda t: F.when(F.octet_length(t) == F.char_length(t), t).otherwise(whole(t)))
+
+
+def bare(text: str) -> str:
+    """strip_accents() for a string."""
+    return text.translate(str.maketrans(_table(_stripped)))
+
+
+def folded(text: str) -> str:
+    """fold() for a string."""
+    return text.translate(str.maketrans(_table(_folded))).lower()
 
 
 def column(x: Column | str) -> Column:
@@ -34,13 +70,13 @@ def let(x: Column, f: Callable[[Column], Column]) -> Column:
 
 
 def strip_accents(x: Column | str) -> Column:
-    """Letters without their marks; free-standing combining marks go. ASCII texts are passed on as they are."""
-    plain = lambda t: F.regexp_replace(F.translate(t, _FROM, _TO), r"\p{Mn}+", "")
-    return let(column(x), lambda t: F.when(F.octet_length(t) == F.char_length(t), t).otherwise(plain(t)))
+    """Compatibility forms without their marks. ASCII texts are passed on as they are."""
+    return _apply(column(x), _stripped)
 
 
 def fold(x: Column | str) -> Column:
-    return strip_accents(F.lower(column(x)))
+    """Compatibility forms without marks and case."""
+    return F.lower(_apply(column(x), _folded))
 
 
 def squeeze(x: Column | str) -> Column:
@@ -57,6 +93,11 @@ def tokens(x: Column | str) -> Column:
     return F.regexp_extract_all(fold(x), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
 
 
+def token_line(x: Column | str) -> Column:
+    """The tokens of a text in one string, each with a space before it, and a space at the end."""
+    return F.regexp_replace(F.concat(F.lit(" "), fold(x), F.lit(" ")), r"[^\p{L}\p{N}]+", " ")
+
+
 def words(x: Column | str) -> Column:
     t = normal_text(x)
     return F.when(t == "", F.array().cast("array<string>")).otherwise(F.split(t, " "))
@@ -94,7 +135,7 @@ def article_key(raw: Column | str) -> Column:
 
 def french_date(day: Column, month: Column, year: Column) -> Column:
     """ISO text; the calendar is not asked."""
-    names = F.array(*[F.lit("".join(c for c in unicodedata.normalize("NFKD", m) if not unicodedata.combining(c))) for m in MONTHS])
+    names = F.array(*[F.lit(folded(m)) for m in MONTHS])
     number = F.array_position(names, fold(month))
     known = (number > 0) & (day != "") & (year != "")
     return F.when(known, F.concat_ws("-", F.lpad(year, 4, "0"), F.lpad(number.cast("string"), 2, "0"), F.lpad(day, 2, "0"))).otherwise("")

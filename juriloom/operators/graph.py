@@ -3,15 +3,13 @@
 
 from __future__ import annotations
 
-import re
-import unicodedata
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import vocabulary as V
 from ..functions.text import article_key
-from .legal import _patterns, article_matches_udf, instruments, mentions, title_relationships
+from ..storage import written
+from .legal import ARTICLE_TOKEN, article_matches, parsed_titles, question_mentions, title_relationships
 
 KEY = ["instrument_type", "number_key"]
 
@@ -20,10 +18,16 @@ def live(docs: DataFrame) -> DataFrame:
     return docs.filter((F.coalesce(F.col("status"), F.lit("")) != "error") & F.coalesce(F.col("present"), F.lit(True)))
 
 
-def instrument_groups(docs: DataFrame) -> DataFrame:
-    """One row per instrument of the documents: title and number of its first document, the first date, sources, notes.
+def titles(docs: DataFrame) -> DataFrame:
+    """parsed_titles() of the live documents as a table: groups, edges and all that follows read it, and titles are parsed once.
     docs: document_id, title, source_label, superseded_note, status, present, ord."""
-    rows = instruments(live(docs)).filter("own is not null").select(F.col("own.type").alias("instrument_type"), "own.number_key", "own.number", "own.date", "own.authority", "title", "source_label", "superseded_note", "ord")
+    wanted = live(docs).select("document_id", "title", "source_label", "superseded_note", "ord")
+    return written(parsed_titles(wanted).filter("own is not null"), "titles")
+
+
+def instrument_groups(parsed: DataFrame) -> DataFrame:
+    """One row per instrument of titles(): title and number of its first document, the first date, sources, notes."""
+    rows = parsed.select(F.col("own.type").alias("instrument_type"), "own.number_key", "own.number", "own.date", "own.authority", "title", "source_label", "superseded_note", "ord")
     note = F.coalesce(F.col("superseded_note"), F.lit(""))
     # A note that an earlier one holds is not repeated.
     notes = F.transform(F.array_sort(F.collect_list(F.when(note != "", F.struct("ord", note.alias("note"))))), lambda x: x["note"])
@@ -39,9 +43,9 @@ def instrument_groups(docs: DataFrame) -> DataFrame:
     ).withColumn("in_corpus", F.lit(True))
 
 
-def relationships(docs: DataFrame) -> DataFrame:
-    """Edges between instruments that titles state: the first statement of an edge counts, none leads back to itself."""
-    found = title_relationships(live(docs))
+def relationships(parsed: DataFrame) -> DataFrame:
+    """Edges between instruments that titles() state: the first statement of an edge counts, none leads back to itself."""
+    found = title_relationships(parsed)
     rows = found.select(F.col("own.type").alias("source_type"), F.col("own.number_key").alias("source_key"), "relation", F.col("target.type").alias("target_type"), F.col("target.number_key").alias("target_key"), F.col("target.number").alias("target_number"), F.col("target.date").alias("target_date"), F.col("target.authority").alias("target_authority"), "partial", F.struct("ord", "seq").alias("__o"))
     rows = rows.filter((F.col("source_type") != F.col("target_type")) | (F.col("source_key") != F.col("target_key")))
     edge = ["source_type", "source_key", "relation", "target_type", "target_key"]
@@ -57,7 +61,8 @@ def stub_instruments(groups: DataFrame, edges: DataFrame) -> DataFrame:
 
 def build(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(instruments with stubs, edges)."""
-    groups, edges = instrument_groups(docs), relationships(docs)
+    parsed = titles(docs)
+    groups, edges = instrument_groups(parsed), written(relationships(parsed), "edges")
     return groups.unionByName(stub_instruments(groups, edges)), edges
 
 
@@ -116,7 +121,7 @@ def article_edges(chunks: DataFrame, own: DataFrame) -> DataFrame:
     """Edges from articles to articles. chunks: document_id, content, article_number, ord. own: document_id and the key of the
     instrument that it is (nulls if none). An edge of one source to one target article counts once, unless the target
     instrument is not known: such rows stay."""
-    rows = chunks.filter("article_number is not null and article_number != ''").select("document_id", "ord", article_key(F.col("article_number")).alias("source_article"), F.explode(article_matches_udf(F.col("content"))).alias("m"))
+    rows = chunks.filter("article_number is not null and article_number != ''").select("document_id", "ord", article_key(F.col("article_number")).alias("source_article"), F.explode(article_matches(F.coalesce("content", F.lit("")))).alias("m"))
     rows = rows.join(own.select("document_id", F.col("instrument_type").alias("own_type"), F.col("number_key").alias("own_key")), "document_id", "left")
     target = lambda a, b: F.when(F.col("m.is_self"), F.col(a)).otherwise(F.col(b))
     rows = rows.select("document_id", "source_article", "ord", F.col("m.relation").alias("relation"), target("own_type", "m.type").alias("target_type"), target("own_key", "m.number_key").alias("target_key"), F.col("m.granularity").alias("granularity"), F.col("m.raw").alias("raw"), F.posexplode("m.numbers").alias("seq", "number"))
@@ -140,13 +145,11 @@ def backfill(edges: DataFrame, nodes: DataFrame, own: DataFrame) -> DataFrame:
     return edges.join(held, ["target_type", "target_key", "target_article"], "left")
 
 
-def requested_article_keys(question: str) -> list[str]:
+def requested_article_keys(question: Column) -> Column:
     """Keys of the articles that a question names, in order."""
-    token = _patterns()["token"].pattern
-    text = unicodedata.normalize("NFKC", question)
-    lists = re.findall(rf"\barticles?\s+({token}(?:\s*(?:,|;|et|à|a|-)\s*{token})*)", text, re.I)
-    keys = (re.sub(r"[°º\s]+", "", t).casefold() for part in lists for t in re.findall(token, part, re.I))
-    return list(dict.fromkeys("1" if k in ("1er", "premier") else k for k in keys))
+    lists = F.regexp_extract_all(question, F.lit(rf"(?iu)\barticles?\s+({ARTICLE_TOKEN}(?:\s*(?:,|;|et|à|a|-)\s*{ARTICLE_TOKEN})*)"), F.lit(1))
+    tokens = F.flatten(F.transform(lists, lambda x: F.regexp_extract_all(x, F.lit(f"(?i){ARTICLE_TOKEN}"), F.lit(0))))
+    return F.array_distinct(F.transform(tokens, article_key))
 
 
 def article_brief(question: str, nodes: DataFrame, edges: DataFrame, article_nodes: DataFrame, own: DataFrame, most: int = 4) -> DataFrame:
@@ -154,7 +157,8 @@ def article_brief(question: str, nodes: DataFrame, edges: DataFrame, article_nod
     many, in a fixed order: what other articles do to the article (known even if its text is not there) and what it does.
     nodes: instruments; edges: article_edges(); own: document_id with its instrument."""
     spark = nodes.sparkSession
-    asked = list(dict.fromkeys((m["type"], m["number_key"], a) for m in mentions(question) if m["number_key"] for a in requested_article_keys(question)))
+    keys = spark.createDataFrame([(question,)], "q string").select(requested_article_keys(F.col("q")).alias("k")).first()["k"]
+    asked = list(dict.fromkeys((m["type"], m["number_key"], a) for m in question_mentions(spark, question) if m["number_key"] for a in keys))
     wanted = spark.createDataFrame([(*x, i) for i, x in enumerate(asked)], "instrument_type string, number_key string, article_key string, ord int")
     known = wanted.join(nodes.select(*KEY, "title"), KEY)
     home = own.select("document_id", F.col("instrument_type").alias("own_type"), F.col("number_key").alias("own_key"))

@@ -59,7 +59,7 @@ def corpus(spark: SparkSession, sf: str) -> DataFrame:
 
 
 # --- ranking -----------------------------------------------------------------------------------------------------------
-_TOK = r"regexp_extract_all(strip_accents(lower({})), '[\p{{L}}\p{{N}}]+')"
+_TOK = r"regexp_extract_all(replace(strip_accents(lower({})), 'ß', 'ss'), '[\p{{L}}\p{{N}}]+')"
 
 
 def _occ(tok: str, phrase: list[str]) -> str:
@@ -197,7 +197,7 @@ def exact_dup_groups(spark, sf):
     return dedup.equal_groups(rows, "sha", "doc_id").select("grp", F.array_join(F.col("ids").cast("array<string>"), ",").alias("ids"))
 
 
-_NORM = r"trim(regexp_replace(strip_accents(lower(text)), '\s+', ' ', 'g'))"
+_NORM = r"trim(regexp_replace(replace(strip_accents(lower(text)), 'ß', 'ss'), '\s+', ' ', 'g'))"
 
 
 @query(f"SELECT sha256(t) AS grp, string_agg(doc_id::VARCHAR, ',' ORDER BY doc_id) AS ids FROM (SELECT doc_id, {_NORM} AS t FROM documents) WHERE length(t) >= 200 GROUP BY 1 HAVING count(*) > 1")
@@ -271,18 +271,18 @@ def instrument_parse(spark, sf):
 
 @query(f"WITH {_L}, {_G} SELECT instrument_type, number_key, title, instrument_number, instrument_date, {_SCORE} AS authority_score, document_count, sources, superseded_note FROM grp")
 def instrument_groups(spark, sf):
-    return graph.instrument_groups(_legal(spark, sf)).drop("in_corpus")
+    return graph.instrument_groups(graph.titles(_legal(spark, sf))).drop("in_corpus")
 
 
 @query(f"WITH {_L}, {_E} SELECT source_type, source_key, relation, target_type, target_key, target_number, partial FROM edges")
 def relationship_edges(spark, sf):
-    return graph.relationships(_legal(spark, sf)).select("source_type", "source_key", "relation", "target_type", "target_key", "target_number", "partial")
+    return graph.relationships(graph.titles(_legal(spark, sf))).select("source_type", "source_key", "relation", "target_type", "target_key", "target_number", "partial")
 
 
 @query(f"WITH {_L}, {_E}, {_G}, {_STUB} SELECT instrument_type, number_key, instrument_number, instrument_type || ' n° ' || instrument_number AS title FROM stub")
 def stub_instruments(spark, sf):
-    docs = _legal(spark, sf)
-    return graph.stub_instruments(graph.instrument_groups(docs), graph.relationships(docs)).select("instrument_type", "number_key", "instrument_number", "title")
+    parsed = graph.titles(_legal(spark, sf))
+    return graph.stub_instruments(graph.instrument_groups(parsed), graph.relationships(parsed)).select("instrument_type", "number_key", "instrument_number", "title")
 
 
 _STATUS = f"""{_L}, {_E}, {_G}, {_STUB}, n AS (SELECT instrument_type, number_key, superseded_note, true AS here FROM grp UNION ALL SELECT instrument_type, number_key, '', false FROM stub),
@@ -454,7 +454,7 @@ def citations_grouped(spark, sf):
 
 
 @query(
-    r"""WITH d AS (SELECT doc_id, text, strip_accents(lower(text)) AS f FROM documents), h AS (SELECT doc_id, text, unnest(['idiot', 'trash', 'worthless']) AS t, f FROM d),
+    r"""WITH d AS (SELECT doc_id, text, replace(strip_accents(lower(text)), 'ß', 'ss') AS f FROM documents), h AS (SELECT doc_id, text, unnest(['idiot', 'trash', 'worthless']) AS t, f FROM d),
 c AS (SELECT doc_id, (length(f) - length(replace(f, t, ''))) // length(t) AS n, instr(f, t) AS a0, t FROM h), b AS (SELECT doc_id, arg_min(a0, (n, a0, t)) AS a0 FROM c WHERE n > 0 GROUP BY doc_id)
 SELECT doc_id, CASE WHEN length(text) <= 900 THEN text WHEN a0 IS NULL OR a0 <= 220 THEN substr(text, 1, 900)
 ELSE substr(text, 1, 220) || chr(10) || '[...]' || chr(10) || substr(text, greatest(1, least(a0 - 336, length(text) - 672)), 673) END AS preview FROM d LEFT JOIN b USING (doc_id)"""
@@ -499,7 +499,7 @@ def rerank_vectors_whole(spark, sf):
 
 
 @query(
-    r"""SELECT doc_id, contains(t, 'the') AND contains(t, 'an') AND (contains(t, 'idiot') OR contains(t, 'with')) AND NOT contains(t, 'trash') AS passed FROM (SELECT doc_id, strip_accents(lower(text)) AS t FROM documents)"""
+    r"""SELECT doc_id, contains(t, 'the') AND contains(t, 'an') AND (contains(t, 'idiot') OR contains(t, 'with')) AND NOT contains(t, 'trash') AS passed FROM (SELECT doc_id, replace(strip_accents(lower(text)), 'ß', 'ss') AS t FROM documents)"""
 )
 def golden_grade(spark, sf):
     words = lambda *x: F.array(*[F.lit(w) for w in x])
@@ -508,7 +508,7 @@ def golden_grade(spark, sf):
 
 @query(
     r"""WITH c(pos, label) AS (VALUES (0, 'the ingly idiot'), (1, 'worthless trash of with'), (2, 'clown thing')), t AS (SELECT pos, list_filter(string_split(label, ' '), lambda x: length(x) >= 3 AND x <> 'the') AS ts FROM c),
-r AS (SELECT doc_id, trim(regexp_replace(strip_accents(lower(text)), '[^a-z0-9]+', ' ', 'g')) AS x FROM documents),
+r AS (SELECT doc_id, trim(regexp_replace(replace(strip_accents(lower(text)), 'ß', 'ss'), '[^a-z0-9]+', ' ', 'g')) AS x FROM documents),
 s AS (SELECT doc_id, pos, len(list_filter(ts, lambda t: contains(x, t))) / len(ts)::DOUBLE AS share FROM r, t)
 SELECT doc_id, pos, round(share, 6) AS share FROM s WHERE share >= 0.5 QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY share DESC, pos) = 1"""
 )
