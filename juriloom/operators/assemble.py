@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import fold
+from ..functions.text import fold, legal_year
 
 
 def grouped_citations(chunks: DataFrame, document: str = "document_id", pos: str = "pos") -> DataFrame:
@@ -25,6 +25,81 @@ def context(chunks: DataFrame, pos: str = "pos") -> DataFrame:
     return blocks.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(pos, "block"))), lambda x: x["block"]), "\n\n").alias("context"))
 
 
+def retrieved_context(chunks: DataFrame, as_of_year: int, pos: str = "pos") -> DataFrame:
+    """One row: the numbered sources of a search in the form that answers quote from. chunks, the few that a search returns:
+    pos, document_id, title, source_label, locator, article_number, published_date, content."""
+    number = F.row_number().over(Window.orderBy(pos)).cast("string")
+    or_else = lambda c, other: F.coalesce(F.nullif(c.cast("string"), F.lit("")), F.lit(other))
+    lines = F.concat_ws(
+        "\n",
+        F.concat(F.lit('<retrieved_source number="'), number, F.lit('" document_id="'), F.col("document_id"), F.lit('">')),
+        F.concat(F.lit("Title: "), "title"),
+        F.concat(F.lit("Institution: "), F.coalesce("source_label", F.lit(""))),
+        F.concat(F.lit("Locator: "), "locator"),
+        F.concat(F.lit("Article: "), or_else(F.col("article_number"), "[not specified]")),
+        F.concat(F.lit("Catalog date: "), or_else(F.col("published_date"), "[not provided]")),
+        F.concat(F.lit("Inferred document year: "), or_else(legal_year(F.col("title"), F.col("published_date"), as_of_year), "[unknown]")),
+        F.lit("Content:"),
+        "content",
+        F.lit("</retrieved_source>"),
+    )
+    blocks = chunks.select(pos, lines.alias("block"))
+    return blocks.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(pos, "block"))), lambda x: x["block"]), "\n\n").alias("context"))
+
+
+def search_hints(queries: list[str] | None) -> str:
+    """The block that offers other wordings to a search of the model's own; empty without any."""
+    if not queries:
+        return ""
+    listed = "\n".join(f"- {q}" for q in queries)
+    head = "Pistes de recherche alternatives (vocabulaire juridique précis) à utiliser en complément de la question ci-dessous pour rechercher dans la base documentaire :"
+    return f"<search_hints>\n{head}\n{listed}\n</search_hints>"
+
+
+def focused_reading(entries: list[Row]) -> str:
+    """The block of the instruments that a question names, from resolve.named_instruments(); empty without any."""
+    note = "This instrument is named directly in the question, so it is provided here in full (or, if too long, as its own most relevant passages only - not mixed with other documents) rather than relying solely on corpus-wide chunk ranking."
+    out = []
+    for e in entries:
+        if e["mode"] == "full_text":
+            body = f"Full text:\n{e['content']}"
+        else:
+            passages = "\n\n".join(f"[{c['locator']}, Article: {c['article_number'] or '[not specified]'}]\n{c['content']}" for c in e["chunks"])
+            body = f"Document too long to include in full; its own top-matching passages for this question:\n{passages}"
+        out.append(f'<focused_reading title="{e["title"]}" institution="{e["source_label"]}">\n{note}\n{body}\n</focused_reading>')
+    return "\n\n".join(out)
+
+
+def message_text(content: Column) -> Column:
+    """The text of a message in JSON: a string as it is, of a list the texts of its parts, one a line; else nothing."""
+    parsed = F.try_parse_json(content)
+    kind = F.schema_of_variant(parsed)
+    parts = F.filter(F.transform(F.try_variant_get(parsed, "$", "array<variant>"), lambda p: F.try_variant_get(p, "$.text", "string")), lambda t: t.isNotNull())
+    return F.when(kind == "STRING", F.try_variant_get(parsed, "$", "string")).when(kind.startswith("ARRAY"), F.array_join(parts, "\n")).otherwise(F.lit(""))
+
+
+_REPLY = "struct<output:array<struct<type:string,content:array<struct<annotations:array<struct<file_id:string>>>>,results:array<struct<file_id:string>>>>>"
+
+
+def file_ids(reply: Column) -> Column:
+    """The files that a reply in JSON cites or has found, each once, in order."""
+
+    def of(item: Column) -> Column:
+        cited = F.flatten(F.transform(F.coalesce(item["content"], F.array().cast("array<struct<annotations:array<struct<file_id:string>>>>")), lambda c: F.coalesce(F.transform(c["annotations"], lambda a: a["file_id"]), F.array().cast("array<string>"))))
+        found = F.transform(item["results"], lambda r: r["file_id"])
+        return F.coalesce(F.when(item["type"] == "message", cited).when(item["type"] == "file_search_call", found), F.array().cast("array<string>"))
+
+    ids = F.flatten(F.transform(F.from_json(reply, _REPLY)["output"], of))
+    return F.coalesce(F.array_distinct(F.filter(ids, lambda i: i.isNotNull() & (i != ""))), F.array().cast("array<string>"))
+
+
+def golden_run(cases: DataFrame, answers: DataFrame) -> DataFrame:
+    """cases (id, must_contain, any_of, must_not_contain) with passed, by their answers (id, answer); no answer is no pass."""
+    rows = cases.join(answers.select("id", "answer"), "id", "left")
+    passed = F.coalesce(grade(F.col("answer"), F.col("must_contain"), F.col("any_of"), F.col("must_not_contain")), F.lit(False))
+    return rows.withColumn("passed", passed)
+
+
 def grade(answer: Column, must: Column, any_of: Column, must_not: Column) -> Column:
     """True if the folded answer holds all of must, one of any_of (if there are any) and none of must_not."""
     text = fold(answer)

@@ -2,25 +2,58 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import vocabulary as V
-from ..functions.text import fold, tokens
+from ..functions.text import fold, folded, let, squeeze, tokens
 
 
-def preview(content: Column, terms: list[str], limit: int = V.PREVIEW, head: int = V.PREVIEW_HEAD, separator: str = "\n[...]\n") -> Column:
-    """The text if it is short; else its head and a window around the rarest term that it holds (fewest, then earliest)."""
-    folded = fold(content)
+SEPARATOR = " … "
+TERM_LETTERS = 4  # of the words of a question that a preview looks for
+
+
+def preview_terms(question: str, stop: frozenset[str] = frozenset(V.PREVIEW_STOP_WORDS)) -> list[str]:
+    return sorted({t for t in re.findall(r"[^\W_]{%d,}" % TERM_LETTERS, folded(question)) if t not in stop})
+
+
+def _raw_place(text: Column, folded_text: Column, at: Column) -> Column:
+    """The place (from 0) of the character that a place of the folded text comes from."""
+    start = F.struct(F.lit(0).alias("seen"), F.lit(0).alias("place"))
+
+    def walk(acc: Column, c: Column) -> Column:
+        more = acc["seen"] + F.when(F.octet_length(c) == 1, 1).otherwise(F.length(fold(c)))
+        return F.struct(more.alias("seen"), (acc["place"] + (more <= at).cast("int")).alias("place"))
+
+    mapped = F.aggregate(F.split(text, ""), start, walk)["place"]
+    return F.when(F.length(folded_text) == F.length(text), at).otherwise(mapped)
+
+
+def preview(content: Column, terms: list[str], limit: int = V.PREVIEW, head: int = V.PREVIEW_HEAD) -> Column:
+    """The text, white space squeezed, if it is short; else its head and a window around the rarest term (fewest places, then
+    the earliest, then the least word) of those that first stand behind the head. Places are found in the folded text, whose
+    length may differ, and cut in the text itself."""
     asked = F.array(*[F.lit(t) for t in terms]) if terms else F.array().cast("array<string>")
-    seen = F.transform(asked, lambda t: F.struct(((F.length(folded) - F.length(F.replace(folded, t, F.lit("")))) / F.length(t)).cast("int").alias("n"), F.call_function("instr", folded, t).alias("at"), t.alias("t")))
-    best = F.array_min(F.filter(seen, lambda s: s["n"] > 0))
-    width = limit - head - len(separator)
-    begin = F.greatest(F.lit(1), F.least(best["at"] - F.lit(width // 2), F.length(content) - width + 1))
-    around = F.concat(F.substring(content, 1, head), F.lit(separator), F.substring(content, begin, F.lit(width)))
-    return F.when(F.length(content) <= limit, content).when(best.isNull() | (best["at"] <= head), F.substring(content, 1, limit)).otherwise(around)
+    head_size = min(head, limit // 3)
+    width = limit - head_size - len(SEPARATOR)
+
+    def of(text: Column) -> Column:
+        def around(line: Column) -> Column:
+            count = lambda t: ((F.length(line) - F.length(F.replace(line, t, F.lit("")))) / F.length(t)).cast("int")
+            seen = F.transform(asked, lambda t: F.struct(count(t).alias("n"), (F.call_function("instr", line, t) - 1).alias("at"), t.alias("t")))
+            best = F.array_min(F.filter(seen, lambda s: s["at"] >= head))
+            focus = _raw_place(text, line, best["at"])
+            end = F.least(F.length(text), F.greatest(F.lit(head_size), focus - width // 3) + width)
+            begin = F.greatest(F.lit(head_size), end - width)
+            window = F.concat(F.substring(text, 1, head_size), F.lit(SEPARATOR), F.substring(text, begin + 1, end - begin))
+            return F.when(best.isNull() | F.lit(width <= 0), F.substring(text, 1, limit)).otherwise(window)
+
+        return F.when(F.length(text) <= limit, text).otherwise(let(fold(text), around))
+
+    return let(squeeze(content), of)
 
 
 def shared_terms(question_terms: list[str]) -> Callable[[Column], Column]:

@@ -3,45 +3,39 @@ search inside a document, and the choice of a named instrument."""
 
 from __future__ import annotations
 
-import re
-import unicodedata
+from collections.abc import Callable, Iterable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import vocabulary as V
 from ..functions.text import article_tag, fold, recency_score
 from . import fts
 
-_NUMBER = re.compile(V.ARTICLE_NUMBER)
-_LIST = re.compile(rf"\barticles?\s+({V.ARTICLE_NUMBER}(?:\s*(?:,|;|\bet\b|à|\ba\b|-)\s*{V.ARTICLE_NUMBER})*)")
-
-
-def tag(value: str) -> str:
-    """article_tag() for a string of a question."""
-    x = re.sub(r"[\s-]+", " ", unicodedata.normalize("NFKC", value).casefold().strip())
-    if re.fullmatch(r"premier|1\s*er", x):
-        return "1er"
-    m = re.fullmatch(rf"0*(\d+)\s*({V.SUFFIXES})?", x)
-    return " ".join(filter(None, m.groups())) if m else x
-
-
-def requested_articles(question: str) -> set[str]:
-    """Article numbers that a question names; two numbers joined by à, a or - stand for the range, up to 20 further."""
-    text = unicodedata.normalize("NFKC", question).casefold()
-    out: set[str] = set()
-    for m in _LIST.finditer(text):
-        found = [tag(x) for x in _NUMBER.findall(m[1])]
-        out.update(found)
-        if len(found) == 2 and all(map(str.isdigit, found)) and re.search(r"à|\ba\b|-", m[1]):
-            first, last = map(int, found)
-            if first <= last <= first + 20:
-                out.update(map(str, range(first, last + 1)))
-    return out
+_LIST = rf"(?U)\barticles?\s+({V.ARTICLE_NUMBER}(?:\s*(?:,|;|\bet\b|à|\ba\b|-)\s*{V.ARTICLE_NUMBER})*)"
+RANGE = 20  # articles that a range may reach beyond its first
+
+
+def requested_articles(question: Column) -> Column:
+    """Article numbers that a question names, as chunks carry them; two numbers joined by à, a or - stand for the range."""
+
+    def numbers(part: Column) -> Column:
+        named = F.transform(F.regexp_extract_all(part, F.lit(V.ARTICLE_NUMBER), F.lit(0)), article_tag)
+        first, last = (F.try_element_at(named, F.lit(i)).try_cast("int") for i in (1, 2))
+        ranged = (F.size(named) == 2) & part.rlike(r"(?U)à|\ba\b|-") & (first <= last) & (last <= first + RANGE)
+        return F.concat(named, F.when(F.coalesce(ranged, F.lit(False)), F.sequence(first, last).cast("array<string>")).otherwise(F.array().cast("array<string>")))
+
+    return F.array_distinct(F.flatten(F.transform(F.regexp_extract_all(F.lower(question), F.lit(_LIST), F.lit(1)), numbers)))
+
 
+def of_question(spark: SparkSession, question: str, value: Callable[[Column], Column]) -> object:
+    """What an expression makes of one question."""
+    return spark.createDataFrame([(question,)], "q string").select(value(F.col("q")).alias("v")).first()["v"]
 
-def article_hits(content: Column, number: Column, requested: set[str]) -> Column:
+
+def article_hits(content: Column, number: Column, requested: Iterable[str]) -> Column:
     """How many of the requested articles a text refers to; a text that is tagged with one counts one more than all."""
+    requested = list(requested)
     if not requested:
         return F.lit(0)
     asked = F.array(*[F.lit(x) for x in sorted(requested)])
@@ -52,10 +46,21 @@ def article_hits(content: Column, number: Column, requested: set[str]) -> Column
 
 def candidates(chunks: DataFrame, question: str, sources: list[str] | None = None, limit: int = V.POOL, key: str = "chunk_id") -> DataFrame:
     """The best chunks for one question with score and rank. Unknown source lists are no filter; statistics know no filter."""
-    scored = fts.score_scan(chunks, fts.search_terms(question))
-    if sources:
-        scored = scored.filter(F.col("source").isin(sources))
-    return fts.top(scored, key, limit)
+    return ranked(chunks, [question], sources, limit, key)[0]
+
+
+def ranked(chunks: DataFrame, questions: list[str], sources: list[str] | None = None, limit: int = V.POOL, key: str = "chunk_id", document_id: str | None = None) -> list[DataFrame]:
+    """The best chunks for each question, all found in one pass that carries keys only; their other columns are joined."""
+    scored = fts.score_scans(chunks, [fts.search_terms(q) for q in questions], keep=[key, "source", "document_id"])
+    out = []
+    for rows in scored:
+        if sources:
+            rows = rows.filter(F.col("source").isin(sources))
+        if document_id is not None:
+            rows = rows.filter(F.col("document_id") == document_id)
+        best = fts.top(rows.select(key, "score"), key, limit)
+        out.append(chunks.join(F.broadcast(best), key).select(*chunks.columns, "score", "rank"))  # limit rows at most
+    return out
 
 
 def fused(per_query: list[DataFrame], key: str = "chunk_id") -> DataFrame:
@@ -69,7 +74,7 @@ def fused(per_query: list[DataFrame], key: str = "chunk_id") -> DataFrame:
     return best.select(key, "b.*").withColumnRenamed("rank", "best_rank")
 
 
-def ordered(rows: DataFrame, requested: set[str], as_of_year: int, key: str = "chunk_id") -> DataFrame:
+def ordered(rows: DataFrame, requested: Iterable[str], as_of_year: int, key: str = "chunk_id") -> DataFrame:
     """Rows with pos: more article hits first, then the better rank, then the score with its penalty for age."""
     hits = article_hits(F.col("content"), F.col("article_number"), requested)
     adjusted = recency_score(F.col("score"), F.col("title"), F.col("published_date"), as_of_year)
@@ -100,8 +105,8 @@ def search(chunks: DataFrame, question: str, as_of_year: int, sources: list[str]
     """chunks: chunk_id, document_id, title, source, published_date, locator, content, article_number. The chosen chunks in
     order of pos."""
     asked = [q for q in [question, *(extra_queries or [])] if q.strip()]
-    pool = fused([candidates(chunks, q, sources, max(V.POOL, limit)) for q in asked])
-    placed = ordered(pool, requested_articles(question), as_of_year).withColumn("size", F.length("content"))
+    pool = fused(ranked(chunks, asked, sources, max(V.POOL, limit)))
+    placed = ordered(pool, of_question(chunks.sparkSession, question, requested_articles), as_of_year).withColumn("size", F.length("content"))
     return within_budget(placed, limit, budget)
 
 
@@ -119,29 +124,35 @@ def interleaved(per_query: list[DataFrame], limit: int, key: str = "chunk_id") -
 def within_document(chunks: DataFrame, question: str, document_id: str, limit: int = V.SCOPED_CHUNKS, extra_queries: list[str] | None = None) -> DataFrame:
     """The best chunks of one document; statistics are those of the corpus."""
     asked = [q for q in [question, *(extra_queries or [])] if q.strip()]
-    ranked = [fts.top(fts.score_scan(chunks, fts.search_terms(q)).filter(F.col("document_id") == document_id), "chunk_id", limit) for q in asked]
-    return interleaved(ranked, limit)
+    return interleaved(ranked(chunks, asked, None, limit, "chunk_id", document_id), limit)
+
+
+# Words between "code" and the noun that names it.
+CODE_STOP_WORDS = "du de des la le les l d un une et".split()
+
+
+def informal_code_keyword(question: Column) -> Column:
+    """The first word after "code" in a question, articles and the like passed over; null if there is none."""
+    rest = F.regexp_extract(fold(question), r"\bcode\b\s+(.+)", 1)
+    return F.get(F.filter(F.regexp_extract_all(rest, F.lit("[a-z0-9]+"), F.lit(0)), lambda w: ~w.isin(CODE_STOP_WORDS)), 0)
 
 
-def informal_code_keyword(question: str) -> str | None:
-    """The word after "code" in a question, stop words passed over."""
-    folded = "".join(c for c in unicodedata.normalize("NFKD", question.casefold()) if not unicodedata.combining(c))
-    m = re.search(r"\bcode\b(.*)", folded, re.S)
-    stop = {"".join(c for c in unicodedata.normalize("NFKD", w) if not unicodedata.combining(c)) for w in V.STOP_WORDS} | {"l", "d"}
-    return next((w for w in re.findall(r"[^\W_]+", m[1]) if w not in stop), None) if m else None
+def usable() -> Column:
+    """Ready documents that are there and that no later text supersedes."""
+    return (F.col("status") == "ready") & F.coalesce(F.col("present"), F.lit(True)) & (F.coalesce(F.col("superseded_note"), F.lit("")) == "")
 
 
 def code_document(documents: DataFrame, keyword: str) -> DataFrame:
     """The document that a code's informal name means: its title has the word code and the keyword; "portant code" counts
     two, length up to one more; the earlier document on ties."""
-    title = fold("title")
-    found = documents.filter(F.coalesce(F.col("superseded_note"), F.lit("")) == "").filter(title.contains("code") & title.contains(keyword))
-    points = F.when(title.contains("portant code"), 2.0).otherwise(0.0) + F.least(F.col("character_count") / 1e6, F.lit(1.0))
+    title = fold(F.coalesce("title", F.lit("")))
+    found = documents.filter(usable()).filter(title.contains("code") & title.contains(keyword))
+    points = F.when(title.contains("portant code"), 2.0).otherwise(0.0) + F.least(F.coalesce("character_count", F.lit(0)) / 1e6, F.lit(1.0))
     return found.withColumn("points", points).orderBy(F.desc("points"), "ord").limit(1)
 
 
-def largest_copy(documents: DataFrame, instrument_type: str, number_key: str, limit: int = 1) -> DataFrame:
-    """The longest ready copy of an instrument that no later text supersedes."""
-    ready = documents.filter((F.col("status") == "ready") & (F.coalesce(F.col("superseded_note"), F.lit("")) == ""))
-    mine = ready.filter((F.col("instrument_type") == instrument_type) & (F.col("number_key") == number_key))
-    return mine.orderBy(F.desc("character_count"), "ord").limit(limit)
+def largest_copies(documents: DataFrame) -> DataFrame:
+    """The longest usable copy of each instrument (instrument_type, number_key), the earlier one on ties."""
+    mine = documents.filter(usable()).filter("instrument_type is not null")
+    best = F.min_by("id", F.struct(-F.coalesce("character_count", F.lit(0)), "ord"))
+    return mine.groupBy("instrument_type", "number_key").agg(best.alias("id"))

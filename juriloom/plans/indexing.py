@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 import os
+from collections.abc import Callable
 from contextlib import contextmanager
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..sources.extract import HEADER_END
+from ..storage import written
+
 REVISION = 4
 
 
@@ -109,6 +113,94 @@ def coverage(docs: DataFrame, index: DataFrame) -> DataFrame:
     return counts.withColumn("coverage_percent", share)
 
 
+def summary(docs: DataFrame, index: DataFrame, chunks: DataFrame, graph_stats: DataFrame | None = None, revision: int = REVISION) -> DataFrame:
+    """One row: the counts of the present records by state and by what the local and the remote index hold of them, in the
+    names of a status report. docs: id, source, present, status, requires_review, duplicate_of, extension, ocr_attempted,
+    ocr_pages, warnings, empty_pages, extracted_sha256, sha256, local_index_revision, remote_file_id, remote_hash; index: id,
+    indexed_hash; chunks: document_id."""
+    rows = docs.filter(F.coalesce("present", F.lit(True))).join(index.select("id", "indexed_hash"), "id", "left")
+    review = F.coalesce("requires_review", F.lit(False))
+    copy = F.coalesce("duplicate_of", F.lit("")) != ""
+    remote = F.coalesce("remote_file_id", F.lit("")) != ""
+    current = F.coalesce(F.col("local_index_revision") == revision, F.lit(False))
+    wanted = F.coalesce(F.nullif("extracted_sha256", F.lit("")), F.nullif("sha256", F.lit("")))
+    is_in = lambda *s: F.coalesce(F.col("status").isin(*s), F.lit(False))
+    eligible_ = ~copy & is_in("ready") & (~review | remote | current)
+    local = eligible_ & F.coalesce(F.col("indexed_hash") == wanted, F.lit(False)) & current
+    far = eligible_ & remote & F.coalesce(F.col("remote_hash") == wanted, F.lit(False))
+    n = F.count_if
+    counts = rows.agg(
+        F.count(F.lit(1)).alias("discovered"),
+        n(is_in("ready", "needs_ocr", "insufficient_text")).alias("prepared"),
+        n(is_in("ready")).alias("ready"),
+        n(is_in("needs_ocr")).alias("needs_ocr"),
+        n(~review & ocr_pending()).alias("ocr_pending"),
+        n(review & ocr_pending()).alias("ocr_pending_review_required"),
+        n(~review & ocr_attempted() & is_in("needs_ocr", "insufficient_text")).alias("ocr_attempted_unresolved"),
+        n(is_in("insufficient_text")).alias("insufficient_text"),
+        n(review).alias("review_required"),
+        n(is_in("error")).alias("errors"),
+        n(far).alias("indexed"),
+        n(local).alias("locally_indexed"),
+        n(eligible_).alias("eligible"),
+        n(local).alias("local_covered"),
+        (n(eligible_) - n(local)).alias("local_missing"),
+        n(far).alias("remote_covered"),
+        (n(eligible_) - n(far)).alias("remote_missing"),
+        n(copy).alias("duplicates"),
+    )
+    share = lambda c: F.when(F.col("eligible") > 0, F.round(100.0 * F.col(c) / F.col("eligible"), 2)).otherwise(F.lit(0.0))
+    counts = counts.withColumns({"local_coverage_percent": share("local_covered"), "remote_coverage_percent": share("remote_covered")})
+    by_source = rows.groupBy(F.coalesce("source", F.lit("unknown")).alias("s")).agg(F.count(F.lit(1)).alias("c")).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("s", "c")))).alias("by_source"))
+    held = chunks.agg(F.count_distinct("document_id").alias("local_index_documents"), F.count(F.lit(1)).alias("local_chunks"))
+    out = counts.crossJoin(by_source).crossJoin(held)  # one row each
+    return out if graph_stats is None else out.crossJoin(graph_stats)
+
+
+def metadata_hash(header: Column) -> Column:
+    """The fingerprint of what a catalogue says of a document, as its header line has it."""
+    return F.sha2(header, 256)
+
+
+def prepare(docs: DataFrame, extracted: DataFrame, header: Column, limit: int | None = None) -> DataFrame:
+    """docs after a preparation: what changed is taken from extracted (id, text, status, character_count, page_count), of what only
+    changed in its metadata the header (as extract.header() makes it) is replaced and the body stays, the rest is as it was. docs: preparation()'s columns
+    and text, status, character_count, page_count, prepared_size, prepared_mtime_ns, prepared_metadata_hash."""
+    marked = preparation(docs.withColumn("metadata_hash", metadata_hash(header)), limit).withColumn("__header", header)
+    fresh = extracted.select("id", *(F.col(c).alias(f"__{c}") for c in ("text", "status", "character_count", "page_count")))
+    rows = marked.join(fresh, "id", "left")
+    got, again = (F.col("action") == "extract") & F.col("__status").isNotNull(), F.col("action") == "refresh"
+    body = lambda t: F.when(F.instr(t, HEADER_END) > 0, F.substring(t, F.instr(t, HEADER_END) + len(HEADER_END), F.length(t))).otherwise(t)
+    text = F.when(got, F.concat("__header", F.lit("\n"), "__text")).when(again, F.concat("__header", body(F.col("text")))).otherwise(F.col("text"))
+    done = got | again
+    changes = {c: F.when(got, F.col(f"__{c}")).otherwise(F.col(c)) for c in ("status", "character_count", "page_count")}
+    changes |= {"text": text, "prepared_metadata_hash": F.when(done, F.col("metadata_hash")).otherwise(F.col("prepared_metadata_hash"))}
+    changes |= {f"prepared_{a}": F.when(got, F.col(b)).otherwise(F.col(f"prepared_{a}")) for a, b in (("size", "size_bytes"), ("mtime_ns", "mtime_ns"))}
+    changes |= {"extracted_path": F.when(got, F.coalesce("extracted_path", F.col("id").cast("string"))).otherwise(F.col("extracted_path")), "extracted_sha256": F.when(done, F.sha2(text, 256)).otherwise(F.col("extracted_sha256"))}
+    return rows.withColumns(changes).drop("__header", *fresh.columns[1:])
+
+
+def apply_index(docs: DataFrame, index: DataFrame, chunks: DataFrame, segment: Callable[[DataFrame], DataFrame], revision: int = REVISION) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(docs, index, chunks) after the index_actions(): documents to delete lose their chunks, those to reindex get new ones from
+    segment(document_id, text), the state of those to repair is set right. Each document's rows change together."""
+    todo = written(index_actions(docs, index, revision), "index-actions")
+    changed = docs.join(todo.filter("action = 'reindex'").select("id"), "id", "left_semi")
+    gone = todo.filter("action = 'delete'").select(F.col("id").alias("document_id"))
+    fresh = segment(changed.select(F.col("id").alias("document_id"), "text"))
+    held = index.join(todo.filter("action in ('delete', 'reindex')").select("id"), "id", "left_anti").unionByName(changed.select("id", F.col("extracted_sha256").alias("indexed_hash")))
+    set_right = F.col("action").isin("reindex", "repair")
+    rows = docs.join(todo, "id", "left")
+    state = {"local_indexed_content_hash": "extracted_sha256", "local_indexed_superseded_note": "superseded_note"}
+    rows = rows.withColumns({a: F.when(set_right, F.col(b)).otherwise(F.col(a)) for a, b in state.items()} | {"local_index_revision": F.when(set_right, revision).otherwise(F.col("local_index_revision"))})
+    touched = gone.unionByName(changed.select(F.col("id").alias("document_id")))
+    return rows.drop("action"), held, replace_documents(chunks, fresh, touched)
+
+
+def content_hashes(index: DataFrame | None, spark: SparkSession) -> DataFrame:
+    """(id, indexed_hash) of what the index really holds; nothing where there is none."""
+    return index.select("id", "indexed_hash") if index is not None else spark.createDataFrame([], "id string, indexed_hash string")
+
+
 def merge_mirrors(docs: DataFrame, plan: DataFrame) -> DataFrame:
     """docs with duplicate_of set by a plan (canonical, duplicate), and mirrors of the canonical copies: distinct addresses."""
     marks = plan.select(F.col("duplicate").alias("id"), F.col("canonical").alias("__c"))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import vocabulary as V
-from ..operators import assemble, chunking, dedup, fts, graph, history, legal, rerank, search
+from ..operators import assemble, chunking, dedup, fts, graph, history, legal, rerank, resolve, search
 from ..sources import catalog
 from . import indexing
 from . import synthetic as S
@@ -109,7 +109,7 @@ _RANKED = f"WITH {bm25_cte(TERMS, 'a')}, {bm25_cte(OTHER, 'b')}, r AS (SELECT *,
 
 def _two(spark, sf, keep):
     base = corpus(spark, sf)
-    return [fts.top(fts.score_scan(base, t, keep=keep), "chunk_id", 60) for t in (TERMS, OTHER)]
+    return [fts.top(rows, "chunk_id", 60) for rows in fts.score_scans(base, [TERMS, OTHER], keep=keep)]
 
 
 @query(_RANKED + " SELECT chunk_id, min(rank) AS best_rank, arg_min(q, rank * 10 + q) AS query_ord FROM p GROUP BY chunk_id")
@@ -185,7 +185,7 @@ def chunk_articles_carry(spark, sf):
 
 @query(f"WITH s AS ({duck(S.STATEMENTS)}) SELECT ord, CASE WHEN article_number IN ('5', '12', '13', '14') THEN 5 ELSE (CASE WHEN a IN ('5', '12', '13', '14') AND k % 4 <> 2 THEN 1 WHEN k % 4 = 2 THEN 0 ELSE 0 END) END AS hits FROM s WHERE k % 4 <> 2")
 def article_hits(spark, sf):
-    asked = search.requested_articles("que disent l'article 5 et les articles 12 à 14 ?")
+    asked = search.of_question(spark, "que disent l'article 5 et les articles 12 à 14 ?", search.requested_articles)
     rows = derived(spark, sf, S.STATEMENTS).filter("k % 4 <> 2")
     return rows.select("ord", search.article_hits(F.col("content"), F.col("article_number"), asked).alias("hits"))
 
@@ -236,7 +236,20 @@ def canonical_selection(spark, sf):
     return dedup.canonical(dedup.clusters(_pairs(spark, sf)).join(docs, "id"), ["src3", "src1", "src7"])
 
 
-@query()
+_BEST = "(CASE source WHEN 'src3' THEN 0 WHEN 'src1' THEN 1 WHEN 'src7' THEN 2 ELSE 3 END, 0, -n_chars, doc_id)"
+
+
+@query(
+    f"""WITH RECURSIVE g1 AS (SELECT doc_id, source, n_chars, sha256(text) AS g FROM documents QUALIFY count(*) OVER (PARTITION BY sha256(text)) > 1),
+rest AS (SELECT * FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM g1)),
+g2 AS (SELECT doc_id, source, n_chars, t AS g FROM (SELECT *, {_NORM} AS t FROM rest) WHERE length(t) >= 200 QUALIFY count(*) OVER (PARTITION BY t) > 1),
+rest2 AS (SELECT * FROM rest WHERE doc_id NOT IN (SELECT doc_id FROM g2)),
+{_PAIRS.replace("FROM documents)", "FROM rest2)")}, e AS (SELECT a, b FROM pairs UNION SELECT b, a FROM pairs), reach AS (SELECT a AS id, a AS r FROM e UNION SELECT reach.id, e.b FROM reach JOIN e ON e.a = reach.r),
+g3 AS (SELECT doc_id, source, n_chars, min(r) AS g FROM reach JOIN documents ON doc_id = id GROUP BY ALL),
+c1 AS (SELECT g, arg_min(doc_id, {_BEST}) AS c FROM g1 GROUP BY g), c2 AS (SELECT g, arg_min(doc_id, {_BEST}) AS c FROM g2 GROUP BY g), c3 AS (SELECT g, arg_min(doc_id, {_BEST}) AS c FROM g3 GROUP BY g)
+SELECT 1 AS pass, c AS canonical, doc_id AS duplicate FROM g1 JOIN c1 USING (g) WHERE doc_id <> c UNION ALL SELECT 2, c, doc_id FROM g2 JOIN c2 USING (g) WHERE doc_id <> c
+UNION ALL SELECT 3, c, doc_id FROM g3 JOIN c3 USING (g) WHERE doc_id <> c AND EXISTS (SELECT 1 FROM e WHERE a = c AND b = doc_id)"""
+)
 def dedupe_plan(spark, sf):
     docs = table(spark, sf, "documents").select(F.col("doc_id").alias("document_id"), F.sha2("text", 256).alias("sha256"), "text", F.lit("ready").alias("status"), "source", F.col("n_chars").alias("size"), F.col("doc_id").alias("ord"), F.lit(True).alias("present"), F.lit("").alias("duplicate_of"), F.col("lang").alias("block"))
     return dedup.dedupe_plan(docs, ["src3", "src1", "src7"])
@@ -454,13 +467,18 @@ def citations_grouped(spark, sf):
 
 
 @query(
-    r"""WITH d AS (SELECT doc_id, text, replace(strip_accents(lower(text)), 'ß', 'ss') AS f FROM documents), h AS (SELECT doc_id, text, unnest(['idiot', 'trash', 'worthless']) AS t, f FROM d),
-c AS (SELECT doc_id, (length(f) - length(replace(f, t, ''))) // length(t) AS n, instr(f, t) AS a0, t FROM h), b AS (SELECT doc_id, arg_min(a0, (n, a0, t)) AS a0 FROM c WHERE n > 0 GROUP BY doc_id)
-SELECT doc_id, CASE WHEN length(text) <= 900 THEN text WHEN a0 IS NULL OR a0 <= 220 THEN substr(text, 1, 900)
-ELSE substr(text, 1, 220) || chr(10) || '[...]' || chr(10) || substr(text, greatest(1, least(a0 - 336, length(text) - 672)), 673) END AS preview FROM d LEFT JOIN b USING (doc_id)"""
+    r"""WITH d AS (SELECT doc_id, trim(regexp_replace(text, '\s+', ' ', 'g')) AS c FROM documents), e AS (SELECT doc_id, c, replace(strip_accents(lower(c)), 'ß', 'ss') AS f FROM d),
+h AS (SELECT doc_id, c, f, unnest(['idiot', 'trash', 'worthless']) AS t FROM e), n AS (SELECT doc_id, t, (length(f) - length(replace(f, t, ''))) // length(t) AS n, instr(f, t) - 1 AS a0 FROM h WHERE length(c) > 900),
+b AS (SELECT doc_id, arg_min(a0, (n, a0, t)) AS a0 FROM n WHERE a0 >= 220 GROUP BY doc_id),
+m AS (SELECT doc_id, i, sum(w) OVER (PARTITION BY doc_id ORDER BY i) AS seen FROM (SELECT doc_id, i, CASE WHEN lower(substr(c, i, 1)) = 'ß' THEN 2 ELSE 1 END AS w FROM (SELECT e.doc_id, c, unnest(range(1, length(c) + 1)) AS i FROM e JOIN b USING (doc_id) WHERE length(c) <> length(f)))),
+g AS (SELECT b.doc_id, min(i) - 1 AS a1 FROM b JOIN m ON m.doc_id = b.doc_id AND seen > a0 GROUP BY b.doc_id),
+k AS (SELECT doc_id, c, b.a0 IS NOT NULL AS hit, coalesce(a1, a0) AS focus FROM e LEFT JOIN b USING (doc_id) LEFT JOIN g USING (doc_id)),
+w AS (SELECT *, least(length(c), greatest(220, focus - 225) + 677) AS stop FROM k)
+SELECT doc_id, CASE WHEN length(c) <= 900 THEN c WHEN NOT hit THEN substr(c, 1, 900) ELSE substr(c, 1, 220) || ' … ' || substr(c, greatest(220, stop - 677) + 1, stop - greatest(220, stop - 677)) END AS preview FROM w"""
 )
 def candidate_preview(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", rerank.preview(F.col("text"), ["idiot", "trash", "worthless"]).alias("preview"))
+    terms = rerank.preview_terms("Quel idiot, dans ce trash worthless ?")
+    return table(spark, sf, "documents").select("doc_id", rerank.preview(F.col("text"), terms).alias("preview"))
 
 
 @query(
@@ -535,3 +553,141 @@ def json_int_array(spark, sf):
 def number_keys(spark, sf):
     raw = F.concat(F.lit("00"), (F.col("p_partkey") % 700).cast("string"), F.when(F.col("p_partkey") % 2 == 0, "-0").otherwise("/ 0"), (F.col("p_size") % 9).cast("string"))
     return table(spark, sf, "part").select("p_partkey", T.number_key(raw).alias("key"))
+
+
+# --- questions ---------------------------------------------------------------------------------------------------------
+@query(
+    """SELECT o_orderkey AS ord, CASE o_orderkey % 4 WHEN 0 THEN k WHEN 1 THEN k || ',' || (o_orderkey % 90 + 2) || ',' || (o_orderkey % 90 + 3) || ',' || (o_orderkey % 90 + 4) WHEN 2 THEN '1er,' || k || ' bis' ELSE '' END AS articles
+FROM (SELECT o_orderkey, (o_orderkey % 90 + 1)::VARCHAR AS k FROM orders)"""
+)
+def requested_articles(spark, sf):
+    k = F.col("o_orderkey") % 90 + 1
+    text = lambda x: x.cast("string")
+    question = F.when(F.col("o_orderkey") % 4 == 0, F.concat(F.lit("que dit l'Article "), text(k), F.lit(" ?"))).when(F.col("o_orderkey") % 4 == 1, F.concat(F.lit("les articles "), text(k), F.lit(" à "), text(k + 3))).when(F.col("o_orderkey") % 4 == 2, F.concat(F.lit("articles premier et "), text(k), F.lit("-bis"))).otherwise(F.lit("quel taux ?"))
+    # A range lists its first and last number, then what lies between.
+    found = search.requested_articles(question)
+    return table(spark, sf, "orders").select(F.col("o_orderkey").alias("ord"), F.array_join(F.when(F.col("o_orderkey") % 4 == 1, F.array_sort(found.cast("array<int>")).cast("array<string>")).otherwise(found), ",").alias("articles"))
+
+
+@query("SELECT o_orderkey AS ord, CASE o_orderkey % 3 WHEN 0 THEN lower(o_orderstatus) || 'numerique' WHEN 1 THEN 'travail' END AS keyword FROM orders")
+def informal_codes(spark, sf):
+    k = F.col("o_orderkey")
+    question = F.when(k % 3 == 0, F.concat(F.lit("que dit le Code du "), "o_orderstatus", F.lit("Numérique ?"))).when(k % 3 == 1, F.lit("code de l'un et de la\nle code des Travail")).otherwise(F.lit("aucun encode"))
+    question = F.when(k % 3 == 1, F.lit("le code de l'un et des travail")).otherwise(question)
+    return table(spark, sf, "orders").select(k.alias("ord"), search.informal_code_keyword(question).alias("keyword"))
+
+
+@query("SELECT o_orderkey AS ord, CASE o_orderkey % 3 WHEN 0 THEN (o_orderkey % 900 + 1) || '/' || (1960 + o_orderkey % 60) WHEN 1 THEN '' ELSE '12/2001,' || (o_orderkey % 90 + 10) || '/11' END AS numbers FROM orders")
+def bare_numbers(spark, sf):
+    k = F.col("o_orderkey")
+    text = lambda x: x.cast("string")
+    question = F.when(k % 3 == 0, F.concat(F.lit("le "), F.lpad(text(k % 900 + 1), 3, "0"), F.lit("/"), text(k % 60 + 1960), F.lit(", article 4"))).when(k % 3 == 1, F.lit("au 31.12.2025, article 47 ou 2001")).otherwise(F.concat(F.lit("012-2001 et "), text(k % 90 + 10), F.lit(".011 ?")))
+    return table(spark, sf, "orders").select(k.alias("ord"), F.array_join(resolve.bare_numbers(question), ",").alias("numbers"))
+
+
+@query(f"WITH {bm25_cte(TERMS)} SELECT chunk_id, round(score, 6) AS score, row_number() OVER (ORDER BY score, chunk_id) AS rank FROM bm WHERE source = 'src3' QUALIFY rank <= 10")
+def bm25_scoped(spark, sf):
+    scored = fts.score_scan(corpus(spark, sf), TERMS, keep=["chunk_id", "document_id"]).filter("document_id = 'src3'")
+    return fts.top(scored, "chunk_id", V.SCOPED_CHUNKS).select("chunk_id", F.round("score", 6).alias("score"), "rank")
+
+
+@query(f"WITH {bm25_cte(TERMS)}, p AS (SELECT chunk_id, source, row_number() OVER (ORDER BY score, chunk_id) AS pos FROM bm QUALIFY pos <= 100) SELECT chunk_id, source AS document_id, pos FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY pos) AS n FROM p) WHERE n <= 3 ORDER BY pos LIMIT 20")
+def per_document_cap(spark, sf):
+    pool = fts.top(fts.score_scan(corpus(spark, sf), TERMS, keep=["chunk_id", "document_id"]), "chunk_id", 100)
+    rows = pool.select("chunk_id", "document_id", F.lit(0).cast("bigint").alias("size"), F.col("rank").cast("bigint").alias("pos"))
+    return search.within_budget(rows, limit=20, budget=1 << 40, per_document=3).select("chunk_id", "document_id", F.col("pos").cast("int").alias("pos"))
+
+
+@query(
+    f"""WITH {_L}, r AS (SELECT ty AS instrument_type, nkey AS number_key, k, k * 7919 % 10007 AS size, k % 41 <> 0 AND k % 43 <> 0 AND superseded_note = '' AS ok FROM l)
+SELECT instrument_type, number_key, arg_min(k::VARCHAR, (-size, k)) AS id FROM r WHERE ok GROUP BY ALL"""
+)
+def largest_copies(spark, sf):
+    docs = _legal(spark, sf).withColumnRenamed("document_id", "id").withColumn("character_count", F.col("ord") * 7919 % 10007)
+    return search.largest_copies(resolve.registry(docs))
+
+
+@query(
+    f"""WITH {_L}, r AS (SELECT k, nkey, ty, k * 7919 % 10007 AS size FROM l WHERE status = 'ready' AND present AND superseded_note = '')
+SELECT 0 AS ord, 'full_text' AS mode, arg_min(k::VARCHAR, (-size, k)) AS id FROM r WHERE ty = 'Loi' AND nkey = '12/4'
+UNION ALL SELECT 1, 'full_text', arg_min(k::VARCHAR, (-size, k)) FROM r WHERE ty = 'Décret' AND nkey = '55/2'"""
+)
+def named_instrument(spark, sf):
+    """The texts of the two decrees and laws that a question cites, of all documents."""
+    docs = _legal(spark, sf).withColumnRenamed("document_id", "id").withColumn("character_count", F.col("ord") * 7919 % 10007)
+    texts = docs.select("id", F.col("title").alias("text"))
+    entries = resolve.named_instruments(resolve.registry(docs), texts, corpus(spark, sf), "que disent la Loi n° 12/04 et le Décret n° 055/2 ?")
+    return spark.createDataFrame([(i, e.mode, e.id) for i, e in enumerate(entries)], "ord int, mode string, id string")
+
+
+@query(f"WITH {_L} SELECT ty || '|' || nkey AS block, string_agg(document_id, ',' ORDER BY document_id) AS ids FROM l WHERE present GROUP BY ty, nkey HAVING count(*) > 1")
+def legal_key_groups(spark, sf):
+    docs = _legal(spark, sf).withColumn("duplicate_of", F.lit(""))
+    return dedup.title_groups(docs).select("block", F.array_join("ids", ",").alias("ids"))
+
+
+@query(
+    f"""WITH {_STATUS}, e AS (SELECT source_type, source_key, target_type, target_key FROM edges)
+SELECT instrument_type, number_key, status, (SELECT count(*) FROM e WHERE source_type = instrument_type AND source_key = number_key)::BIGINT AS outgoing, incoming FROM st WHERE number_key = '12/4'"""
+)
+def status_lookup(spark, sf):
+    nodes, edges = graph.build(_legal(spark, sf))
+    found = graph.find(graph.status(nodes, edges), "12/4")
+    forth = edges.groupBy(F.col("source_type").alias("instrument_type"), F.col("source_key").alias("number_key")).agg(F.count(F.lit(1)).alias("outgoing"))
+    return found.join(forth, graph.KEY, "left").select(*graph.KEY, "status", F.coalesce("outgoing", F.lit(0)).alias("outgoing"), "incoming")
+
+
+@query("SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN text ELSE text || chr(10) || role END AS text FROM conversations")
+def message_texts(spark, sf):
+    m = table(spark, sf, "conversations")
+    parts = F.to_json(F.array(F.struct(F.col("text").alias("text")), F.struct(F.col("role").alias("text"))))
+    alone = F.regexp_replace(F.to_json(F.struct(F.col("text").alias("t"))), r"^\{\"t\":|\}$", "")
+    return m.select("conv_id", "turn", assemble.message_text(F.when(F.col("turn") % 2 == 0, alone).otherwise(parts)).alias("text"))
+
+
+@query(
+    """SELECT doc_id AS id, contains(t, 'the') AND NOT contains(t, 'trash') AND doc_id % 5 <> 0 AS passed FROM (SELECT doc_id, replace(strip_accents(lower(text)), 'ß', 'ss') AS t FROM documents)"""
+)
+def golden_run(spark, sf):
+    docs = table(spark, sf, "documents")
+    words = lambda *x: F.array(*[F.lit(w) for w in x])
+    cases = docs.select(F.col("doc_id").alias("id"), words("the").alias("must_contain"), F.array().cast("array<string>").alias("any_of"), words("Trash").alias("must_not_contain"))
+    return assemble.golden_run(cases, docs.filter("doc_id % 5 != 0").select(F.col("doc_id").alias("id"), F.col("text").alias("answer"))).select("id", "passed")
+
+
+@query(
+    """WITH r AS (SELECT doc_id AS k, source, CASE WHEN doc_id % 23 = 0 THEN 'needs_ocr' WHEN doc_id % 29 = 0 THEN 'error' WHEN doc_id % 13 = 0 THEN 'insufficient_text' ELSE 'ready' END AS status, doc_id % 11 = 0 AS review, doc_id % 19 = 0 AS dup,
+doc_id % 7 = 0 AS tried, doc_id % 4 <> 0 AND doc_id % 6 <> 1 AS held, doc_id % 3 <> 0 AS current, doc_id % 10 = 0 AS remote, doc_id % 20 = 0 AS far FROM documents WHERE doc_id % 17 <> 0),
+e AS (SELECT *, NOT dup AND status = 'ready' AND (NOT review OR remote OR current) AS eligible FROM r)
+SELECT count(*) AS discovered, count(*) FILTER (status <> 'error') AS prepared, count(*) FILTER (status = 'ready') AS ready, count(*) FILTER (status = 'needs_ocr') AS needs_ocr,
+count(*) FILTER (NOT review AND NOT tried AND status IN ('needs_ocr', 'insufficient_text')) AS ocr_pending, count(*) FILTER (review AND NOT tried AND status IN ('needs_ocr', 'insufficient_text')) AS ocr_pending_review_required,
+count(*) FILTER (NOT review AND tried AND status IN ('needs_ocr', 'insufficient_text')) AS ocr_attempted_unresolved, count(*) FILTER (status = 'insufficient_text') AS insufficient_text, count(*) FILTER (review) AS review_required, count(*) FILTER (status = 'error') AS errors,
+count(*) FILTER (eligible AND far) AS indexed, count(*) FILTER (eligible AND held AND current) AS locally_indexed, count(*) FILTER (eligible) AS eligible, count(*) FILTER (eligible AND held AND current) AS local_covered,
+count(*) FILTER (eligible) - count(*) FILTER (eligible AND held AND current) AS local_missing, count(*) FILTER (eligible AND far) AS remote_covered, count(*) FILTER (eligible) - count(*) FILTER (eligible AND far) AS remote_missing, count(*) FILTER (dup) AS duplicates,
+round(100.0 * count(*) FILTER (eligible AND held AND current) / count(*) FILTER (eligible), 2)::DOUBLE AS local_coverage_percent, round(100.0 * count(*) FILTER (eligible AND far) / count(*) FILTER (eligible), 2)::DOUBLE AS remote_coverage_percent,
+count(DISTINCT source) AS sources, (SELECT count(*) FROM documents WHERE doc_id % 2 = 0) AS local_index_documents, (SELECT count(*) FROM documents WHERE doc_id % 2 = 0) AS local_chunks FROM e"""
+)
+def index_summary(spark, sf):
+    k = F.col("doc_id")
+    docs = table(spark, sf, "documents").select(
+        k.alias("id"),
+        "source",
+        (k % 17 != 0).alias("present"),
+        F.when(k % 23 == 0, "needs_ocr").when(k % 29 == 0, "error").when(k % 13 == 0, "insufficient_text").otherwise("ready").alias("status"),
+        (k % 11 == 0).alias("requires_review"),
+        F.when(k % 19 == 0, "other").otherwise("").alias("duplicate_of"),
+        F.lit(".PDF").alias("extension"),
+        (k % 7 == 0).alias("ocr_attempted"),
+        F.array().cast("array<int>").alias("ocr_pages"),
+        F.array().cast("array<string>").alias("warnings"),
+        F.array().cast("array<int>").alias("empty_pages"),
+        F.sha2("text", 256).alias("extracted_sha256"),
+        F.lit("").alias("sha256"),
+        F.when(k % 3 == 0, 3).otherwise(4).alias("local_index_revision"),
+        F.when(k % 10 == 0, "f").otherwise("").alias("remote_file_id"),
+        F.when(k % 20 == 0, F.sha2("text", 256)).alias("remote_hash"),
+    )
+    index = table(spark, sf, "documents").filter("doc_id % 4 != 0").select(k.alias("id"), F.when(k % 6 == 1, "stale").otherwise(F.sha2("text", 256)).alias("indexed_hash"))
+    chunks = table(spark, sf, "documents").filter("doc_id % 2 = 0").select(k.alias("document_id"))
+    out = indexing.summary(docs, index, chunks)
+    return out.withColumn("sources", F.size("by_source").cast("bigint")).drop("by_source")

@@ -43,14 +43,43 @@ def read_sources(text: str) -> list[Source]:
 
 
 def read_catalog(spark: SparkSession, path: str, encoding: str = "UTF-8") -> DataFrame:
-    """A CSV catalogue, all columns text, a byte-order mark off the first name. Pass windows-1252 for older ones."""
+    """A CSV catalogue, all columns text, a byte-order mark off the first name."""
     df = spark.read.option("header", True).option("encoding", encoding).option("multiLine", True).csv(path)
     return df.toDF(*[c.lstrip("﻿").strip() for c in df.columns])
 
 
-def list_files(spark: SparkSession, path: str) -> DataFrame:
-    """(path, modificationTime, length) of all files below a path; contents are not read."""
-    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "modificationTime", "length")
+def catalog_rows(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """The rows of several catalogues, one after the other, with ord: the place of the catalogue, then that of the row. Each is
+    read as UTF-8 if it is that, else as Windows-1252; columns that one lacks are null; catalogues that are not there are
+    passed over."""
+    out = None
+    for place, path in enumerate(paths):
+        root = spark._jvm.org.apache.hadoop.fs.Path(path)
+        if not root.getFileSystem(spark._jsc.hadoopConfiguration()).exists(root):
+            continue
+        valid = spark.read.format("binaryFile").load(path).agg(F.bool_and(F.expr("is_valid_utf8(cast(content as string))"))).first()[0]
+        rows = read_catalog(spark, path, "UTF-8" if valid else "ISO-8859-1")
+        if not valid:
+            # Windows-1252 is that but for the characters where the other has control codes.
+            pairs = [(chr(b), bytes([b]).decode("cp1252", "ignore")) for b in range(0x80, 0xA0)]
+            old, new = ("".join(x) for x in zip(*(p for p in pairs if p[1]), strict=True))
+            rows = rows.select(*[F.translate(c, old, new).alias(c.translate(str.maketrans(old, new))) for c in rows.columns])
+        rows = rows.withColumn("ord", F.lit(place << 40) + F.monotonically_increasing_id())
+        out = rows if out is None else out.unionByName(rows, allowMissingColumns=True)
+    return out if out is not None else spark.createDataFrame([], "filename string, ord long")
+
+
+def list_files(spark: SparkSession, path: str, source: Source | None = None) -> DataFrame:
+    """(path, modificationTime, length, requires_review) of the files below a path that have one of the source's extensions
+    (all without a source); contents are not read. Hidden files and temporary ones of office programs are left out."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "modificationTime", "length")
+    if source is None:
+        return files
+    name = F.element_at(F.split("path", "/"), -1)
+    extension = F.lower(F.regexp_extract(name, r"(\.[^.]+)$", 1))
+    known = [e.lower() for e in (*source.extensions, *source.review_extensions)]
+    review = F.lit(source.review_all) | extension.isin([e.lower() for e in source.review_extensions])
+    return files.filter(extension.isin(known) & ~name.startswith("~$") & ~name.startswith(".")).withColumn("requires_review", review)
 
 
 def _fields(df: DataFrame, names: list[str]) -> Column:

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..functions.vocabulary import DOCUMENT_MINIMUM, PAGE_MINIMUM
 
 SCHEMA = "document_id string, locator string, text string, error string"
-HEADER_END = "---"
+HEADER_END = "\n---"
 
 
 def decode(data: bytes) -> str:
@@ -102,10 +102,19 @@ def extraction_status(parts: DataFrame) -> DataFrame:
     return rows.select("document_id", F.when(F.col("failed"), "error").when(F.col("character_count") >= DOCUMENT_MINIMUM, "ready").otherwise(short).alias("status"), "character_count", "page_count")
 
 
+def page_outcome(parts: DataFrame, ocr_used: bool = False) -> DataFrame:
+    """(document_id, empty_pages, ocr_pages, warnings): the numbers of the pages that hold too little text, of those that
+    character recognition was asked for, and what went wrong. parts: extract()."""
+    number = F.regexp_extract(F.coalesce("locator", F.lit("")), r"^Page (\d+)$", 1).try_cast("int")
+    thin = number.isNotNull() & (F.length(F.trim(F.coalesce("text", F.lit("")))) < PAGE_MINIMUM)
+    pages = lambda c: F.array_sort(F.collect_list(F.when(c, number)))
+    return parts.groupBy("document_id").agg(pages(thin).alias("empty_pages"), pages(thin & F.lit(ocr_used)).alias("ocr_pages"), F.array_sort(F.collect_list("error")).alias("warnings"))
+
+
 def header(title: Column, source: Column, category: Column, date: Column, url: Column, note: Column) -> Column:
     """The metadata lines before extracted text; lines without a value are left out."""
     line = lambda name, x: F.when(F.coalesce(x, F.lit("")) != "", F.concat(F.lit(name + ": "), x))
-    return F.concat_ws("\n", F.concat(F.lit("# "), title), line("Source", source), line("Category", category), line("Date", date), line("URL", url), line("Note", note), F.lit(HEADER_END))
+    return F.concat_ws("\n", F.concat(F.lit("# "), title), line("Source", source), line("Category", category), line("Date", date), line("URL", url), line("Note", note), F.lit(HEADER_END.lstrip()))
 
 
 def marked_text(parts: DataFrame) -> DataFrame:

@@ -4,9 +4,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from juriloom.functions import text as T
-from juriloom.operators import assemble, chunking, dedup, fts, graph, history, legal, rerank, search
-from juriloom.plans import indexing, queries
-from juriloom.sources import catalog, extract
+from juriloom.operators import assemble, chunking, dedup, fts, graph, history, legal, rerank, resolve, search
+from juriloom.plans import answering, indexing, queries
+from juriloom.sources import catalog, extract, state
 from juriloom.streaming import ingest as streaming
 
 
@@ -51,13 +51,113 @@ def test_question_terms():
     assert fts.search_terms("12.5 et 5.5") == ["12", "5", "cinq", "cinquième", "5.5"]
 
 
-def test_requested_articles():
-    assert search.requested_articles("articles 31, 32 et 33") == {"31", "32", "33"}
-    assert search.requested_articles("les articles 12 à 14") == {"12", "13", "14"}
-    assert search.requested_articles("articles premier, 12 bis et 13-quater") == {"1er", "12 bis", "13 quater"}
-    assert search.requested_articles("articles 1 à 50") == {"1", "50"}
-    assert search.informal_code_keyword("que dit le code du numérique ?") == "numerique"
-    assert search.informal_code_keyword("aucun texte") is None
+def test_requested_articles(spark):
+    asked = lambda q: set(search.of_question(spark, q, search.requested_articles))
+    assert asked("articles 31, 32 et 33") == {"31", "32", "33"}
+    assert asked("les articles 12 à 14") == {"12", "13", "14"}
+    assert asked("Articles premier, 12 bis et 13-quater") == {"1er", "12 bis", "13 quater"}
+    assert asked("articles 1 à 50") == {"1", "50"} and asked("rien") == set()
+    keyword = lambda q: search.of_question(spark, q, search.informal_code_keyword)
+    assert keyword("que dit le Code du Numérique ?") == "numerique" and keyword("aucun texte") is None
+    assert keyword("code pour date du numerique") == "pour" and keyword("le code\ndes impôts") == "impots"
+
+
+def test_folding(spark):
+    for x, want in (("Việt", "viet"), ("ﬁn", "fin"), ("Ａé", "ae"), ("й", "и"), ("STRASSE ß", "strasse ss"), ("№ 5…", "no 5..."), ("𝐀", "a")):
+        assert one(spark, T.fold(F.lit(x))) == want == T.folded(x)
+    assert one(spark, T.strip_accents(F.lit("Éﬁ №"))) == "Efi No" == T.bare("Éﬁ №")
+
+
+def test_phrases(spark):
+    chunks = corpus(spark, [(0, "d", "", "s", "", "p", "alpha beta", None), (1, "d", "", "s", "", "p", "alpha gamma", None), (2, "d", "", "s", "", "p", "aa aa aa", None)])
+    assert [r.chunk_id for r in fts.score_scan(chunks, ["alpha be"]).collect()] == [0]
+    postings, lengths = fts.build_index(chunks, "chunk_id")
+    with pytest.raises(ValueError):
+        fts.score_index(postings, lengths, ["alpha beta"], "chunk_id")
+    line = T.token_line(F.col("content"))
+    assert [r[0] for r in chunks.orderBy("chunk_id").select(fts.occurrences(line, ["aa", "aa"])).collect()] == [0, 0, 2]
+    two = fts.score_scans(chunks, [["alpha"], ["aa"], ["none"]], keep=["chunk_id"])
+    assert [sorted(r.chunk_id for r in d.collect()) for d in two] == [[0, 1], [2], []]
+
+
+def test_written_index(spark, tmp_path):
+    chunks = corpus(spark, [(i, "d", "t", "s", "", "p", f"mot{i % 7} taux{i}", None) for i in range(60)])
+    fts.write_index(*fts.build_index(chunks, "chunk_id"), str(tmp_path))
+    postings, lengths = fts.read_index(spark, str(tmp_path))
+    a = {r.chunk_id: round(r.score, 9) for r in fts.score_index(postings, lengths, ["mot3", "taux1"], "chunk_id").collect()}
+    assert a == {r.chunk_id: round(r.score, 9) for r in fts.score_scan(chunks, ["mot3", "taux1"]).collect()}
+
+
+def holdings(spark):
+    assoc = "Article 1 " + "association " * 12
+    rows = [
+        ("a", "Loi n° 69-009 du 10 février 1969", "dgi", "DGI", "ready", True, "", "", 20, 1, "petit texte"),
+        ("b", "Loi n° 69/009 du 10 février 1969", "dgi", "DGI", "ready", True, "", "", 90, 2, "grand texte"),
+        ("c", "Loi n° 69/9 du 10 février 1969", "dgi", "DGI", "error", True, "", "", 900, 3, "fehler"),
+        ("d", "Ordonnance-loi n° 23/010 portant code du numérique", "finances", "F", "ready", True, "", "", 500, 4, "long " * 100),
+        ("e", "Code du numérique commenté", "dgi", "DGI", "ready", True, "", "", 900, 5, "autre"),
+        ("f", "Loi n° 004/2001 du 20 juillet 2001", "dgi", "DGI", "ready", True, "", "", 100, 6, "Vu la loi"),
+        ("g", "Loi n° 004/2001 du 20 juillet 2001", "leganet", "L", "ready", True, "", "", 90, 7, assoc),
+        ("h", "Code minier", "dgi", "DGI", "ready", True, "remplacé", "", 10, 8, "alt"),
+        ("i", "Code minier", "dgi", "DGI", "ready", False, "", "", 10, 9, "weg"),
+    ]
+    names = "id string, title string, source string, source_label string, status string, present boolean, superseded_note string, duplicate_of string, character_count long, ord long, text string"
+    return spark.createDataFrame(rows, names)
+
+
+def test_named_instruments(spark):
+    docs = holdings(spark)
+    held, texts = resolve.registry(docs.drop("text")), docs.select("id", "text")
+    chunks = corpus(spark, [(1, "d", "Code", "s", "", "Page 1", "données personnelles", "3"), (2, "d", "Code", "s", "", "Page 2", "autre chose", None), (3, "e", "x", "s", "", "Page 1", "données", None)])
+    cited = spark.createDataFrame([("a", 1), ("f", 2)], "document_id string, rank int")
+    find = lambda q, **k: [(e.mode, e.id) for e in resolve.named_instruments(held, texts, chunks, q, **k)]
+    assert find("que dit la Loi n° 69-009 ?") == [("full_text", "b")]
+    assert find("et le 69.009, article 4 ?", citations=cited) == [("full_text", "b")] and find("et le 69.009 ?") == []
+    assert find("le 31.12.2025", citations=cited) == []
+    assert find("le code du numérique") == [("full_text", "d")] and find("le code minier") == []
+    assert find("obligations d'une ASBL") == [("full_text", "g")]
+    scoped = resolve.named_instruments(held, texts, chunks, "le code du numérique sur les données", cap=50)
+    assert scoped[0].mode == "scoped_chunks" and [c.locator for c in scoped[0].chunks][0] == "Page 1"
+    block = assemble.focused_reading(scoped)
+    assert "[Page 1, Article: 3]" in block and assemble.focused_reading([]) == "" and assemble.search_hints(["a"]).count("- a") == 1
+
+
+def test_evidence(spark):
+    docs = holdings(spark)
+    schema = "chunk_id long, document_id string, title string, source string, source_label string, published_date string, locator string, content string, article_number string"
+    chunks = spark.createDataFrame([(1, "b", "Loi n° 69/009 du 10 février 1969", "dgi", "DGI", "", "Page 1", "impôt sur les revenus", "3"), (2, "e", "Code", "dgi", "DGI", "2020-01-01", "Page 2", "impôt foncier", None)], schema)
+    nodes, edges = graph.build(docs.withColumnRenamed("id", "document_id"))
+    store = answering.Corpus(chunks, resolve.registry(docs.drop("text")), docs.select("id", "text"), graph.status(nodes, edges), edges)
+    found = answering.evidence(store, "impôt selon la Loi n° 69/009 ?", 2024, turns=["bonjour"])
+    assert found.query == "bonjour\nimpôt selon la Loi n° 69/009 ?" and found.context.count("<retrieved_source") == 2
+    assert "Inferred document year: 1969" in found.context and "grand texte" in found.focused and "[presumed_in_force]" in found.legal
+    assert all(x in found.message for x in (found.context, found.legal, found.focused)) and found.citations.count() == 2
+    with pytest.raises(LookupError):
+        answering.evidence(store, "zzz", 2024)
+
+
+def test_dedupe_by_legal_key_and_report(spark):
+    base = " ".join(f"mot{i}" for i in range(80))
+    rows = [("a", "Loi n° 5/1 du 2 mai 1990", "h1", base + " x y"), ("b", "Loi n° 05/01", "h2", base + " z"), ("c", "Loi n° 5-1", "h3", " ".join(f"w{i}" for i in range(80))), ("d", "Rapport", "h4", base + " q"), ("e", "Un", "h5", "k"), ("f", "Deux", "h5", "k")]
+    docs = spark.createDataFrame([(*r, "ready", "s", 10, i, True, "") for i, r in enumerate(rows)], "document_id string, title string, sha256 string, text string, status string, source string, size int, ord int, present boolean, duplicate_of string")
+    blocked = dedup.legal_blocks(docs)
+    assert {r.block: r.ids for r in dedup.title_groups(docs).collect()} == {"Loi|5/1": ["a", "b", "c"]}
+    plan = dedup.dedupe_plan(blocked, ["s"])
+    assert {(r["pass"], r.canonical, r.duplicate) for r in plan.collect()} == {(1, "e", "f"), (3, "a", "b")}
+    previews, totals = dedup.dedupe_report(blocked, plan)
+    got = {r.canonical: (r.type_label, r.number_key, r.duplicate_ids, r.excluded_ids) for r in previews.collect()}
+    assert got == {"e": ("Exact match (sha256)", "h5", ["f"], []), "a": ("Loi", "5/1", ["b"], ["c"])}
+    assert totals.first().asDict() == {"groups_found": 2, "documents_marked": 2, "documents_excluded": 1}
+
+
+def test_reply_texts(spark):
+    text = lambda x: one(spark, assemble.message_text(F.lit(x)))
+    assert text('"un"') == "un" and text('[{"text": "a"}, {"x": 1}, {"text": "b"}]') == "a\nb" and text("5") == "" and text("nichts") == ""
+    reply = '{"output": [{"type": "message", "content": [{"annotations": [{"file_id": "f1"}, {"file_id": "f2"}]}, {}]}, {"type": "file_search_call", "results": [{"file_id": "f2"}, {"file_id": "f3"}]}, {"type": "other"}]}'
+    assert one(spark, assemble.file_ids(F.lit(reply))) == ["f1", "f2", "f3"] and one(spark, assemble.file_ids(F.lit("{}"))) == []
+    cases = spark.createDataFrame([("1", ["Été"], [], ["nein"]), ("2", ["x"], [], [])], "id string, must_contain array<string>, any_of array<string>, must_not_contain array<string>")
+    answers = spark.createDataFrame([("1", "un ete")], "id string, answer string")
+    assert {r.id: r.passed for r in assemble.golden_run(cases, answers).collect()} == {"1": True, "2": False}
 
 
 def test_normal_forms(spark):
@@ -220,6 +320,68 @@ def test_state_and_coverage(spark):
     assert all(r.present for r in indexing.upsert(state, found, ["a"], limited=True).collect())
 
 
+def test_preparation_and_index_are_applied(spark):
+    head = extract.header(F.col("title"), F.lit("S"), F.lit(""), F.lit(""), F.lit(""), F.lit(""))
+    kept = one(spark, F.sha2(extract.header(F.lit("gleich"), F.lit("S"), F.lit(""), F.lit(""), F.lit(""), F.lit("")), 256))
+    rows = [("1", "neu", 5, 5, None, None, None, None, None, None, "pending", 1), ("2", "umbenannt", 5, 5, 5, 5, "alt", "p", "# alt\n---\nbody --- x", None, "ready", 2), ("3", "gleich", 5, 5, 5, 5, kept, "p", "t", "h3", "ready", 3)]
+    names = "id string, title string, size_bytes int, mtime_ns int, prepared_size int, prepared_mtime_ns int, prepared_metadata_hash string, extracted_path string, text string, extracted_sha256 string, status string, ord int"
+    docs = spark.createDataFrame(rows, names).withColumns({"character_count": F.lit(0), "page_count": F.lit(0)})
+    fresh = spark.createDataFrame([("1", "frisch", "ready", 6, 1)], "id string, text string, status string, character_count int, page_count int")
+    got = {r.id: r for r in indexing.prepare(docs, fresh, head).collect()}
+    assert (got["1"].action, got["1"].text, got["1"].status, got["1"].prepared_size) == ("extract", "# neu\nSource: S\n---\nfrisch", "ready", 5)
+    assert (got["2"].action, got["2"].text) == ("refresh", "# umbenannt\nSource: S\n---\nbody --- x") and got["3"].action == "skip" and got["3"].text == "t"
+    assert {r.id: r.action for r in indexing.preparation(indexing.prepare(docs, fresh, head).drop("action")).collect()} == {"1": "skip", "2": "skip", "3": "skip"}
+
+    state = [("1", True, "", "ready", "h1", None, 4, "", "neu text"), ("2", False, "", "ready", "h2", "h2", 4, "", "weg"), ("3", True, "", "ready", "h3", "alt", 4, "", "repariert"), ("4", True, "", "ready", "h4", "h4", 4, "", "gleich")]
+    names = "id string, present boolean, duplicate_of string, status string, extracted_sha256 string, local_indexed_content_hash string, local_index_revision int, local_indexed_superseded_note string, text string"
+    records = spark.createDataFrame(state, names).withColumns({"superseded_note": F.lit(""), "requires_review": F.lit(False)})
+    index = spark.createDataFrame([("2", "h2"), ("3", "h3"), ("4", "h4")], "id string, indexed_hash string")
+    chunks = spark.createDataFrame([(x, f"c{x}") for x in "234"], "document_id string, content string")
+    docs, index, chunks = indexing.apply_index(records, index, chunks, lambda d: d.select("document_id", F.col("text").alias("content")))
+    assert sorted((r.document_id, r.content) for r in chunks.collect()) == [("1", "neu text"), ("3", "c3"), ("4", "c4")]
+    assert {r.id: r.indexed_hash for r in index.collect()} == {"1": "h1", "3": "h3", "4": "h4"}
+    assert {r.action for r in indexing.index_actions(docs, index).collect()} == {"skip"}
+    assert indexing.content_hashes(None, spark).count() == 0
+
+
+def test_state_is_saved_and_loaded(spark, tmp_path):
+    path = str(tmp_path / "state")
+    assert state.load_state(spark, path).count() == 0 and "duplicate_of" in state.load_state(spark, path).columns
+    for n in (1, 2, 3):
+        state.save_state(spark.createDataFrame([(str(i), "x") for i in range(n)], "id string, title string"), path)
+        assert state.load_state(spark, path).count() == n
+    assert len([x for x in (tmp_path / "state").iterdir() if x.name.startswith("current-")]) == 2
+    (tmp_path / "other").mkdir()
+    (tmp_path / "other" / "current-9-000000000001-x").write_text("")
+    assert state.load_state(spark, str(tmp_path / "other")).count() == 0
+
+
+def test_catalogues_of_two_encodings_and_file_types(spark, tmp_path):
+    (tmp_path / "a.csv").write_bytes("full_name,pdf_filename\nÉté,a.pdf\n".encode("utf-8-sig"))
+    (tmp_path / "b.csv").write_bytes("full_name,filename\nNoël €,b.pdf\n".encode("cp1252"))
+    rows = catalog.catalog_rows(spark, [str(tmp_path / n) for n in ("a.csv", "none.csv", "b.csv")]).orderBy("ord").collect()
+    assert [(r.full_name, r.pdf_filename, r.filename) for r in rows] == [("Été", "a.pdf", None), ("Noël €", None, "b.pdf")]
+    assert catalog.catalog_rows(spark, []).count() == 0
+    files = tmp_path / "files"
+    files.mkdir()
+    for name in ("x.PDF", "y.txt", "z.exe", "~$x.pdf", "w.xls"):
+        (files / name).write_text("x")
+    source = catalog.Source("s", "S", [str(files)], extensions=[".pdf", ".txt"], review_extensions=[".xls"])
+    assert {r.path.rsplit("/", 1)[1]: r.requires_review for r in catalog.list_files(spark, str(files), source).collect()} == {"x.PDF": False, "y.txt": False, "w.xls": True}
+    parts = spark.createDataFrame([("a", "Page 1", "", None), ("a", "Page 2", "x" * 50, None), ("a", "Page 3", None, None), ("b", None, None, "kaputt")], "document_id string, locator string, text string, error string")
+    got = {r.document_id: (r.empty_pages, r.ocr_pages, r.warnings) for r in extract.page_outcome(parts, True).collect()}
+    assert got == {"a": ([1, 3], [1, 3], []), "b": ([], [], ["kaputt"])}
+
+
+def test_previews(spark):
+    text = "ß " * 300 + "fin du ziel " + "b" * 900
+    out = one(spark, rerank.preview(F.lit(text), ["ziel"]))
+    assert "ziel" in out and len(out) == 900 and out[220:223] == " … " and out.startswith("ß ß")
+    assert rerank.preview_terms("Quel est le délai, selon l'article ?") == ["delai"]
+    assert one(spark, rerank.preview(F.lit(" a\n b "), ["b"])) == "a b"
+    assert one(spark, rerank.preview(F.lit("x" * 2000), ["ziel"])) == "x" * 900
+
+
 def test_manifest_and_sources(spark):
     good = ("a.pdf", "A", "https://x.org/a", "a" * 64)
     rows = spark.createDataFrame([good, ("../b.pdf", "B", "http://x", "zz"), ("A.PDF", "C", "https://x.org/c", "b" * 64)], "filename string, title string, source_url string, sha256 string")
