@@ -490,23 +490,11 @@ def rerank_lexical(spark, sf):
     return rerank.rerank(pool, rerank.shared_terms(["the", "with", "nation"])).select("chunk_id", "pos", F.round("rerank_score", 6).alias("rerank_score"))
 
 
-@query(
-    """WITH q AS (SELECT embedding AS q FROM embeddings WHERE vec_id = 7), s AS (SELECT vec_id, list_cosine_similarity(embedding::DOUBLE[], q::DOUBLE[]) AS c FROM embeddings, q WHERE vec_id < 20)
-SELECT vec_id, round(c, 6) AS score FROM s ORDER BY c DESC, vec_id LIMIT 14"""
-)
-def rerank_vectors(spark, sf):
-    rows = table(spark, sf, "embeddings")
-    asked = rows.filter("vec_id = 7").select(F.col("embedding").alias("q"))
-    pool = rows.select(F.col("vec_id").alias("pos"), "embedding").crossJoin(F.broadcast(asked))  # one question vector
-    scored = rerank.rerank(pool.withColumn("score", rerank.cosine(F.col("embedding"), F.col("q"))), lambda x: x, content="score")
-    return scored.select(F.col("pos").alias("vec_id"), F.round("rerank_score", 6).alias("score"))
-
-
 @query(
     """WITH q AS (SELECT embedding AS q FROM embeddings WHERE vec_id = 7), s AS (SELECT vec_id, list_cosine_similarity(embedding::DOUBLE[], q::DOUBLE[]) AS c FROM embeddings, q)
 SELECT vec_id, round(c, 6) AS score FROM s ORDER BY c DESC, vec_id LIMIT 14"""
 )
-def rerank_vectors_whole(spark, sf):
+def rerank_vectors(spark, sf):
     """The funnel over the whole table: the shortlist is the nearest vectors, whatever their ids."""
     rows = table(spark, sf, "embeddings")
     asked = rows.filter("vec_id = 7").select(F.col("embedding").alias("q"))
@@ -536,10 +524,21 @@ def citation_match(spark, sf):
     return found.select("doc_id", "pos", F.round("share", 6).alias("share"))
 
 
-@query()
+@query(
+    r"""WITH d AS (SELECT doc_id, list_transform(string_split(coalesce(text, ''), chr(10)), lambda x, i: CASE i % 9 WHEN 1 THEN '## ' || x WHEN 3 THEN '| ' || x || ' |' WHEN 4 THEN '|-|' WHEN 6 THEN '```' WHEN 7 THEN '' ELSE x END) AS ls FROM documents),
+l AS (SELECT doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) AS n FROM d), f AS (SELECT *, regexp_matches(line, '^\s*```') AS fence, sum(CASE WHEN regexp_matches(line, '^\s*```') THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY n) AS fences FROM l),
+k AS (SELECT *, CASE WHEN fence OR fences % 2 = 1 THEN 'code' WHEN regexp_matches(line, '^#{1,6}\s') THEN 'heading' WHEN starts_with(trim(line), '|') THEN 'table' WHEN trim(line) = '' THEN 'blank' ELSE 'text' END AS kind FROM f),
+o AS (SELECT *, kind <> coalesce(lag(kind) OVER (PARTITION BY doc_id ORDER BY n), '') OR kind = 'heading' OR fence AND fences % 2 = 1 AS opens FROM k),
+b AS (SELECT *, (sum(opens::INT) OVER (PARTITION BY doc_id ORDER BY n))::BIGINT AS block FROM o)
+SELECT doc_id AS chunk_id, block, kind, string_agg(line, chr(10) ORDER BY n) AS body FROM b WHERE kind <> 'blank' GROUP BY ALL"""
+)
 def markdown_blocks(spark, sf):
-    body = F.concat_ws("\n", F.concat(F.lit("# "), "title"), F.lit(""), F.lit("```"), F.lit("code | x"), F.lit("```"), F.lit("| a | b |"), F.lit("| 1 | 2 |"), F.lit(""), "title")
-    return assemble.markdown_blocks(corpus(spark, sf).select("chunk_id", body.alias("md")), "chunk_id", "md")
+    def line(x, i):
+        k = (i + 1) % 9
+        return F.when(k == 1, F.concat(F.lit("## "), x)).when(k == 3, F.concat(F.lit("| "), x, F.lit(" |"))).when(k == 4, "|-|").when(k == 6, "```").when(k == 7, "").otherwise(x)
+
+    md = F.array_join(F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), line), "\n")
+    return assemble.markdown_blocks(table(spark, sf, "documents").select(F.col("doc_id").alias("chunk_id"), md.alias("md")), "chunk_id", "md")
 
 
 @query("SELECT event_id, CASE WHEN event_id % 3 = 0 THEN '1,7' WHEN event_id % 3 = 1 THEN '3' ELSE '' END AS ints FROM events")

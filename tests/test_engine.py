@@ -442,5 +442,5 @@ def test_entry(spark):
 def test_rerank_vectors_over_the_whole_table(spark, tmp_path):
     rows = [(i, [1.0, float(abs(i - 90) + (i != 7))]) for i in range(100) if i != 7] + [(7, [1.0, 0.0])]
     spark.createDataFrame(rows, "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
-    got = [r.vec_id for r in queries.QUERIES["rerank_vectors_whole"](spark, str(tmp_path)).collect()]
+    got = [r.vec_id for r in queries.QUERIES["rerank_vectors"](spark, str(tmp_path)).collect()]
     assert got == [7, 90, 89, 91, 88, 92, 87, 93, 86, 94, 85, 95, 84, 96]
