@@ -9,7 +9,7 @@ from functools import lru_cache, reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .vocabulary import MONTHS, OBSOLETE_MARK
+from .vocabulary import AGE_CAP, AGE_PENALTY, AGE_UNKNOWN, MONTHS, OBSOLETE_MARK, OBSOLETE_PENALTY
 
 
 def _stripped(c: str) -> str:
@@ -150,7 +150,7 @@ def legal_year(title: Column, published: Column, as_of_year: int) -> Column:
     return F.coalesce(F.array_max(named), F.when(other <= as_of_year + 1, other))
 
 
-def recency_score(score: Column, title: Column, published: Column, as_of_year: int, per_year: float = 0.12, cap: int = 15, unknown: int = 6, obsolete: float = 2.0) -> Column:
+def recency_score(score: Column, title: Column, published: Column, as_of_year: int, per_year: float = AGE_PENALTY, cap: int = AGE_CAP, unknown: int = AGE_UNKNOWN, obsolete: float = OBSOLETE_PENALTY) -> Column:
     """The score (less is better) with a penalty for age and for obsolete texts added."""
     year = legal_year(title, published, as_of_year)
     age = F.when(year.isNull(), F.lit(unknown)).otherwise(F.least(F.greatest(F.lit(as_of_year) - year, F.lit(0)), F.lit(cap)))

@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from ..functions.text import fold, legal_year
 
 
+MOST_CITATIONS = 1000
+
+
 def grouped_citations(chunks: DataFrame, document: str = "document_id", pos: str = "pos") -> DataFrame:
     """(document, first_pos, locators): documents as first seen, their distinct locators in order."""
     seen = F.transform(F.array_sort(F.collect_list(F.struct(pos, "locator"))), lambda x: x["locator"])
@@ -114,7 +117,10 @@ def match_tokens(x: Column, stop: list[str]) -> Column:
 
 def citation_match(references: DataFrame, citations: DataFrame, stop: list[str], least: float = 0.5, ref: str = "reference", label: str = "label") -> DataFrame:
     """Each reference with the citation whose tokens it holds best, as substrings; none below the least share; the earlier
-    citation on ties. citations (with pos) are the few of an answer."""
+    citation on ties. citations (with pos) are the few of an answer: more than MOST_CITATIONS are an error, as each is
+    compared with every reference."""
+    if citations.limit(MOST_CITATIONS + 1).count() > MOST_CITATIONS:
+        raise ValueError(f"an answer has at most {MOST_CITATIONS} citations")
     named = citations.withColumn("__t", match_tokens(F.col(label), stop)).filter(F.size("__t") > 0)
     text = F.trim(F.regexp_replace(fold(F.col(ref)), "[^a-z0-9]+", " "))
     both = references.withColumn("__x", text).crossJoin(F.broadcast(named))

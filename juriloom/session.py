@@ -6,6 +6,7 @@ from pyspark.sql import SparkSession
 
 
 def session(name: str = "juriloom", **settings: str) -> SparkSession:
+    """settings: names of settings and their values, which go before the defaults."""
     builder = SparkSession.builder.appName(name)
     defaults = {
         "spark.sql.session.timeZone": "UTC",
@@ -13,6 +14,6 @@ def session(name: str = "juriloom", **settings: str) -> SparkSession:
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.sources.partitionOverwriteMode": "dynamic",
     }
-    for key, value in (defaults | {k.replace("__", "."): v for k, v in settings.items()}).items():
+    for key, value in (defaults | settings).items():
         builder = builder.config(key, value)
     return builder.getOrCreate()

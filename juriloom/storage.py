@@ -21,7 +21,7 @@ def shared_dir(spark: SparkSession) -> str:
             raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         own = getattr(shared_dir, "own", None)
         if own is None:
-            own = shared_dir.own = tempfile.mkdtemp(prefix="juriloom-engine-")
+            own = shared_dir.own = tempfile.mkdtemp(prefix="juriloom-")
             atexit.register(shutil.rmtree, own, ignore_errors=True)
         path = f"file://{own}"
     return path.rstrip("/")
@@ -47,7 +47,7 @@ _paths: dict[int, tuple[DataFrame, str]] = {}  # what written() made and nothing
 def written(df: DataFrame, name: str) -> DataFrame:
     """df as a Parquet table of the shared folder: lineage is cut, and nothing is computed again."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/juriloom-engine/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/juriloom-tables/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     table = spark.read.schema(df.schema).parquet(path)
     _paths[id(table)] = table, path
@@ -59,5 +59,15 @@ def release(*tables: DataFrame) -> None:
     for table in tables:
         _, path = _paths.pop(id(table), (None, None))
         if path:
-            root = table.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
-            root.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(root, True)
+            _delete(table.sparkSession, path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
+    root.getFileSystem(spark._jsc.hadoopConfiguration()).delete(root, True)
+
+
+def delete_tables(spark: SparkSession) -> None:
+    """Remove all that written() has left in the shared folder; results that read these tables are gone with them."""
+    _paths.clear()
+    _delete(spark, f"{shared_dir(spark)}/juriloom-tables")
