@@ -1,23 +1,19 @@
-"""What the operators share: the shared folder, checkpoints, Arrow batch bounds and small helpers."""
+"""What the operators share: Arrow batch bounds, joins of skewed keys, sums over partitions and small helpers."""
 
 from __future__ import annotations
 
-import atexit
 import gc
 import os
-import shutil
-import tempfile
-import uuid
-import zipfile
 import zlib
 from collections.abc import Callable, Iterator
-from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..storage import delete_tables, release, ship, written  # noqa: F401  the operators take them from here
+
 # Rows an Arrow batch may hold; texts are long, so far fewer than Spark's 10,000.
 ARROW_ROWS = 512
 # Bytes that a batch may hold.
@@ -30,20 +26,6 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def ship(spark: SparkSession) -> None:
-    """Send this package to the executors, once per application, so that their Python workers can import it."""
-    context = spark.sparkContext
-    if getattr(context, "_juriloom_shipped", False):
-        return
-    package = Path(__file__).resolve().parents[1]
-    target = Path(tempfile.mkdtemp(prefix="juriloom-code-")) / "juriloom-code.zip"
-    with zipfile.ZipFile(target, "w") as archive:
-        for path in sorted(package.rglob("*.py")):
-            archive.write(path, path.relative_to(package.parent))
-    context.addPyFile(str(target))
-    context._juriloom_shipped = True
-
-
 def bound_batches(spark: SparkSession, rows: int = ARROW_ROWS) -> None:
     """Keep the Arrow batches handed to Python small, in rows and in bytes, as their rows are whole texts: the session's
     limits are lowered where they are higher. And see to it that workers have the code."""
@@ -57,53 +39,6 @@ def bound_batches(spark: SparkSession, rows: int = ARROW_ROWS) -> None:
         spark.conf.set(key, str(ARROW_BYTES))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir of the session. Where that is unset, a session in
-    one process (tests) has a temporary one; on a cluster that is an error, as no other node would see its files."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
-        own = getattr(shared_dir, "own", None)
-        if own is None:
-            own = shared_dir.own = tempfile.mkdtemp(prefix="juriloom-")
-            atexit.register(shutil.rmtree, own, ignore_errors=True)
-        path = f"file://{own}"
-    return path
-
-
-_paths: dict[int, tuple[DataFrame, str]] = {}  # tables that written() made and nothing has released, with their places
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet to the shared folder and read it back: compact, splittable, and safe against lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/juriloom-tables/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    table = spark.read.schema(df.schema).parquet(path)
-    _paths[id(table)] = table, path
-    return table
-
-
-def release(*tables: DataFrame) -> None:
-    """Delete tables that written() made and that nothing reads any more."""
-    for table in tables:
-        _, path = _paths.pop(id(table), (None, None))
-        if path:
-            _delete(table.sparkSession, path)
-
-
-def _delete(spark: SparkSession, path: str) -> None:
-    root = spark._jvm.org.apache.hadoop.fs.Path(path)
-    root.getFileSystem(spark._jsc.hadoopConfiguration()).delete(root, True)
-
-
-def delete_tables(spark: SparkSession) -> None:
-    """Remove all that written() has left in the shared folder; results that read these tables are gone with them."""
-    _paths.clear()
-    _delete(spark, f"{shared_dir(spark).rstrip('/')}/juriloom-tables")
-
-
 def hub_join(rows: DataFrame, key: str, side: DataFrame, count: int, how: str = "inner", least: int = 128) -> DataFrame:
     """rows joined (inner or left) with side, whose rows are few for each value of key. Values that more than max(least, count / 50,000) of
     the count rows share are dealt to several tasks, and their row of side with them; at most 50,000 such values are broadcast."""
