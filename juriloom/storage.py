@@ -54,6 +54,11 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return table
 
 
+def made() -> list[DataFrame]:
+    """The tables of written() that nothing has released."""
+    return [table for table, _ in _paths.values()]
+
+
 def release(*tables: DataFrame) -> None:
     """Delete tables of written() that nothing reads any more."""
     for table in tables:
