@@ -9,6 +9,7 @@ from ..functions.text import fold, legal_year
 
 
 MOST_CITATIONS = 1000
+CASE = "id string, question string, note string, must_contain array<string>, any_of array<string>, must_not_contain array<string>"  # of a golden run
 
 
 def grouped_citations(chunks: DataFrame, document: str = "document_id", pos: str = "pos") -> DataFrame:
@@ -96,6 +97,12 @@ def file_ids(reply: Column) -> Column:
     return F.coalesce(F.array_distinct(F.filter(ids, lambda i: i.isNotNull() & (i != ""))), F.array().cast("array<string>"))
 
 
+def golden_summary(run: DataFrame) -> DataFrame:
+    """One row: cases, passed, failed (their ids in order)."""
+    failed = F.array_sort(F.collect_list(F.when(~F.col("passed"), F.col("id"))))
+    return run.agg(F.count(F.lit(1)).alias("cases"), F.count_if("passed").alias("passed"), failed.alias("failed"))
+
+
 def golden_run(cases: DataFrame, answers: DataFrame) -> DataFrame:
     """cases (id, must_contain, any_of, must_not_contain) with passed, by their answers (id, answer); no answer is no pass."""
     rows = cases.join(answers.select("id", "answer"), "id", "left")

@@ -97,9 +97,24 @@ def find(nodes: DataFrame, number_key: str, instrument_type: str | None = None)
     return found.filter(F.col("instrument_type") == instrument_type) if instrument_type else found
 
 
-def stats(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    n = nodes.agg(F.count_if("in_corpus").alias("instruments"), F.count_if(~F.col("in_corpus")).alias("stub_instruments"))
-    return n.crossJoin(edges.agg(F.count(F.lit(1)).alias("relationships")))  # one row each
+def stats(nodes: DataFrame, edges: DataFrame, article_nodes: DataFrame | None = None, article_edges: DataFrame | None = None) -> DataFrame:
+    """One row of counts; those of articles are 0 where their tables are not built yet."""
+    n = nodes.agg(F.count(F.lit(1)).alias("instruments"), F.count_if("in_corpus").alias("instruments_in_corpus"), F.count_if(~F.col("in_corpus")).alias("stub_instruments"))
+    rows = n.crossJoin(edges.agg(F.count(F.lit(1)).alias("relationships")))  # one row each
+    for table, name in ((article_nodes, "articles"), (article_edges, "article_relationships")):
+        rows = rows.crossJoin(table.agg(F.count(F.lit(1)).alias(name))) if table is not None else rows.withColumn(name, F.lit(0).cast("bigint"))
+    return rows
+
+
+def rebuild_articles(chunks: DataFrame | None, docs: DataFrame) -> tuple[DataFrame, DataFrame] | None:
+    """(articles, edges) of the chunks of an index, by what docs (see titles()) say that their documents are; nothing without an
+    index."""
+    if chunks is None:
+        return None
+    own = titles(docs).select("document_id", F.col("own.type").alias("instrument_type"), F.col("own.number_key").alias("number_key"))
+    edges = written(article_edges(chunks, own), "article-edges")
+    nodes = articles(chunks, edges, own)
+    return nodes, backfill(edges, nodes, own)
 
 
 def label(relation: Column, inverse: bool = False) -> Column:

@@ -3,9 +3,11 @@ citations_json)."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import conversation_title, squeeze
+
 CITATION = "array<struct<document_id:string,title:string,pdf_url:string>>"
 
 
@@ -56,8 +58,6 @@ def append_exchange(messages: DataFrame, exchange: DataFrame) -> DataFrame:
 
 def derived_conversations(messages: DataFrame, title_limit: int = 100) -> DataFrame:
     """One row per conversation of the log: title from its first question, times of its first and last message."""
-    from ..functions.text import conversation_title
-
     first = F.min_by(F.when(F.col("role") == "user", F.col("content")), F.when(F.col("role") == "user", F.col("message_id")))
     rows = messages.groupBy("conversation_id").agg(first.alias("__q"), F.min("created_at").alias("created_at"), F.max("created_at").alias("updated_at"))
     return rows.select("conversation_id", conversation_title(F.coalesce("__q", F.lit("")), title_limit).alias("title"), "created_at", "updated_at")
@@ -66,3 +66,15 @@ def derived_conversations(messages: DataFrame, title_limit: int = 100) -> DataFr
 def without(table: DataFrame, conversation_ids: DataFrame) -> DataFrame:
     """A table without these conversations; apply it to conversations and messages alike."""
     return table.join(conversation_ids, "conversation_id", "left_anti")
+
+
+def valid_exchange(question: Column, answer: Column) -> Column:
+    """Exchanges without a question or an answer are not kept."""
+    return (F.trim(F.coalesce(question, F.lit(""))) != "") & (F.trim(F.coalesce(answer, F.lit(""))) != "")
+
+
+def learned_notes(notes: DataFrame) -> DataFrame:
+    """(line) of notes (date, note, reference) that people have confirmed, white space squeezed; blank ones are left out."""
+    rows = notes.withColumn("n", squeeze(F.coalesce("note", F.lit("")))).filter("n != ''")
+    source = F.when(F.trim(F.coalesce("reference", F.lit(""))) != "", F.concat(F.lit(" (réf. "), F.trim("reference"), F.lit(")"))).otherwise("")
+    return rows.select(F.concat(F.lit("- ["), F.date_format("date", "yyyy-MM-dd"), F.lit("] "), "n", source).alias("line"))

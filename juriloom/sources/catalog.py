@@ -156,6 +156,33 @@ def check_manifest(manifest: DataFrame) -> DataFrame:
     return rows.filter(F.size("broken") > 0)
 
 
+MANIFEST_FIELDS = {"filename": ["pdf_filename", "filename"], "title": ["full_name", "title"], "source_url": ["source_url", "url"], "sha256": ["sha256"]}
+
+
+def read_manifest(spark: SparkSession, path: str) -> DataFrame:
+    """(filename, title, source_url, sha256) of a manifest. One that breaks a rule of check_manifest(), lacks a column or has no rows
+    is refused as a whole."""
+    rows = read_catalog(spark, path)
+    lacking = [name for name, names in MANIFEST_FIELDS.items() if not set(names) & set(rows.columns)]
+    if lacking:
+        raise ValueError(f"the manifest {path} has no column for {', '.join(lacking)}")
+    rows = rows.select(*[_fields(rows, names).alias(name) for name, names in MANIFEST_FIELDS.items()]).withColumn("sha256", F.lower("sha256"))
+    broken = check_manifest(rows).select("filename", "broken").limit(10).collect()
+    if broken:
+        raise ValueError("; ".join(f"{r['filename']}: {', '.join(r['broken'])}" for r in broken))
+    if rows.isEmpty():
+        raise ValueError(f"the manifest {path} has no documents")
+    return rows
+
+
+def record_targets(state: DataFrame, root: str) -> DataFrame:
+    """(id, path): the paths, without . and .. and doubled slashes, under which a record's file is known."""
+    joined = F.when(F.coalesce("relative_path", F.lit("")) != "", F.concat_ws("/", F.lit(root.rstrip("/")), "relative_path"))
+    paths = F.array_compact(F.array(F.nullif("absolute_path", F.lit("")), joined))
+    clean = lambda p: F.regexp_replace(F.regexp_replace(p, r"/(?:\./|/)+", "/"), r"/[^/]+/\.\.(?=/)", "")
+    return state.select("id", F.explode(F.array_distinct(F.transform(paths, clean))).alias("path"))
+
+
 def sync_state(exists: Column, valid: Column, mode: Column) -> Column:
     """What a synchronization run does with a manifest row, by mode (check, dry-run, sync)."""
     return F.when(exists & valid, "verified").when(mode == "check", F.when(exists, "invalid").otherwise("missing")).when(mode == "dry-run", F.when(exists, "would-replace").otherwise("would-download")).otherwise("downloaded")

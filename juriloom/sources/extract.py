@@ -11,6 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import safe_filename
 from ..functions.vocabulary import DOCUMENT_MINIMUM, PAGE_MINIMUM
 
 SCHEMA = "document_id string, locator string, text string, error string"
@@ -117,6 +118,21 @@ def header(title: Column, source: Column, category: Column, date: Column, url: C
     return F.concat_ws("\n", F.concat(F.lit("# "), title), line("Source", source), line("Category", category), line("Date", date), line("URL", url), line("Note", note), F.lit(HEADER_END.lstrip()))
 
 
+def output_name(document_id: Column, filename: Column) -> Column:
+    """The name of the file that holds a document's extracted text."""
+    return F.concat(document_id, F.lit("__"), safe_filename(F.regexp_replace(filename, r"(?<=.)\.[^.]*$", "")), F.lit(".md"))
+
+
+def file_sha256(content: Column) -> Column:
+    return F.sha2(content, 256)
+
+
+def write_texts(texts: DataFrame, path: str) -> None:
+    """Write extracted texts (document_id, filename, text) as a table with the names of their files; one row a document."""
+    named = texts.select("document_id", output_name(F.col("document_id"), F.col("filename")).alias("name"), "text", file_sha256(F.col("text")).alias("extracted_sha256"))
+    named.write.mode("overwrite").parquet(path)
+
+
 def marked_text(parts: DataFrame) -> DataFrame:
     """(document_id, text): the parts of each document under their headings, in order of pos."""
     body = F.transform(F.array_sort(F.collect_list(F.struct("pos", F.concat(F.lit("## "), "locator", F.lit("\n\n"), "text").alias("t")))), lambda x: x["t"])

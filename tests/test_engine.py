@@ -382,6 +382,34 @@ def test_previews(spark):
     assert one(spark, rerank.preview(F.lit("x" * 2000), ["ziel"])) == "x" * 900
 
 
+def test_manifest_reader_and_targets(spark, tmp_path):
+    write = lambda text: (tmp_path / "m.csv").write_text(text, encoding="utf-8")
+    head = "full_name,pdf_filename,source_url,sha256\n"
+    write(head + f"Un,a.pdf,https://x.org/a,{'A' * 64}\n")
+    assert catalog.read_manifest(spark, str(tmp_path / "m.csv")).first().asDict() == {"filename": "a.pdf", "title": "Un", "source_url": "https://x.org/a", "sha256": "a" * 64}
+    for text in (head, "full_name,sha256\nUn,x\n", head + f"Un,a.txt,https://x.org/a,{'a' * 64}\n"):
+        write(text)
+        with pytest.raises(ValueError):
+            catalog.read_manifest(spark, str(tmp_path / "m.csv"))
+    records = spark.createDataFrame([("1", "/a/./b//c.pdf", "x/../y.pdf"), ("2", None, "z.pdf"), ("3", None, None)], "id string, absolute_path string, relative_path string")
+    assert sorted((r.id, r.path) for r in catalog.record_targets(records, "/root/").collect()) == [("1", "/a/b/c.pdf"), ("1", "/root/y.pdf"), ("2", "/root/z.pdf")]
+    assert one(spark, extract.output_name(F.lit("id1"), F.lit("loi n° 5.pdf"))) == "id1__loi_n_5.md"
+
+
+def test_small_reports(spark):
+    chunks = spark.createDataFrame([("1", 1, "L'article 3 du Décret n° 5 est modifié.", "7")], "document_id string, ord long, content string, article_number string")
+    nodes, edges = graph.build(titles(spark))
+    held, statements = graph.rebuild_articles(chunks, titles(spark))
+    got = graph.stats(nodes, edges, held, statements).first()
+    assert (got.articles, got.article_relationships, got.instruments - got.instruments_in_corpus) == (1, 1, 1)
+    assert graph.stats(nodes, edges).first().articles == 0 and graph.rebuild_articles(None, titles(spark)) is None
+    run = spark.createDataFrame([("a", True), ("b", False)], "id string, passed boolean")
+    assert assemble.golden_summary(run).first().asDict() == {"cases": 2, "passed": 1, "failed": ["b"]}
+    notes = spark.createDataFrame([(datetime.date(2024, 1, 2), " un  mot ", " L1 "), (datetime.date(2024, 1, 3), " ", None), (datetime.date(2024, 1, 3), "x", None)], "date date, note string, reference string")
+    assert sorted(r.line for r in history.learned_notes(notes).collect()) == ["- [2024-01-02] un mot (réf. L1)", "- [2024-01-03] x"]
+    assert one(spark, history.valid_exchange(F.lit("q"), F.lit(" "))) is False and one(spark, history.valid_exchange(F.lit("q"), F.lit("a"))) is True
+
+
 def test_manifest_and_sources(spark):
     good = ("a.pdf", "A", "https://x.org/a", "a" * 64)
     rows = spark.createDataFrame([good, ("../b.pdf", "B", "http://x", "zz"), ("A.PDF", "C", "https://x.org/c", "b" * 64)], "filename string, title string, source_url string, sha256 string")
