@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected
-from .runtime import bound_batches, hub_join, release, same_dtype, slices, text_rows, written
+from .runtime import bound_batches, give_back, hub_join, release, same_dtype, slices, text_rows, written
 
 BUCKETS = 128
 MISS = 4.5e-7  # the probability with which a pair at exactly the threshold may share no band
@@ -156,7 +156,7 @@ def banding(percent: int) -> tuple[int, int]:
 
 
 def _sketch(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
-    for batch in slices(batches, 4 << 20):
+    for batch in slices(batches, 2 << 20):
         counts, keys, regs = [], [], []
         for text in batch.column(1).to_pylist():
             h = shingle_hashes(text, size)
@@ -164,6 +164,7 @@ def _sketch(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordB
             keys.append(_set_key(h) if len(h) else None)
             regs.append(registers(h).tobytes() if len(h) else None)
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(keys, pa.binary()), pa.array(regs, pa.binary())], ["__id", "n_shingles", "set_key", "regs"])
+    give_back()
 
 
 def _set_key(hashes: np.ndarray) -> bytes:

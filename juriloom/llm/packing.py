@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from .cutting_stock import whole_patterns
 from .pieces import PieceCache, cut_strict
-from .runtime import bound_batches, one_thread, rare_gc, same_dtype, slices, text_rows, written
+from .runtime import bound_batches, give_back, one_thread, rare_gc, same_dtype, slices, text_rows, written
 
 CACHE_ENTRIES = 800_000
 BATCH_BYTES = 4 << 20
@@ -101,6 +101,8 @@ def _pieces(batches: Iterator[pa.RecordBatch], path: str, capacity: int, grid: i
             arrays.append(pa.array(columns[7], pa.list_(pa.int32())))
             names.append("ids")
         yield pa.RecordBatch.from_arrays(arrays, names)
+    first = rest = texts = cut = heads = tails = rows = columns = arrays = None
+    give_back()
 
 
 class Plan:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import os
 import zlib
@@ -69,6 +70,15 @@ def slices(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBa
                 yield batch.slice(at, step)
 
 
+def give_back() -> None:
+    """At the end of a task whose caches are gone: free memory returns to the system, as Python workers live on."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
 def rare_gc() -> None:
     """Caches of many small tuples make Python's cycle collector walk them again and again; let it run seldom."""
     gc.set_threshold(200_000, 50, 1000)

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .pieces import PieceCache, cut_loose, cut_strict
-from .runtime import bound_batches, one_thread, rare_gc, same_dtype, slices, text_rows
+from .runtime import bound_batches, give_back, one_thread, rare_gc, same_dtype, slices, text_rows
 
 BATCH_BYTES = 1 << 20
 CACHE_ENTRIES = 400_000
@@ -59,6 +59,8 @@ def _count(batches: Iterator[pa.RecordBatch], path: str, batch_bytes: int, entri
         else:
             counts = list(map(sum, rest.look([cut_loose(t) for t in texts])))
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(counts, pa.int64())], ["__id", "n_bytes", "n_tokens"])
+    first = rest = texts = counts = None
+    give_back()
 
 
 def token_counts(docs: DataFrame, tokenizer_path: str, limit: int = 2048, id_col: str = "doc_id", text_col: str = "text", batch_bytes: int = BATCH_BYTES, cache_entries: int = CACHE_ENTRIES) -> DataFrame:
