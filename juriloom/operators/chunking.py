@@ -1,16 +1,16 @@
 """Segmentation of extracted text: sections by heading, articles inside sections, parts of bounded size.
 
-Sections and articles are cut by zero-width patterns and exploded with their place; the article in force is carried over
-sections by a window per document; greedy packing is a fold over a text's blocks.
+Sections and articles are cut by zero-width patterns; the article in force is carried over the sections of a document by a
+fold over its segments; greedy packing is a fold over a text's blocks.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import vocabulary as V
-from ..functions.text import article_tag
+from ..functions.text import article_tag, let
 
 _HEADER = rf"\b(?:Article|ARTICLE)[ \t]+({V.ARTICLE_NUMBER})\b"
 _BLOCKS = r"\n\s*\n|(?<=\.)\s+(?=[A-ZÀ-ÖØ-Þ])"
@@ -56,21 +56,32 @@ def sections(docs: DataFrame, key: str = "document_id", text: str = "text") -> D
 
 def chunks(docs: DataFrame, key: str = "document_id", text: str = "text", target: int = V.CHUNK_TARGET) -> DataFrame:
     """(key, ord, locator, content, article_number), ord from 1 in a document's order."""
-    secs = sections(docs, key, text)
-    pieces = F.split("body", f"(?={_HEADER})")
-    segments = secs.select(key, "section", "locator", F.posexplode(pieces).alias("segment", "__text"), F.substring("body", 1, 1000).rlike(V.RESET).alias("__resets"))
-    header = F.regexp_extract("__text", r"\A" + _HEADER, 1)
-    segments = segments.withColumn("__own", F.when(header != "", article_tag(header))).withColumn("__text", strip(F.col("__text"))).filter("__text != ''")
-    # An article goes on until the next one, or until a section opens without an article under a structural heading.
-    by_section = Window.partitionBy(key, "section").orderBy("segment")
-    first = F.row_number().over(by_section) == 1
-    ends = F.when(first & F.col("__own").isNull() & F.col("__resets"), 1).otherwise(0)
-    order = Window.partitionBy(key).orderBy("section", "segment")
-    segments = segments.withColumn("__end", ends).withColumn("__stretch", F.sum("__end").over(order))
-    carried = F.last("__own", ignorenulls=True).over(Window.partitionBy(key, "__stretch").orderBy("section", "segment"))
-    segments = segments.withColumn("article_number", carried).withColumn("__parts", split_parts(F.col("__text"), target))
-    many = F.size("__parts") > 1
-    rows = segments.select(key, "section", "segment", "locator", "article_number", many.alias("__many"), F.posexplode("__parts").alias("part", "content"))
-    place = F.row_number().over(Window.partitionBy(key).orderBy("section", "segment", "part"))
-    label = F.when(F.col("__many"), F.concat("locator", F.lit(", part "), (F.col("part") + 1).cast("string"))).otherwise(F.col("locator"))
-    return rows.select(key, place.alias("ord"), label.alias("locator"), "content", "article_number")
+    heading, own_text = "(?m)" + V.LOCATOR, F.col(text)
+    bodies = lambda parts, any_: F.transform(F.filter(parts, lambda p: ~any_ | p.rlike(r"\A" + heading)), lambda p: F.struct(F.when(any_, F.trim(F.regexp_extract(p, heading, 1))).otherwise("Document").alias("locator"), F.when(any_, F.regexp_replace(p, r"\A##[^\r\n]*", "")).otherwise(p).alias("body")))
+    secs = let(own_text.rlike(heading), lambda any_: bodies(F.split(own_text, f"(?m)(?={V.LOCATOR})"), any_))
+    number = lambda p: let(F.regexp_extract(p, r"\A" + _HEADER, 1), lambda h: F.when(h != "", article_tag(h)))
+
+    def segments(sec: Column) -> Column:
+        """Of a section: its articles, and whether it ends the article before."""
+        pieces = F.transform(F.split(sec["body"], f"(?={_HEADER})"), lambda p: F.struct(number(p).alias("own"), strip(p).alias("text")))
+        ends = lambda x, i: F.when((i == 0) & x["own"].isNull(), F.substring(sec["body"], 1, 1000).rlike(V.RESET)).otherwise(F.lit(False))
+        return F.transform(F.filter(pieces, lambda x: x["text"] != ""), lambda x, i: F.struct(sec["locator"].alias("locator"), x["own"].alias("own"), x["text"].alias("text"), ends(x, i).alias("ends")))
+
+    def carried(all_: Column) -> Column:
+        """The article of each segment: one goes on until the next, or until a section opens without an article under a
+        structural heading."""
+        start = F.struct(F.lit(None).cast("string").alias("now"), F.array().cast("array<string>").alias("out"))
+
+        def step(acc: Column, x: Column) -> Column:
+            now = F.when(~x["ends"], F.coalesce(x["own"], acc["now"]))
+            return F.struct(now.alias("now"), F.concat(acc["out"], F.array(now)).alias("out"))
+
+        return F.aggregate(all_, start, step, lambda acc: acc["out"])
+
+    def parts_of(x: Column, article: Column) -> Column:
+        label = lambda ps, i: F.when(F.size(ps) > 1, F.concat(x["locator"], F.lit(", part "), (i + 1).cast("string"))).otherwise(x["locator"])
+        return let(split_parts(x["text"], target), lambda ps: F.transform(ps, lambda p, i: F.struct(label(ps, i).alias("locator"), p.alias("content"), article.alias("article_number"))))
+
+    # All of a document is worked out in its row: nothing is shuffled or sorted.
+    rows = let(F.flatten(F.transform(secs, segments)), lambda all_: F.flatten(F.zip_with(all_, carried(all_), parts_of)))
+    return docs.select(key, F.posexplode(rows).alias("at", "c")).select(key, (F.col("at") + 1).alias("ord"), "c.locator", "c.content", "c.article_number")
