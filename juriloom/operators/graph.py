@@ -136,7 +136,9 @@ def article_edges(chunks: DataFrame, own: DataFrame) -> DataFrame:
     """Edges from articles to articles. chunks: document_id, content, article_number, ord. own: document_id and the key of the
     instrument that it is (nulls if none). An edge of one source to one target article counts once, unless the target
     instrument is not known: such rows stay."""
-    rows = chunks.filter("article_number is not null and article_number != ''").select("document_id", "ord", article_key(F.col("article_number")).alias("source_article"), F.explode(article_matches(F.coalesce("content", F.lit("")))).alias("m"))
+    rows = chunks.filter("article_number is not null and article_number != ''").select("document_id", "ord", article_key(F.col("article_number")).alias("source_article"), F.coalesce("content", F.lit("")).alias("__text"))
+    said = rows.select("__text").distinct().select("__text", F.explode(article_matches(F.col("__text"))).alias("m"))  # equal texts are parsed once
+    rows = rows.join(said, "__text").drop("__text")
     rows = rows.join(own.select("document_id", F.col("instrument_type").alias("own_type"), F.col("number_key").alias("own_key")), "document_id", "left")
     target = lambda a, b: F.when(F.col("m.is_self"), F.col(a)).otherwise(F.col(b))
     rows = rows.select("document_id", "source_article", "ord", F.col("m.relation").alias("relation"), target("own_type", "m.type").alias("target_type"), target("own_key", "m.number_key").alias("target_key"), F.col("m.granularity").alias("granularity"), F.col("m.raw").alias("raw"), F.posexplode("m.numbers").alias("seq", "number"))
