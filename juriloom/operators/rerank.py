@@ -43,13 +43,15 @@ def preview(content: Column, terms: list[str], limit: int = V.PREVIEW, head: int
     def of(text: Column) -> Column:
         def around(line: Column) -> Column:
             count = lambda t: ((F.length(line) - F.length(F.replace(line, t, F.lit("")))) / F.length(t)).cast("int")
-            seen = F.transform(asked, lambda t: F.struct(count(t).alias("n"), (F.call_function("instr", line, t) - 1).alias("at"), t.alias("t")))
-            best = F.array_min(F.filter(seen, lambda s: s["at"] >= head))
-            focus = _raw_place(text, line, best["at"])
-            end = F.least(F.length(text), F.greatest(F.lit(head_size), focus - width // 3) + width)
-            begin = F.greatest(F.lit(head_size), end - width)
-            window = F.concat(F.substring(text, 1, head_size), F.lit(SEPARATOR), F.substring(text, begin + 1, end - begin))
-            return F.when(best.isNull() | F.lit(width <= 0), F.substring(text, 1, limit)).otherwise(window)
+            held = F.filter(F.transform(asked, lambda t: F.struct((F.call_function("instr", line, t) - 1).alias("at"), t.alias("t"))), lambda s: s["at"] >= head)
+            seen = F.transform(held, lambda s: F.struct(count(s["t"]).alias("n"), s["at"].alias("at"), s["t"].alias("t")))
+            whole = F.substring(text, 1, limit)
+            if width <= 0:
+                return whole
+            stop = lambda focus: F.least(F.length(text), F.greatest(F.lit(head_size), focus - width // 3) + width)
+            begin = lambda end: F.greatest(F.lit(head_size), end - width)
+            window = lambda end: F.concat(F.substring(text, 1, head_size), F.lit(SEPARATOR), F.substring(text, begin(end) + 1, end - begin(end)))
+            return let(F.array_min(seen), lambda best: F.when(best.isNull(), whole).otherwise(let(let(_raw_place(text, line, best["at"]), stop), window)))
 
         return F.when(F.length(text) <= limit, text).otherwise(let(fold(text), around))
 
