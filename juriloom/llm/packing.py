@@ -1,7 +1,8 @@
 """Packing (operator 3): token sequences from documents by cutting-stock column generation.
 
-1. One pass encodes each text by pieces (pieces.py), appends id 0 and cuts full sequences off; what remains of a document
-   is one piece shorter than the capacity. Pieces go to a table without their ids: the only data that moves further.
+1. One pass encodes the different pieces of the texts (pieces.py), puts their ids together, appends id 0 and cuts full
+   sequences off; what remains of a document is one piece shorter than the capacity. These go to a table without their ids:
+   the only data that moves further.
 2. The histogram of the remainders, in classes of a few tokens, is bounded by the capacity and goes to the driver, where
    the linear program chooses patterns (cutting_stock.py).
 3. Pieces of a class are ranked by partition and place there; a range of ranks belongs to each pattern, so that a piece
@@ -13,6 +14,8 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -21,8 +24,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .cutting_stock import whole_patterns
-from .pieces import PieceCache, cut_strict
-from .runtime import bound_batches, give_back, one_thread, rare_gc, same_dtype, slices, text_rows, written
+from .pieces import PUNCTUATION, WHITE_ENDS, PieceCache, byte_cuts
+from .runtime import bound_batches, give_back, grouped, one_thread, rare_gc, same_dtype, slices, text_rows, written
 
 CACHE_ENTRIES = 800_000
 BATCH_BYTES = 4 << 20
@@ -32,11 +35,11 @@ GRID = 8  # tokens by which remainders are classed in the program; at most GRID
 JOINED = 256  # pieces that are encoded as one text
 
 
+@lru_cache(maxsize=2)
 def _encoder(path: str):
-    """Encodes the pieces that follow a space, many as one text: no token crosses a safe boundary, and the bytes that each
-    token stands for tell which ids are whose. Returns that, the same for single texts, and whether pieces are safe."""
+    """Encodes pieces, those that begin with a space many as one text: no token crosses a safe boundary, and the bytes that
+    each token stands for tell which ids are whose. Returns that and the marks to cut at (byte_cuts), None if texts must be whole."""
     one_thread()
-    rare_gc()
     from tokenizers import Tokenizer
 
     from .bpe_codec import vocabulary
@@ -44,64 +47,101 @@ def _encoder(path: str):
     tokenizer = Tokenizer.from_file(path)
     tokenizer.no_truncation()
     tokenizer.no_padding()
-    strict = str(tokenizer.pre_tokenizer).startswith("ByteLevel") and tokenizer.normalizer is None
+    added = tokenizer.get_added_tokens_decoder().values()
+    before = tokenizer.pre_tokenizer
+    strict = str(before).startswith("ByteLevel") and before.use_regex and not before.add_prefix_space and tokenizer.normalizer is None
+    strict = strict and not any(t.lstrip or t.rstrip or t.single_word or any(map(str.isspace, t.content)) for t in added)
 
-    def single(texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    def single(pieces: list[bytes]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in tokenizer.encode_batch_fast([p.decode() for p in pieces], add_special_tokens=False)]
 
     if not strict:
-        return single, single, False
+        return single, None
     held = vocabulary(path).bytes_of
     size_of = np.zeros(max(held) + 1, np.int64)
     size_of[list(held)] = [len(x) for x in held.values()]
-
-    def joined(pieces: list[str]) -> list[bytes]:
-        groups = [pieces[i : i + JOINED] for i in range(0, len(pieces), JOINED)]
-        out = []
-        for group, e in zip(groups, tokenizer.encode_batch_fast([" " + " ".join(g) for g in groups], add_special_tokens=False), strict=True):
+    marks = PUNCTUATION.copy()
+    marks[[b for t in added for b in t.content.encode()]] = False
+
+    def joined(pieces: list[bytes]) -> list[bytes]:
+        many = [i for i, p in enumerate(pieces) if p[0] == 0x20 and (p[-1] not in WHITE_ENDS or not p.decode()[-1].isspace())]
+        rest = sorted({*range(len(pieces))}.difference(many))
+        out: list[bytes] = [b""] * len(pieces)
+        for i, ids in zip(rest, single([pieces[i] for i in rest]), strict=True):
+            out[i] = ids
+        groups = [many[i : i + JOINED] for i in range(0, len(many), JOINED)]
+        for group, e in zip(groups, tokenizer.encode_batch_fast([b"".join([pieces[i] for i in g]).decode() for g in groups], add_special_tokens=False), strict=True):
             ids = np.array(e.ids, "<u4")
-            sizes = np.array([len(p) if p.isascii() else len(p.encode("utf-8", "replace")) for p in group]) + 1
-            ends = np.cumsum(sizes)
+            ends = np.cumsum([len(pieces[i]) for i in group])
             cuts = np.searchsorted(np.cumsum(size_of[ids]), ends, side="left") + 1
             data, begin = ids.tobytes(), 0
-            for end in (4 * cuts).tolist():
-                out.append(data[begin:end])
+            for i, end in zip(group, (4 * cuts).tolist(), strict=True):
+                out[i] = data[begin:end]
                 begin = end
         return out
 
-    return single, joined, True
+    return joined, marks
+
+
+def _bytes_list(values: pa.Array) -> list[bytes]:
+    """What to_pylist() gives for large_binary without nulls, in a fraction of its time."""
+    at = np.frombuffer(values.buffers()[1], np.int64)[values.offset : values.offset + len(values) + 1].tolist()
+    data = (values.buffers()[2] or pa.py_buffer(b"")).to_pybytes()
+    return [data[a:b] for a, b in pairwise(at)]
+
+
+def _tokens(texts: pa.Array, cache: PieceCache, marks: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of all texts one after the other, each with id 0 at its end, and how many each has. Equal pieces of the texts
+    are looked up once."""
+    texts = texts.cast(pa.large_binary())
+    offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
+    offsets = offsets - offsets[0]
+    begins = np.zeros(len(data) + 1, bool)
+    begins[offsets] = True
+    if marks is not None:
+        begins[byte_cuts(data, marks)] = True
+    begins[-1] = True
+    places = np.flatnonzero(begins)
+    pieces = pa.Array.from_buffers(pa.large_binary(), len(places) - 1, [None, pa.py_buffer(places), pa.py_buffer(data)]).dictionary_encode()
+    values = cache.look([_bytes_list(pieces.dictionary)])[0]
+    # An id 0 is one more value, and stands after the last piece of each text.
+    pool = np.frombuffer(b"".join(values) + b"\0\0\0\0", "<u4")
+    sizes = np.array([*map(len, values), 4], np.int64) // 4
+    which = np.insert(pieces.indices.to_numpy().astype(np.int64), np.searchsorted(places, offsets[1:]), len(values))
+    lengths = sizes[which]
+    ends = np.cumsum(lengths)
+    ids = pool[np.repeat((np.cumsum(sizes) - sizes)[which] - ends + lengths, lengths) + np.arange(ends[-1])]
+    return ids, np.diff(ends[which == len(values)], prepend=0)
 
 
 def _pieces(batches: Iterator[pa.RecordBatch], path: str, capacity: int, grid: int, keep_ids: bool) -> Iterator[pa.RecordBatch]:
-    single, joined, strict = _encoder(path)
-    first = PieceCache(single, CACHE_ENTRIES // 8, True)
-    rest = PieceCache(joined, CACHE_ENTRIES, True)
+    rare_gc()
+    encode, marks = _encoder(path)
+    cache = PieceCache(encode, CACHE_ENTRIES, True)
     pid, seen = TaskContext.get().partitionId(), {}
-    for batch in slices(batches, BATCH_BYTES):
-        texts = batch.column(1).to_pylist()
-        cut = [cut_strict(t) if strict else [t] for t in texts]
-        heads, tails = first.look([p[:1] for p in cut]), rest.look([p[1:] for p in cut])
-        rows: list[tuple] = []
-        source: list[int] = []
-        for at, (head, tail) in enumerate(zip(heads, tails, strict=True)):
-            data = head[0] + b"".join(tail) + b"\0\0\0\0"
-            total = len(data) // 4
-            for start in range(0, total, capacity):
-                part = data[4 * start : 4 * (start + capacity)]
-                n = len(part) // 4
-                kind = -(-n // grid) if n < capacity else -(-capacity // grid) + 1
-                seen[kind] = seen.get(kind, -1) + 1
-                source.append(at)
-                rows.append((start, n, zlib.crc32(part), total, pid, kind, seen[kind], np.frombuffer(part, "<i4") if keep_ids else None))
-        columns = list(zip(*rows, strict=True))
-        ids = batch.column(0).take(pa.array(source, pa.int64()))
-        arrays = [ids, *(pa.array(c, pa.int64()) for c in columns[:4]), pa.array(columns[4], pa.int32()), pa.array(columns[5], pa.int32()), pa.array(columns[6], pa.int64())]
+    for batch in slices(grouped(batches, BATCH_BYTES), BATCH_BYTES):
+        ids, totals = _tokens(batch.column(1), cache, marks)
+        parts = -(-totals // capacity)
+        source = np.repeat(np.arange(len(totals)), parts)
+        start = (np.arange(len(source)) - np.repeat(np.cumsum(parts) - parts, parts)) * capacity
+        length = np.minimum(capacity, totals[source] - start)
+        kind = np.where(length < capacity, -(-length // grid), -(-capacity // grid) + 1)
+        place = []
+        for k in kind.tolist():
+            seen[k] = seen.get(k, -1) + 1
+            place.append(seen[k])
+        ends = np.cumsum(length)
+        data = memoryview(ids).cast("B")
+        crc = [zlib.crc32(data[a:b]) for a, b in zip((4 * (ends - length)).tolist(), (4 * ends).tolist(), strict=True)]
+        columns = [(start, pa.int64()), (length, pa.int64()), (crc, pa.int64()), (totals[source], pa.int64()), (np.full(len(source), pid), pa.int32()), (kind, pa.int32()), (place, pa.int64())]
+        arrays = [batch.column(0).take(pa.array(source)), *(pa.array(values, kind) for values, kind in columns)]
         names = ["__id", "start", "length", "ids_crc32", "doc_tokens", "pid", "kind", "place"]
         if keep_ids:
-            arrays.append(pa.array(columns[7], pa.list_(pa.int32())))
+            arrays.append(pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), pa.array(ids.astype(np.int32))))
             names.append("ids")
         yield pa.RecordBatch.from_arrays(arrays, names)
-    first = rest = texts = cut = heads = tails = rows = columns = arrays = None
+    cache = ids = data = batch = columns = arrays = None
     give_back()
 
 

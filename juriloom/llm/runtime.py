@@ -70,6 +70,20 @@ def slices(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBa
                 yield batch.slice(at, step)
 
 
+def grouped(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+    """Join batches into ones of about size bytes (single batches may hold more)."""
+    held: list[pa.RecordBatch] = []
+    total = 0
+    for batch in batches:
+        if held and total + batch.nbytes > size:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+            held, total = [], 0
+        held.append(batch)
+        total += batch.nbytes
+    if held:
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+
+
 def give_back() -> None:
     """At the end of a task whose caches are gone: free memory returns to the system, as Python workers live on."""
     pa.default_memory_pool().release_unused()
