@@ -27,8 +27,8 @@ from .cutting_stock import whole_patterns
 from .pieces import PUNCTUATION, WHITE_ENDS, PieceCache, byte_cuts
 from .runtime import bound_batches, give_back, grouped, one_thread, rare_gc, same_dtype, slices, text_rows, written
 
-CACHE_ENTRIES = 800_000
-BATCH_BYTES = 4 << 20
+CACHE_ENTRIES = 200_000
+BATCH_BYTES = 1 << 20
 GRID = 8  # tokens by which remainders are classed in the program; at most GRID - 1 tokens of padding a document
 
 
@@ -42,8 +42,6 @@ def _encoder(path: str):
     one_thread()
     from tokenizers import Tokenizer
 
-    from .bpe_codec import vocabulary
-
     tokenizer = Tokenizer.from_file(path)
     tokenizer.no_truncation()
     tokenizer.no_padding()
@@ -57,9 +55,10 @@ def _encoder(path: str):
 
     if not strict:
         return single, None
-    held = vocabulary(path).bytes_of
+    # A character of the byte-level alphabet is a byte; added tokens stand for themselves.
+    held = {i: len(token) for token, i in tokenizer.get_vocab(with_added_tokens=False).items()} | {i: len(t.content.encode()) for i, t in tokenizer.get_added_tokens_decoder().items()}
     size_of = np.zeros(max(held) + 1, np.int64)
-    size_of[list(held)] = [len(x) for x in held.values()]
+    size_of[list(held)] = list(held.values())
     marks = PUNCTUATION.copy()
     marks[[b for t in added for b in t.content.encode()]] = False
 

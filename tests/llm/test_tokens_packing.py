@@ -1,6 +1,9 @@
 import hashlib
 import random
+import subprocess
+import sys
 import zlib
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers
@@ -189,3 +192,31 @@ def test_cutting_stock_against_brute_force():
             for i, k in p.items():
                 got[i] += k * times
         assert (got == counts).all()
+
+
+WORKER = """
+import re, sys
+from types import SimpleNamespace
+import pyarrow as pa
+from juriloom.llm import packing
+
+def held():
+    return sum(map(int, re.findall(r"\\nPss_Anon:\\s+(\\d+)", open("/proc/self/smaps_rollup").read()))) / 1024
+
+packing.TaskContext = SimpleNamespace(get=lambda: SimpleNamespace(partitionId=lambda: 0))
+texts = [" ".join(f"w{i:x}" for i in range(at, at + 200)) for at in range(0, 800_000, 200)]
+batches = pa.RecordBatch.from_pydict({"__id": [*range(len(texts))], "__text": texts})
+least = held()
+most, rows = 0, 0
+for out in packing._pieces((batches.slice(at, 512) for at in range(0, len(texts), 512)), sys.argv[1], 1024, 8, False):
+    most, rows = max(most, held()), rows + out.num_rows
+assert rows >= len(texts)
+print(most - least, held() - least)
+"""
+
+
+def test_packing_worker_memory():
+    """Many different words: a worker's own memory stays low, as several workers share an executor's limit."""
+    run = subprocess.run([sys.executable, "-c", WORKER, BYTE], capture_output=True, text=True, check=True, cwd=Path(__file__).parents[2], timeout=300)
+    most, _ = map(float, run.stdout.split())
+    assert most < 200
